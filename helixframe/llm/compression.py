@@ -33,13 +33,13 @@ def smallest(rows: DataFrame, key: str, rank: Column, most: int, groups: int) ->
 class Coder:
     """Compressed sizes of a text under one raw-content dictionary (``None``: without)."""
 
-    def __init__(self, content: bytes | None, level: int = 3, parts: int = 4):
-        self.whole = self._make(content, level)
-        self.parts = [self._make(content[k * len(content) // parts : (k + 1) * len(content) // parts], level) for k in range(parts)] if content else []
+    def __init__(self, content: bytes | None, level: int = 3, min_match: int = 3, parts: int = 4):
+        self.whole = self._make(content, level, min_match)
+        self.parts = [self._make(content[k * len(content) // parts : (k + 1) * len(content) // parts], level, min_match) for k in range(parts)] if content else []
 
     @staticmethod
-    def _make(content: bytes | None, level: int) -> zstandard.ZstdCompressor:
-        params = zstandard.ZstdCompressionParameters.from_level(level, write_checksum=0, write_content_size=0, write_dict_id=0)
+    def _make(content: bytes | None, level: int, min_match: int) -> zstandard.ZstdCompressor:
+        params = zstandard.ZstdCompressionParameters.from_level(level, min_match=min_match, write_checksum=0, write_content_size=0, write_dict_id=0)
         if not content:
             return zstandard.ZstdCompressor(compression_params=params)
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -55,8 +55,3 @@ class Coder:
             return n
         return sum(len(self.whole.compress(text[k : k + BLOCK])) for k in range(0, len(text), BLOCK))
 
-
-def snippet(text: str, rank: int, most: int) -> str:
-    """A window of ``most`` characters at a place that ``rank`` chooses; for dictionary content only."""
-    room = len(text) - most
-    return text if room <= 0 else text[rank % (room + 1) :][:most]

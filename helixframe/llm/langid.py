@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.compression import Coder, smallest, snippet
+from helixframe.llm.compression import Coder, smallest
 
 _LETTER = re.compile(r"[^\W\d_]")
 _STRUCT_DDL = "lang string, score double, margin double"
 _STRUCT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
 
-def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 384, chars_per_doc: int = 512, most_langs: int = 256) -> dict[str, bytes]:
+def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 512, chars_per_doc: int = 512, most_langs: int = 256) -> dict[str, bytes]:
     """A raw-content dictionary per language, from rows with text and language.
 
     The sample is bounded by the parameters: of each language the
@@ -48,7 +48,7 @@ def predict(text: Column, dictionaries: dict[str, bytes]) -> Column:
 
     @F.arrow_udf(_STRUCT_DDL)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coders = [Coder(dictionaries[g]) for g in langs]
+        coders = [Coder(dictionaries[g], level=6, min_match=4) for g in langs]
         for batch in batches:
             out = []
             for t in batch:
@@ -71,7 +71,7 @@ def predict(text: Column, dictionaries: dict[str, bytes]) -> Column:
 
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", min_margin: float = 0.004) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score``, ``lang_margin`` and ``lang_rejected`` (``und``, or a margin under ``min_margin``)."""
     rows = docs.withColumn("_l", predict(F.col(text_col), dictionaries))
     rejected = (F.col("_l.lang") == "und") | (F.col("_l.margin") < min_margin)

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from helixframe.llm.compression import Coder, smallest, snippet
+from helixframe.llm.compression import Coder, smallest
 
 
 @dataclass(frozen=True)
@@ -20,19 +20,29 @@ class QualityModel:
     weights: tuple[float, ...]  # of the features, then the constant
 
 
-def features(sizes: tuple[float, float, float], raw: int) -> list[float]:
-    """From bytes under the bad, the good and no dictionary: the normalised difference, then how far the text repeats itself."""
-    bad, good, alone = (s / raw for s in sizes)
-    diff = (bad - good) / max(bad, good)
-    return [diff, abs(diff), good, good * good, alone, alone * alone, np.log(raw)]
+#: Letters to their case, digits to 0, other bytes as they are: how a text is written, without its words.
+_SHAPE = bytes(97 if 97 <= b < 123 or b >= 0xC0 else 65 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in range(256))
+_TAILS = bytes(range(0x80, 0xC0))
 
 
-def _sizes(coders: list[Coder], text: bytes) -> tuple[float, float, float]:
-    return tuple(c.size(text) for c in coders)
+def shape(text: bytes) -> bytes:
+    return text.translate(_SHAPE, _TAILS)
 
 
-def _coders(good: bytes, bad: bytes) -> list[Coder]:
-    return [Coder(bad), Coder(good), Coder(None)]
+class Scales:
+    """Compressed sizes of a text and of its shape under the bad, the good and no dictionary."""
+
+    def __init__(self, good: bytes, bad: bytes):
+        self.views = [[Coder(bad), Coder(good), Coder(None)], [Coder(shape(bad)), Coder(shape(good))]]
+
+    def features(self, text: bytes) -> list[float]:
+        """The normalised differences first, then how far the text repeats itself."""
+        n = len(text)
+        bad, good, alone = (c.size(text) / n for c in self.views[0])
+        outline = shape(text)
+        sbad, sgood = (c.size(outline) / len(outline) for c in self.views[1])
+        diff, sdiff = (bad - good) / max(bad, good), (sbad - sgood) / max(sbad, sgood)
+        return [diff, diff * abs(diff), sdiff, sdiff * abs(sdiff), good, alone, alone * alone, sgood, float(np.log(n))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -72,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 600, chars
     cut = {r["y"]: r["_rank"] for r in chosen.withColumn("n", F.row_number().over(_by_rank())).where(F.col("n") == dictionary_docs).select("y", "_rank").collect()}
     if set(counts) != {0, 1}:
         p = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-        return QualityModel(b"", b"", (0.0,) * 7 + (float(np.log(p / (1 - p))),))
+        return QualityModel(b"", b"", (float(np.log(p / (1 - p))),))
     limit = F.lit(False)
     for y in (0, 1):
         limit = limit | ((F.col("y") == y) & (F.col("_rank") <= F.lit(cut.get(y, (1 << 62)))))
@@ -82,9 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 600, chars
     bad, good = ("\n".join(t for _, t in sorted(held[y])).encode() for y in (0, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = _coders(good, bad)
+        scales = Scales(good, bad)
         for b in batches:
-            x = [features(_sizes(coders, t.as_py().encode()), len(t.as_py().encode())) for t in b.column(1)]
+            x = [scales.features(t.as_py().encode()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "r", "x"])
 
     few = {y: counts[y] <= 2 * dictionary_docs for y in (0, 1)}  # then the dictionary's rows calibrate too
@@ -102,9 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 600, chars
     return QualityModel(good, bad, tuple(float(v) for v in _logistic(np.array([r["x"] for r in got]), y, weight)))
 
 
-def _by_rank():
-    from pyspark.sql import Window
-
+def _by_rank() -> WindowSpec:
     return Window.partitionBy("y").orderBy("_rank", "doc_id")  # of the bounded sample
 
 
@@ -113,7 +121,7 @@ def score(text: Column, model: QualityModel) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coders = _coders(model.good, model.bad)
+        scales = Scales(model.good, model.bad)
         w = np.array(model.weights)
         for batch in batches:
             out = []
@@ -122,7 +130,7 @@ def score(text: Column, model: QualityModel) -> Column:
                 if not b:
                     out.append(0.0)
                     continue
-                z = float(w[:-1] @ features(_sizes(coders, b), len(b)) + w[-1]) if model.good else float(w[-1])
+                z = float(w[:-1] @ scales.features(b) + w[-1]) if model.good else float(w[-1])
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.array(out, pa.float64())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, mixing, quality, warc
+from helixframe.llm import langid, minhash, mixing, quality, warc
 from helixframe.llm.common import workspace
 
 
@@ -17,6 +17,11 @@ def fold(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -43,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
