@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, minhash, mixing, quality, warc
+from helixframe.llm import itq, langid, minhash, mixing, quality, warc
 from helixframe.llm.common import workspace
 
 
@@ -28,6 +28,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_warc(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(3) != 1))
@@ -50,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
+    "op3_itq": op3_itq,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op10_mixing": op10_mixing,
