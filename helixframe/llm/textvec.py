@@ -79,10 +79,10 @@ class Words:
         self.hash = mix64((run[self.end] - run[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def words(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, Words]]:
     """``(first text, end, Words)`` for slices of a column; whole texts."""
     data, offsets = flat(column)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, most):
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
