@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import written
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
@@ -32,7 +35,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 100, date: str |
     partial minimum first, so a payload that a third of the rows share costs a
     row a task; the html moves once, by page. Rows that repeat a response's
     page_id and payload are responses too; a row with null page_id is a
-    response and is referred to by none. Files end after ``records_per_file``.
+    response and is referred to by none. Files are gzip and end after ``records_per_file``.
     """
     date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce("html", F.lit(""))
@@ -61,7 +64,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 100, date: str |
         block,
     )
     # A record ends with two line ends: that is what the text sink puts after each row.
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -84,7 +87,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             out = []
-            for head, block in records(data.as_py()):
+            for head, block in records(gzip.decompress(data.as_py())):
                 digest, n = head["warc-payload-digest"].removeprefix("sha256:"), None
                 if head["warc-type"] == "response":
                     payload = block.partition(b"\r\n\r\n")[2]
@@ -102,10 +105,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Each payload is held against its digest. Revisit records hold no payload:
     their length is that of the response with the same digest, found by a join
-    of headers; a revisit record without such a response has null there.
+    of headers (:func:`resolved`); a revisit record without such a response has null there.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content").mapInArrow(_parse, READ)
-    return found
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
+    return written(files.select("content").mapInArrow(_parse, READ), "warc-heads")
 
 
 def resolved(found: DataFrame) -> DataFrame:
