@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import itq, langid, lmscore, minhash, mixing, quality, warc
+from helixframe.llm import decontam, itq, langid, lmscore, minhash, mixing, quality, warc
 from helixframe.llm.common import workspace
 
 
@@ -50,6 +50,10 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents").withColumn("held_out", fold(7) == 2))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
     return mixing.mix(mixing.written(rows, "mix-sizes"), size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_lm_score": op8_lm_score,
+    "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
 

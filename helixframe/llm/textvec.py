@@ -12,6 +12,8 @@ SLICE = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Letters and digits and all bytes beyond ASCII; what else there is parts words where asked for.
+PLAIN = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -59,12 +61,19 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of some texts: ``start``, ``end`` (bytes), ``doc`` (text number) and 64-bit ``hash``; A-Z count as a-z."""
+    """Words of some texts: ``start``, ``end`` (bytes), ``doc`` (text number) and 64-bit ``hash``; A-Z count as a-z.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    Words are split at white space, or consist of the bytes that ``letters`` holds.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None):
         n = len(data)
         self.data = low = _LOWER[data]
-        solid = ~_SPACE[low]
+        if letters is not None and n:
+            # Capitals U+00C0 to U+00DE, but the multiplication sign, count as small ones.
+            high = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+            low[high] += 0x20
+        solid = ~_SPACE[low] if letters is None else letters[low]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = solid[:-1], solid[1:]
         inner = offsets[1:-1]
@@ -79,11 +88,11 @@ class Words:
         self.hash = mix64((run[self.end] - run[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
 
 
-def words(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, Words]]:
+def words(column: pa.Array, most: int = SLICE, letters: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
     """``(first text, end, Words)`` for slices of a column; whole texts."""
     data, offsets = flat(column)
     for a, b in slices(offsets, most):
-        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], letters)
 
 
 _STEP = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
