@@ -344,6 +344,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        against each by exact weighted Jaccard; only edges of a spanning forest
        leave a task. No pair is emitted per copy, no bucket is capped.
 
+    The large joins are merge joins at every size: none broadcasts a side that
+    grows with the documents.
+
     ``class_id`` is the smallest id of the class. A null id has a null class;
     rows with equal ids are one document; null texts and texts without words
     are alone in their class; an empty table gives no rows.
@@ -361,20 +364,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = written(met.groupBy("slice").applyInArrow(_judge(threshold * 0.6), "i long, h1 long, h2 long"), "dedup-kept")
 
     first = kept.groupBy("h1", "h2").agg(F.min("i").alias("rep"))
-    member = kept.join(first, ["h1", "h2"]).select("i", "rep")
+    member = kept.join(first.hint("merge"), ["h1", "h2"]).select("i", "rep")
     reps = first.select(F.col("rep").alias("i")).distinct()
-    sampled = written(named.join(reps, "i", "left_semi").mapInArrow(_samples(idf, bands, rows), _SAMPLE_DDL), "dedup-samples")
+    sampled = written(named.join(reps.hint("merge"), "i", "left_semi").mapInArrow(_samples(idf, bands, rows), _SAMPLE_DDL), "dedup-samples")
 
     keyed = sampled.select("i", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("i").alias("m"), F.max("i").alias("top")).where("m < top").select("key", "m")
-    cluster = components(keyed.join(low, "key").where("i <> m").select(F.col("i").alias("a"), F.col("m").alias("b")))
+    cluster = components(keyed.join(low.hint("merge"), "key").where("i <> m").select(F.col("i").alias("a"), F.col("m").alias("b")))
     size = cluster.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
     placed = cluster.join(size, "component").select(F.col("id").alias("i"), F.col("component").alias("c"), "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("block"))
-    placed = sampled.select("i", "f", "g").join(placed, "i").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = sampled.select("i", "f", "g").join(placed.hint("merge"), "i").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     placed = placed.select("i", "f", "g", "c", "block", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"))
     links = placed.groupBy("c", "pa", "pb").applyInArrow(_verify(threshold), "a long, b long")
     classes = components(links)
 
     out = member.join(classes, member["rep"] == classes["id"], "left").select("i", F.coalesce("component", "rep").alias("class_id"))
     out = out.groupBy("i").agg(F.min("class_id").alias("class_id"))
-    return base.select("i").join(out, "i", "left").select(F.col("i").alias(id_col), F.coalesce("class_id", "i").alias("class_id"))
+    return base.select("i").join(out.hint("merge"), "i", "left").select(F.col("i").alias(id_col), F.coalesce("class_id", "i").alias("class_id"))
