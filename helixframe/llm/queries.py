@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, itq, langid, lmscore, minhash, mixing, quality, warc
+from helixframe.llm import decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, warc
 from helixframe.llm.common import workspace
 
 
@@ -32,6 +32,15 @@ def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_host_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosttext.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license.notices(docs, license.fit(docs))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(3) != 1))
@@ -63,6 +72,8 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
     "op3_itq": op3_itq,
+    "op4_host_text": op4_host_text,
+    "op5_license": op5_license,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_lm_score": op8_lm_score,
