@@ -1,0 +1,220 @@
+"""Readers with named schemas: gene annotation, intervals, sequences, sparse matrices, tables with aliases."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable
+from dataclasses import dataclass, fields
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from helixframe.functions import exprs as X
+
+GTF = "seqname string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
+
+
+def gtf(spark: SparkSession, path: str, *, gene_type: str | None = "protein_coding", genes: DataFrame | None = None) -> DataFrame:
+    """``(gene_id, gene_name, gene_type, chrom, strand, tss0)`` of gene rows; the first row of a gene counts."""
+    rows = spark.read.csv(path, sep="\t", comment="#", schema=GTF, quote="").where("feature = 'gene'").withColumn("_a", X.attributes("attributes"))
+    get = lambda k: F.try_element_at("_a", F.lit(k))
+    x = rows.select(
+        X.unversioned(get("gene_id")).alias("gene_id"), X.first_filled(get("gene_name"), get("gene_id")).alias("gene_name"), X.first_filled(get("gene_type"), get("gene_biotype")).alias("gene_type"),
+        X.chrom("seqname").alias("chrom"), "strand", X.tss0("start", "end", "strand").alias("tss0"),
+    ).where("gene_id is not null")
+    if gene_type is not None:
+        x = x.where(F.col("gene_type") == gene_type)
+    if genes is not None:
+        x = x.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
+    w = Window.partitionBy("gene_id").orderBy("chrom", "tss0", "strand")
+    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def bed(spark: SparkSession, path: str) -> DataFrame:
+    """``(chrom, start, end, ccre_id, element_id, state, midpoint, is_synthetic)`` of lines with three to six fields."""
+    p = F.split("value", "\t")
+    at = lambda k: X.first_filled(F.try_element_at(p, F.lit(k)))
+    x = spark.read.text(path).where("value <> '' and not startswith(value, '#') and not startswith(value, 'track')")
+    x = x.select(X.chrom(at(1)).alias("chrom"), at(2).cast("long").alias("start"), at(3).cast("long").alias("end"), at(4).alias("ccre_id"), at(5).alias("element_id"), F.coalesce(at(6), F.lit("unknown")).alias("state"))
+    place = F.concat_ws(":", "chrom", F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string")))
+    x = x.where("start is not null and end > start").withColumn("ccre_id", F.coalesce("ccre_id", place)).withColumn("element_id", F.coalesce("element_id", "ccre_id"))
+    return x.withColumn("midpoint", X.midpoint("start", "end")).withColumn("is_synthetic", F.lit(False))
+
+
+def merged_intervals(tables: list[DataFrame]) -> DataFrame:
+    """Union of interval tables: prefix first, then one row a place; bad rows (null, empty, reversed) go."""
+    out = None
+    for t in tables:
+        x = t.select(X.chrom("chrom").alias("chrom"), F.col("start").try_cast("long").alias("start"), F.col("end").try_cast("long").alias("end"), "ccre_id", "state")
+        out = x if out is None else out.unionByName(x)
+    return out.dropna(subset=["chrom", "start", "end"]).where("end > start").groupBy("chrom", "start", "end").agg(F.min("ccre_id").alias("ccre_id"), F.min("state").alias("state"))
+
+
+def fasta(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFrame:
+    """``(chrom, start, seq)`` pieces of up to ``width`` bases, ready for range access.
+
+    Records are split at ``>``, so Spark cuts the file between sequences.
+    """
+    x = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    name = F.split(F.substring_index("value", "\n", 1), r"\s+")[0]
+    seq = F.upper(F.regexp_replace(F.substr("value", F.instr("value", "\n") + 1), r"\s+", ""))
+    x = x.select(name.alias("chrom"), seq.alias("_s"))
+    k = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.char_length("_s") - 1) / width), F.lit(0))))
+    return x.select("chrom", "_s", k.alias("_k")).select("chrom", (F.col("_k") * width).cast("long").alias("start"), F.substr("_s", F.col("_k").cast("int") * width + 1, F.lit(width)).alias("seq"))
+
+
+def fetch(sequences: DataFrame, regions: DataFrame, length: int, width: int = 1 << 16) -> DataFrame:
+    """``(region_id, seq)``: ``length`` bases around ``regions(region_id, chrom, midpoint)``, clipped at the start, then padded to the length."""
+    r = regions.withColumn("_from", X.window_start(F.col("midpoint"), length)).withColumn("_to", F.col("midpoint") - length // 2 + length)
+    pieces = F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.greatest(F.col("_to") - 1, F.col("_from")) / width)))
+    r = r.withColumn("_piece", pieces)
+    s = sequences.withColumn("_piece", F.floor(F.col("start") / width)).select("chrom", "_piece", F.col("start").alias("_at"), "seq")
+    x = r.join(s, ["chrom", "_piece"])
+    a, b = F.greatest(F.col("_from"), F.col("_at")), F.least(F.col("_to"), F.col("_at") + F.char_length("seq"))
+    x = x.withColumn("_part", F.substr("seq", (a - F.col("_at")).cast("int") + 1, F.greatest(b - a, F.lit(0)).cast("int")))
+    x = x.groupBy("region_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_part"))), lambda p: p["_part"]), "").alias("_s"))
+    return x.select("region_id", X.pad_or_trim("_s", length).alias("seq"))
+
+
+def matrix_market(spark: SparkSession, path: str, cells: int | None = None) -> DataFrame:
+    """``(cell, gene, value)`` from 0, of 1-based triplets; if the first dimension is not ``cells`` the matrix is turned.
+
+    The size line is the first that is no comment: the only line with no fraction
+    whose counts bound all others, read from the head of the file.
+    """
+    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''")
+    size = [int(v) for v in lines.first()["value"].split()]
+    p = F.split(F.trim("value"), r"\s+")
+    x = lines.where(F.trim("value") != F.lit(" ".join(map(str, size)))).select((p[0].cast("long") - 1).alias("a"), (p[1].cast("long") - 1).alias("b"), p[2].cast("double").alias("value"))
+    if cells is not None and size[0] != cells and size[1] != cells:
+        raise ValueError(f"neither dimension of {size[:2]} is {cells}")
+    turned = cells is not None and size[0] != cells
+    return x.select(F.col("b" if turned else "a").alias("cell"), F.col("a" if turned else "b").alias("gene"), "value")
+
+
+def aliased(rows: DataFrame, wanted: dict[str, list[str]], defaults: dict[str, object] | None = None) -> DataFrame:
+    """The wanted columns under their names: the first alias there is (case, blanks and underscores do not matter), a default, or an error."""
+    plain = lambda s: s.lower().replace("_", "").replace(" ", "")
+    have = {plain(x): x for x in reversed(rows.columns)}
+    out = []
+    for name, aliases in wanted.items():
+        found = next((have[plain(a)] for a in [name, *aliases] if plain(a) in have), None)
+        if found is not None:
+            out.append(F.col(f"`{found}`").alias(name))
+        elif defaults is not None and name in defaults:
+            out.append(F.lit(defaults[name]).alias(name))
+        else:
+            raise KeyError(f"no column for {name} among {rows.columns}")
+    return rows.select(*out)
+
+
+GENE_ALIASES = {"gene_id": ["id"], "gene_short_name": ["gene_name", "symbol", "name"], "gene_type": ["biotype"], "chr": ["chrom", "chromosome"]}
+CELL_ALIASES = {"cell_id": ["cell", "barcode"], "timepoint": ["day", "stage"]}
+
+
+def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV with header; ``.gz`` is read as such. Without a schema all columns are strings: types come by name, not by guess."""
+    return spark.read.csv(path, header=True, schema=schema) if schema else spark.read.csv(path, header=True)
+
+
+def with_provenance(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
+    """Union of the CSV files a pattern names, with ``source_file``."""
+    return table(spark, pattern, schema).withColumn("source_file", F.col("_metadata.file_path"))
+
+
+def inventory(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(path, bytes)`` of files, without reading them."""
+    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"))
+
+
+def document(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, multiLine=True)
+
+
+@dataclass(frozen=True)
+class Config:
+    """Driver-side settings with the defaults of the workflow."""
+
+    window: int = 100_000
+    promoter_window: int = 1_000
+    synthetic_width: int = 512
+    tokens_per_gene: int = 32
+    ot_epsilon: float = 0.05
+    ot_iterations: int = 80
+    held_out: tuple[str, ...] = ("E9.5", "E10.5")
+    time_coordinate: str = "physical"
+    time_scale: float = 1.0
+    seed: int = 0
+
+    @classmethod
+    def load(cls, path: str, overrides: dict | None = None) -> Config:
+        """From JSON or YAML (if its package is there), then overrides; unknown keys are errors."""
+        text = Path(path).read_text()
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            got = yaml.safe_load(text) or {}
+        else:
+            got = json.loads(text)
+        return cls.of(got | (overrides or {}))
+
+    @classmethod
+    def of(cls, got: dict) -> Config:
+        names = {f.name for f in fields(cls)}
+        if extra := set(got) - names:
+            raise KeyError(f"unknown settings {sorted(extra)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in got.items()})
+
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "HELIXFRAME_") -> Config:
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        got = {k: v for f in kinds if (v := env.get(prefix + f.upper())) is not None for k in [f]}
+        return cls.of({k: (tuple(v.split(",")) if kinds[k] is tuple else kinds[k](v)) for k, v in got.items()})
+
+
+class RowRanges(DataSource):
+    """``.format("rowranges")``: chunks of a row-ordered text matrix (one line a row, values parted by commas) as (file, row, values).
+
+    Each file is cut in ranges of ``chunk`` rows; a task reads one range.
+    Options: ``path`` (comma-parted files that executors can open), ``chunk``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "rowranges"
+
+    def schema(self) -> str:
+        return "source_file string, row long, values array<double>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RowRangeReader(self.options)
+
+
+@dataclass
+class _Range(InputPartition):
+    path: str
+    start: int
+    stop: int
+
+
+class _RowRangeReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths, self.chunk = sorted(options["path"].split(",")), int(options.get("chunk", "1000"))
+
+    def partitions(self) -> list[_Range]:
+        out = []
+        for p in self.paths:
+            with open(p) as f:
+                n = sum(1 for _ in f)
+            out += [_Range(p, a, min(a + self.chunk, n)) for a in range(0, n, self.chunk)]
+        return out
+
+    def read(self, part: _Range) -> Iterable[tuple]:
+        with open(part.path) as f:
+            for k, line in enumerate(f):
+                if part.start <= k < part.stop:
+                    yield part.path, k, [float(v) for v in line.split(",")]
+                elif k >= part.stop:
+                    break
