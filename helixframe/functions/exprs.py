@@ -57,7 +57,7 @@ def midpoint(start: Column | str, end: Column | str) -> Column:
 
 def attributes(raw: Column | str) -> Column:
     """``key "value"; ...`` as a map; the last of equal keys wins, items without a space are ignored."""
-    items = F.filter(F.transform(F.split(c(raw), ";"), F.trim), lambda i: F.instr(i, " ") > 0)
+    items = F.filter(F.transform(F.split(c(raw), ";"), lambda i: F.trim(i)), lambda i: F.instr(i, " ") > 0)
     pairs = F.transform(items, lambda i: F.struct(F.substring_index(i, " ", 1).alias("k"), F.trim(F.substr(i, F.instr(i, " ") + 1), F.lit('" ')).alias("v")))
     last = F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.greatest(F.size(pairs) - k - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
