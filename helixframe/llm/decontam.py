@@ -13,15 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import width
-from helixframe.llm.textvec import PLAIN, words
+from helixframe.llm.textvec import PLAIN, Lookup, words
 
 #: Words of a passage; texts are searched by two neighbouring passages at a time.
 PASSAGE = 24
 #: Most words of an item that one query holds; longer items give several.
 QUERY = 48
-RANK = 96
-#: Words that more than this share of the passages hold take no part in the retrieval.
-COMMON = 0.05
+RANK = 64
+#: Words that more than these shares of the passages, or of the items, hold take no part in the retrieval.
+COMMON, COMMON_ITEMS = 0.05, 0.1
 #: Items (and their words) that go to every task; more are searched group by group.
 GROUP_ITEMS, GROUP_WORDS = 20_000, 400_000
 MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
@@ -39,10 +39,12 @@ class Items:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK)))
 
-    def number(self, h: np.ndarray) -> np.ndarray:
-        """Vocabulary numbers of word hashes, -1 for other words."""
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at, -1)
+    def telling(self) -> np.ndarray:
+        """Whether each word is in few enough of the items to tell them apart (in a small benchmark, all are)."""
+        df = np.zeros(len(self.vocabulary))
+        for w in self.words:
+            df[np.unique(w)] += 1
+        return df <= max(COMMON_ITEMS * len(self.words), 3)
 
 
 def _answer_words(text: str) -> int:
@@ -83,19 +85,17 @@ def groups(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "te
     return made
 
 
-def _passages(w, items: Items):
-    """Of the words of a slice that are in the vocabulary: number, passage; and of each passage: text, first word, words before it in its text."""
+def _passages(w, lookup: Lookup):
+    """Of the words of a slice: vocabulary numbers, -1 for others; of those inside, their place and passage; of each passage: text, first word, number in its text."""
     first = np.searchsorted(w.doc, np.arange(len(w.per_doc)))
     many = -(-w.per_doc // PASSAGE)
     text = np.repeat(np.arange(len(many)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     start = first[text] + nth * PASSAGE
-    number = items.number(w.hash)
+    number = lookup.find(w.hash)
     at = np.flatnonzero(number >= 0)
-    if len(items.idf):
-        at = at[items.idf[number[at]] > 0]
-    passage = np.searchsorted(start, at, "right") - 1
-    return number[at], passage, text, start, nth
+    of_word = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(np.r_[start, len(w.hash)]))
+    return number, at, of_word[at], text, start, nth
 
 
 def _sums(vectors: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
@@ -108,15 +108,23 @@ def _sums(vectors: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
 
 
 def _gram(items: Items, test: np.ndarray):
-    """Parts of T'T test, T the passages' term counts, with the terms' passage counts and the number of passages."""
+    """Parts of T'T test, T the passages' counts of telling terms, with all terms' passage counts and the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, k = test.shape
         total, df, n = np.zeros((d, k)), np.zeros(d), 0
+        lookup, telling = Lookup(items.vocabulary), items.telling()
         for b in batches:
-            for _, _, w in words(b.column(0), letters=PLAIN):
-                number, passage, text, _, _ = _passages(w, items)
+            for _, _, w in words(b.column(0), 1 << 20, PLAIN):
+                number, at, passage, text, _, _ = _passages(w, lookup)
                 n += len(text)
+                if not len(at):
+                    continue
+                number = number[at]
+                both = np.unique(number.astype(np.int64) * len(text) + passage)
+                df += np.bincount(both // len(text), minlength=d)
+                keep = telling[number]
+                number, passage = number[keep], passage[keep]
                 if not len(number):
                     continue
                 y = _sums(test[number], passage, len(text))
@@ -124,8 +132,6 @@ def _gram(items: Items, test: np.ndarray):
                 number, passage = number[order], passage[order]
                 new = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
                 total[number[new]] += np.add.reduceat(y[passage], new)
-                both = np.unique(number.astype(np.int64) * len(text) + passage)
-                df += np.bincount(both // len(text), minlength=d)
         body = np.c_[total, df].astype(np.float32)
         cut = np.array_split(np.arange(d), 16)
         way = TaskContext.get().partitionId() % 64
@@ -162,37 +168,43 @@ def fit(texts: DataFrame, items: Items, *, rank: int = RANK, seed: int = 17) ->
     """Adds to a group the idf of its words over all passages of all texts and the leading ``rank`` right singular vectors of the TF-IDF passages.
 
     Columns are the words of the items: other words add nothing to a cosine
-    with an item. The items' own passages are rows too, with so much weight
-    that their directions lead: a leak is rare in the corpus, and a basis of
-    the corpus alone keeps its frequent words and loses those that tell items
-    apart. Two passes over the texts: A'A of a random matrix, and A'A of
-    its orthonormal basis, from which the small eigenproblem gives the vectors.
-    Words of more than ``COMMON`` of the passages weigh nothing.
+    with an item; words of more than ``COMMON`` of the passages or
+    ``COMMON_ITEMS`` of the items weigh nothing. The items' own passages are
+    rows too, with so much weight that their directions lead: a leak is rare in
+    the corpus, and a basis of the corpus alone keeps its frequent words and
+    loses those that tell items apart. One pass over the texts gives A'A of a
+    random matrix, and from it a randomised (Nystrom) decomposition of A'A.
     """
     d = len(items.vocabulary)
     k = min(rank + 16, d)
     test = np.random.default_rng(seed).standard_normal((d, k))
     z, df, n = _summed(texts, items, test)
-    idf = np.where(df > COMMON * n, 0.0, np.log((n + 1) / (df + 1)))
+    idf = np.where((df > COMMON * n) | ~items.telling(), 0.0, np.log((n + 1) / (df + 1)))
     items.idf = idf
-
-    def gram(x: np.ndarray) -> np.ndarray:
-        """B'B x, B the items' TF-IDF rows at unit length."""
-        out = np.zeros_like(x)
-        for w in items.words:
-            u, c = np.unique(w, return_counts=True)
-            row = c * idf[u]
-            row = row / max(np.linalg.norm(row), 1e-9)
-            out[u] += row[:, None] * (row @ x[u])
-        return out
-
-    z = idf[:, None] * z  # the random matrix stands behind the weights
-    lead = np.linalg.norm(z, 2) / max(np.linalg.norm(test, 2), 1e-9)
-    q = np.linalg.qr(z + 4 * lead * gram(test))[0]
-    z, _, _ = _summed(texts, items, idf[:, None] * q)
-    z = idf[:, None] * z + 4 * lead * gram(q)
-    value, vector = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-    items.basis = q @ vector[:, ::-1][:, :rank]
+    live = np.flatnonzero(idf > 0)
+    if not len(live):
+        items.basis = np.zeros((d, 1))
+        return items
+    # The random matrix stands behind the weights: A'A (test / idf) = idf T'T test.
+    z, test = idf[live, None] * z[live], test[live] / idf[live, None]
+    own = np.zeros((d, k))
+    behind = np.zeros((d, k))
+    behind[live] = test
+    for w in items.words:
+        u, c = np.unique(w, return_counts=True)
+        row = c * idf[u]
+        row = row / max(np.linalg.norm(row), 1e-9)
+        own[u] += row[:, None] * (row @ behind[u])
+    lead = np.linalg.norm(z, 2) / max(np.linalg.norm(own, 2), 1e-9)
+    z = z + 4 * lead * own[live]
+    shift = 1e-8 * np.linalg.norm(z)
+    z = z + shift * test
+    core = test.T @ z
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    half = vector / np.sqrt(np.maximum(value, value.max() * 1e-10))
+    left = np.linalg.svd(z @ half, full_matrices=False)[0]
+    items.basis = np.zeros((d, min(rank, left.shape[1])))
+    items.basis[live] = left[:, :rank]
     return items
 
 
@@ -227,7 +239,7 @@ def matches(text: Column, group: list[Items], *, cosine: float = 0.55, share: fl
         searches = [_Search(Items(*s), cosine, share, whole, rare) for s in send]
         for column in batches:
             out: list[dict] = [{} for _ in range(len(column))]
-            for first, _, w in words(column, letters=PLAIN):
+            for first, _, w in words(column, 1 << 20, PLAIN):
                 for s in searches:
                     s.find(w, out, first)
             yield pa.array([[{"item_id": i, "cosine": c, "lcs": r, "answer": a} for i, (c, r, a) in sorted(x.items())] for x in out], _MATCH)
@@ -239,6 +251,7 @@ class _Search:
     def __init__(self, items: Items, cosine: float, share: float, whole: float, rare: float):
         self.items, self.cosine, self.share, self.whole, self.rare = items, cosine, share, whole, rare
         self.vectors = items.idf[:, None].astype(np.float32) * items.basis
+        self.lookup, self.live = Lookup(items.vocabulary), items.idf > 0
         self.query, self.offset, rows = [], [], []
         for k, w in enumerate(items.words):
             for at in range(0, len(w), QUERY):
@@ -254,16 +267,17 @@ class _Search:
             self.rarer.append(frozenset(u[np.argsort(-items.idf[u], kind="stable")[: max(1, len(u) // 2)]].tolist()))
 
     def find(self, w, out: list[dict], first: int) -> None:
-        number, passage, text, start, nth = _passages(w, self.items)
-        if not len(number):
+        every, at, passage, text, start, nth = _passages(w, self.lookup)
+        keep = self.live[every[at]]
+        at, passage = at[keep], passage[keep]
+        if not len(at):
             return
-        v = _sums(self.vectors[number], passage, len(text))
+        v = _sums(self.vectors[every[at]], passage, len(text))
         last = np.r_[text[1:] != text[:-1], True]
         v[~last] += v[1:][~last[:-1]]
         use = np.flatnonzero(~last | (nth == 0))  # the last passage alone only if it is the first
         v = v[use]
         v /= np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
-        every = self.items.number(w.hash)
         begin = np.searchsorted(w.doc, np.arange(len(w.per_doc)))
         for a in range(0, len(use), 4096):
             near = v[a : a + 4096] @ self.matrix

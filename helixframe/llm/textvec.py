@@ -121,3 +121,29 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(doc, kind="stable")
         doc, value = doc[order], value[order]
     return doc, value
+
+
+class Lookup:
+    """Numbers of known 64-bit hashes, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.r_[keys, np.uint64(0)]
+        self.mask = np.uint64((1 << max(8, int(len(keys) * 4 - 1).bit_length())) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free][::-1]] = left[free][::-1]
+            out = self.slot[at] != left
+            left, at = left[out], (at[out] + np.uint64(1)) & self.mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 for unknown ones."""
+        at = h & self.mask
+        got = self.slot[at]
+        miss = np.flatnonzero((got >= 0) & (self.keys[got] != h))
+        while len(miss):
+            at[miss] = (at[miss] + np.uint64(1)) & self.mask
+            got[miss] = self.slot[at[miss]]
+            miss = miss[(got[miss] >= 0) & (self.keys[got[miss]] != h[miss])]
+        return got
