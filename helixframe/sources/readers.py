@@ -218,3 +218,52 @@ class _RowRangeReader(DataSourceReader):
                     yield part.path, k, [float(v) for v in line.split(",")]
                 elif k >= part.stop:
                     break
+
+
+def arrays(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(source_file, name, row, values)`` of two-dimensional arrays in ``.npy`` and ``.npz`` files; pickled content is refused.
+
+    A file is read whole by one task: keep such files small, or convert them to Parquet once.
+    """
+
+    def read(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
+                for name, x in got.items() if hasattr(got, "items") else [("", got)]:
+                    x = np.asarray(x, np.float64)
+                    x = x.reshape(len(x), -1) if x.ndim else x.reshape(1, 1)
+                    for a in range(0, len(x), 1024):
+                        part = x[a : a + 1024]
+                        n = len(part)
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([name] * n), pa.array(range(a, a + n), pa.int64()), pa.array(part.tolist(), pa.list_(pa.float64()))], names=["source_file", "name", "row", "values"])
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(read, "source_file string, name string, row long, values array<double>")
+
+
+def workbook(spark: SparkSession, pattern: str) -> DataFrame:
+    """``(source_file, sheet, row, cells)`` of all sheets of Excel files; unreadable files give no rows. Needs openpyxl on the executors."""
+
+    def read(batches):
+        import io
+
+        import pyarrow as pa
+        from openpyxl import load_workbook
+
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    book = load_workbook(io.BytesIO(content.as_py()), read_only=True, data_only=True)
+                except (OSError, ValueError, KeyError):
+                    continue
+                for sheet in book.worksheets:
+                    rows = [[None if v is None else str(v) for v in r] for r in sheet.iter_rows(values_only=True)]
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([sheet.title] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["source_file", "sheet", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(read, "source_file string, sheet string, row long, cells array<string>")

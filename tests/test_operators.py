@@ -242,3 +242,10 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {r["gene"]: round(r["variance"], 9) for r in passes.variances(spark, state, 20).collect()}
     assert got == {r["gene"]: round(r["variance"], 9) for r in matrix.variance(m, 20).collect()}
     assert passes.resume(m, m.where("cell < 15"), "cell").select("cell").distinct().count() == 5
+
+
+def test_array_files(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.array([[1, 2], [3, 4]], np.float16))
+    np.savez(tmp_path / "b.npz", x=np.array([5.0, 6.0]))
+    got = sorted((r["name"], r["row"], r["values"]) for r in readers.arrays(spark, str(tmp_path / "*.np*")).collect())
+    assert got == [("", 0, [1, 2]), ("", 1, [3, 4]), ("x", 0, [5]), ("x", 1, [6])]
