@@ -90,6 +90,18 @@ SELECT d.page_id, payload_bytes, d.payload_digest,
        CASE WHEN d.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN d.page_id > f.first THEN f.first END AS refers_to, d.url
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+""",
+    "op3_itq": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.d = b.d AND list_dot_product(a.e, b.e) >= 0.9),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
 """,
     "op10_mixing": mixing.ORACLE,
 }
