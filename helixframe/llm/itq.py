@@ -39,7 +39,7 @@ def layout(n: int, dim: int, threshold: float, miss: float) -> tuple[int, int]:
 
     A pair at an angle a keeps a bit with probability 1 - a / pi.
     """
-    bits = max(4, min(round(math.log2(max(n, 2))) - 5, 24, dim))
+    bits = max(1, min(max(round(math.log2(max(n, 2))) - 5, 4), 24, dim))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
 
@@ -145,8 +145,10 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     if len(dims) > most_dims:
         raise ValueError(f"more than {most_dims} lengths of vectors")
     for d in dims:
-        took = sets.where(F.size("v") == d["d"]).select("v").orderBy(F.xxhash64(F.lit("itq"), "g"), "g").limit(sample).collect()
-        x = np.array([r["v"] for r in took])
+        # The hash below which twice the sample is expected; then the sample itself.
+        rank, below = F.shiftrightunsigned(F.xxhash64(F.lit("itq"), "g"), 1), (1 << 63) - 1
+        took = sets.where((F.size("v") == d["d"]) & (rank <= F.lit(min(below, below * 2 * sample // d["count"])))).select(rank.alias("r"), "g", "v").collect()
+        x = np.array([r["v"] for r in sorted(took, key=lambda r: (r["r"], r["g"]))[:sample]])
         x /= np.linalg.norm(x, axis=1)[:, None]
         bits, tables = layout(d["count"], d["d"], threshold, miss)
         need = math.ceil(tables / (d["d"] // bits))
