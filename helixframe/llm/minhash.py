@@ -78,9 +78,10 @@ def _sequence(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(buckets: int):
     """Rows for each slice of texts: its distinct sampled shingle hashes by bucket, and one header that says whose they are.
 
-    A text of n shingles is judged by those whose hash falls in its 1/2^e share
-    (SKETCH to 2 * SKETCH of them, all if fewer) and shows twice that share, as
-    a text of 0.8 times or 1.25 times its length may be judged by twice.
+    A text of n distinct shingles is judged by those whose hash falls in its
+    1/2^e share (SKETCH to 2 * SKETCH of them expected, all if fewer than that)
+    and shows twice that share, as a text of 0.8 times or 1.25 times its length
+    may be judged by twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,21 +92,21 @@ def _sketch(buckets: int):
                 nth += 1
                 m = end - first
                 doc, h = shingles(w)
-                n = np.bincount(doc, minlength=m)
-                e = np.maximum(np.floor(np.log2(np.maximum(n, 1) / SKETCH)), 0).astype(np.uint64)
-                low = h & np.uint64(0xFFFFFF)
-                shown = (low & ((np.uint64(1) << (np.maximum(e, 1) - np.uint64(1))) - np.uint64(1))[doc]) == 0
-                doc, h = doc[shown], h[shown]
                 order = np.lexsort((doc, h))
                 doc, h = doc[order], h[order]
                 if len(h):
                     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
                     doc, h = doc[new], h[new]
+                n = np.bincount(doc, minlength=m)
+                e = np.maximum(np.floor(np.log2(np.maximum(n, 1) / SKETCH)), 0).astype(np.uint64)
+                low = h & np.uint64(0xFFFFFF)
+                shown = (low & ((np.uint64(1) << (np.maximum(e, 1) - np.uint64(1))) - np.uint64(1))[doc]) == 0
+                doc, h = doc[shown], h[shown]
                 judged = (h & np.uint64(0xFFFFFF) & ((np.uint64(1) << e) - np.uint64(1))[doc]) == 0
                 at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
                 size = np.diff(np.r_[at, len(h)])
                 shared = np.repeat(size > 1, size)
-                total = np.bincount(doc[judged], minlength=m)
+                total = np.where(w.per_doc > 0, np.bincount(doc[judged], minlength=m), -1)
                 known = np.bincount(doc[judged & shared], minlength=m)
                 owner = np.where((size == 1) & judged[at], doc[at], -1) if len(h) else np.zeros(0, np.int64)
                 u = h[at] if len(h) else h
@@ -153,7 +154,7 @@ def _meet(t: pa.Table) -> pa.Table:
 
 def _judge(share: float):
     def run(t: pa.Table) -> pa.Table:
-        """Of one slice: the texts of which at least ``share`` of the judged hashes are in another text."""
+        """Of one slice: the texts with words, and whether at least ``share`` of their judged hashes are in another text."""
         parts, head, owner = [], None, None
         for at, h, hd, ow in zip(*(t.column(c).to_pylist() for c in ("at", "hashes", "head", "owner")), strict=True):
             if at < 0:
@@ -164,8 +165,8 @@ def _judge(share: float):
         if parts:
             whose = owner[np.concatenate(parts)]
             known = known + np.bincount(whose[whose >= 0], minlength=len(ids))
-        keep = (total > 0) & (known >= share * total)
-        return pa.table({"i": ids[keep], "h1": one[keep], "h2": two[keep]})
+        text = total >= 0
+        return pa.table({"i": ids[text], "h1": one[text], "h2": two[text], "on": (known >= share * total)[text]})
 
     return run
 
@@ -334,9 +335,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. Each slice of texts shows a sample of its distinct shingle hashes to
        hash buckets, which answer which of them another slice holds; a text
-       under half of whose judged hashes is elsewhere has no partner and goes
-       no further. A passage that all texts share costs a hash a slice.
-    2. Texts with equal word sequences fall together; one of them goes on.
+       under half of whose judged hashes is elsewhere has no similar partner. A
+       passage that all texts share costs a hash a slice.
+    2. Texts with equal word sequences fall together, whatever 1 says of them;
+       one of them goes on, if 1 leaves it a partner.
     3. Consistent weighted samples, ``bands`` of ``rows`` (a pair at 0.8 is
        missed in 3 cases of 100,000); texts of a bucket are joined through
        its smallest id, which gives clusters to check.
@@ -361,11 +363,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = base.where("i is not null and t is not null")
     shown = named.mapInArrow(_sketch(buckets), _SKETCH_DDL)
     met = shown.groupBy("bucket").applyInArrow(_meet, _SKETCH_DDL)
-    kept = written(met.groupBy("slice").applyInArrow(_judge(threshold * 0.6), "i long, h1 long, h2 long"), "dedup-kept")
+    known = written(met.groupBy("slice").applyInArrow(_judge(threshold * 0.6), "i long, h1 long, h2 long, on boolean"), "dedup-known")
 
-    first = kept.groupBy("h1", "h2").agg(F.min("i").alias("rep"))
-    member = kept.join(first.hint("merge"), ["h1", "h2"]).select("i", "rep")
-    reps = first.select(F.col("rep").alias("i")).distinct()
+    first = known.groupBy("h1", "h2").agg(F.min("i").alias("rep"), F.max("i").alias("top"), F.max("on").alias("on")).where("on or rep < top")
+    member = known.join(first.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("i", "rep")
+    reps = first.where("on").select(F.col("rep").alias("i")).distinct()
     sampled = written(named.join(reps.hint("merge"), "i", "left_semi").mapInArrow(_samples(idf, bands, rows), _SAMPLE_DDL), "dedup-samples")
 
     keyed = sampled.select("i", F.explode("keys").alias("key"))

@@ -84,6 +84,22 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got[1] == got[10] == got[13] and got[14] == got[15] and got[16] == 16 and got[17] == 17
 
 
+def test_copies_of_texts_that_repeat_themselves_meet(spark):
+    texts = ["".join(prose(700 + 9 * k + j, 8) + "\n" for j in range(1 + k % 5)) * 60 for k in range(30)] + [(prose(9000 + k, 1) + " ") * 300 for k in range(20)]
+    rows = [(100 * c + k, x, "en", "s") for k, t in enumerate(texts) for c, x in enumerate((t, t, t + t[: len(t) // 20]))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    sets = dict(zip((k for k, *_ in rows), weighted_sets([t for _, t, _, _ in rows]), strict=True))
+    near = [k for k in range(50) if jaccard(sets[k], sets[200 + k]) >= 0.8]
+    assert len(near) > 30 and all(got[k] == got[100 + k] == k for k in range(50)) and all(got[200 + k] == k for k in near)
+
+
+def test_copies_meet_whatever_the_filter_says(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_judge", lambda share, judge=minhash._judge: judge(2.0))
+    rows = [(k, prose(k % 5, 80), "en", "s") for k in range(10)] + [(20, "", "en", "s"), (21, None, "en", "s"), (22, " ", "en", "s")]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {k: k % 5 for k in range(10)} | {20: 20, 21: 21, 22: 22}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
     t = prose(1, 50)
