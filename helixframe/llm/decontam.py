@@ -20,8 +20,9 @@ PASSAGE = 24
 #: Most words of an item that one query holds; longer items give several.
 QUERY = 48
 RANK = 64
-#: Words that more than these shares of the passages, or of the items, hold take no part in the retrieval.
+#: Words that more than these shares of the passages, or of the items, hold take no part in the retrieval, but of items that would lose more than LOST of their words by it; the words of those weigh LEAST at least.
 COMMON, COMMON_ITEMS = 0.05, 0.1
+LOST, LEAST = 0.5, 1.0
 #: Items (and their words) that go to every task; more are searched group by group.
 GROUP_ITEMS, GROUP_WORDS = 20_000, 400_000
 MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
@@ -40,11 +41,19 @@ class Items:
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK)))
 
     def telling(self) -> np.ndarray:
-        """Whether each word is in few enough of the items to tell them apart (in a small benchmark, all are)."""
+        """Whether each word is in few enough of the items to tell them apart (in a small benchmark, all are), or in an item that has few such words."""
         df = np.zeros(len(self.vocabulary))
         for w in self.words:
             df[np.unique(w)] += 1
-        return df <= max(COMMON_ITEMS * len(self.words), 3)
+        few = df <= max(COMMON_ITEMS * len(self.words), 3)
+        out = few.copy()
+        for u in self.losing(few):
+            out[u] = True
+        return out
+
+    def losing(self, live: np.ndarray) -> list[np.ndarray]:
+        """The distinct words of each item of which more than ``LOST`` are not live."""
+        return [u for u in map(np.unique, self.words) if live[u].sum() < (1 - LOST) * len(u)]
 
 
 def _answer_words(text: str) -> int:
@@ -169,7 +178,9 @@ def fit(texts: DataFrame, items: Items, *, rank: int = RANK, seed: int = 17) ->
 
     Columns are the words of the items: other words add nothing to a cosine
     with an item; words of more than ``COMMON`` of the passages or
-    ``COMMON_ITEMS`` of the items weigh nothing. The items' own passages are
+    ``COMMON_ITEMS`` of the items weigh nothing, unless an item would lose most
+    of its words: one that leaks often makes its own words common, and in a
+    corpus of a few passages all words are. The items' own passages are
     rows too, with so much weight that their directions lead: a leak is rare in
     the corpus, and a basis of the corpus alone keeps its frequent words and
     loses those that tell items apart. One pass over the texts gives A'A of a
@@ -179,7 +190,15 @@ def fit(texts: DataFrame, items: Items, *, rank: int = RANK, seed: int = 17) ->
     k = min(rank + 16, d)
     test = np.random.default_rng(seed).standard_normal((d, k))
     z, df, n = _summed(texts, items, test)
-    idf = np.where((df > COMMON * n) | ~items.telling(), 0.0, np.log((n + 1) / (df + 1)))
+    telling, plain = items.telling(), np.log((n + 1) / (df + 1))
+    idf = np.where((df > COMMON * n) | ~telling, 0.0, plain)
+    for u in items.losing(idf > 0):
+        back = u[telling[u] & (df[u] > COMMON * n)]
+        if len(back):
+            idf[back] = np.maximum(plain[back], LEAST)
+            # What no passage holds meets nothing: it must not outweigh what does.
+            unseen = u[df[u] == 0]
+            idf[unseen] = np.minimum(idf[unseen], idf[back].max())
     items.idf = idf
     live = np.flatnonzero(idf > 0)
     if not len(live):

@@ -337,6 +337,25 @@ def test_leaks(spark):
     assert decontam.contaminated(docs(spark, []), bench).collect() == []
 
 
+def test_frequent_leaks_and_small_corpora(spark):
+    items = [prose(k + 300, 30) for k in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, prose(k, 40) + " " + (edited(items[4], k, 3) if k % 6 == 0 else items[4]) + " " + prose(k + 500, 30) if k % 3 == 0 else prose(k, 100), "en", "s") for k in range(120)]
+    rows += [(200, prose(201, 50) + " " + items[7], "en", "s")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(k, 4) for k in range(0, 120, 3)} | {(200, 7)}
+    few = [(0, items[3], "en", "s"), (1, prose(1, 60), "en", "s"), (2, prose(2, 30) + " " + items[5] + " " + prose(3, 20), "en", "s")]
+    for n in (1, 3):
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, few[:n]), bench).collect()}
+        assert got == {(0, 3), (2, 5)} if n > 1 else got == {(0, 3)}
+
+
+def test_items_that_many_items_repeat(spark):
+    bench = spark.createDataFrame([(k, prose(300, 30)) for k in range(8)] + [(20 + k, prose(k + 320, 30)) for k in range(12)], "item_id long, text string")
+    rows = [(k, prose(k, 150), "en", "s") for k in range(40)] + [(90, prose(91, 50) + " " + prose(300, 30), "en", "s")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, rows), bench).collect()} == {(90, k) for k in range(8)}
+
+
 # --- 10 ----------------------------------------------------------------------------------------
 
 
