@@ -208,6 +208,13 @@ def test_main_text_of_a_page():
     assert hosttext.blocks("<p>a<p hidden>b</p><p style='display: none'>c</p><p>d") == (["a", "d"], False)
 
 
+def test_long_attribute_values():
+    long = "x > y " * 9000
+    page = f"""<body><p>Out</p><script data-a="{long}">var code = 1;</script><article data-b='{long}'><div class="advert" style="{long}"><p>Buy</p></div><p>In</p><img src="data:{long}"><p>more</p></article><p>Under</p></body>"""
+    assert hosttext.blocks(page) == (["In", "more"], True)
+    assert hosttext.blocks("<p>a</p><p title='" + long + "'>b</p><p>c") == (["a", "b", "c"], False)
+
+
 def test_repeated_substrings_equal_brute_force():
     r = random.Random(4)
     for _ in range(20):
