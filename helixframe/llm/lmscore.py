@@ -5,8 +5,8 @@ coded in bits: one of the ``HEAD`` most frequent training words (seen twice at
 least: what is seen once stands for what is not seen), the end and an
 escape by a Huffman path; behind an escape its number among the text's escaped
 words so far, or its bytes and a space by another path. Each bit is predicted in several contexts (the node alone, behind one
-word, behind the last very frequent word; in a word the node at its place and behind 2, 3 and 5
-bytes); contexts are hashed to slots that hold counts of both bits from all
+word, behind two, behind the last very frequent word; in a word the node at its place and behind 1, 2, 3, 4 and
+6 bytes); contexts are hashed to slots that hold counts of both bits from all
 training texts. The predictions are mixed in the logistic domain with weights
 that a gate (depth, confidence of the contexts) selects; they are learned
 online, each slice of texts predicted by what came before it in its task, and
@@ -31,13 +31,11 @@ from helixframe.llm.common import width, written
 from helixframe.llm.textvec import Lookup, Words, mix64, words
 
 HEAD = 1 << 16
-#: log2 of the slots of a table: the model has a fixed size, some 8 MB with 16 bits a slot.
-WORD_SLOTS, BYTE_SLOTS = 20, 19
-ORDERS = (2, 3, 5)
+#: log2 of the slots of a table: the model has a fixed size, some 24 MB with 16 bits a slot.
+WORD_SLOTS, BYTE_SLOTS = 21, 20
+ORDERS = (1, 2, 3, 4, 6)
 #: The most frequent words; the last of them in the text is a context of its own.
 MARKS = 256
-#: The weights of the mix learn from every so many-th token of all texts (the counts are of every token).
-LEARN = 16
 #: Bytes of text whose bits are mixed at once, and tokens between two refinements of a text.
 PIECE, SEGMENT = 64 << 10, 512
 RANGES = 32
@@ -117,16 +115,20 @@ def _short(context: np.ndarray) -> np.ndarray:
     return (mix64(context) >> np.uint64(32)).astype(np.uint32)
 
 
-def word_bits(codes: Codes, symbols: np.ndarray, one: np.ndarray, mark: np.ndarray) -> Bits:
-    """``one``: hash of the word before each token; ``mark``: the last very frequent word.
+def _behind(one: np.ndarray, two: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The contexts of words: behind one word, behind two, behind the last very frequent one."""
+    return _short(one), _short(one * _K + mix64(two + np.uint64(1))), _short(mark.astype(np.uint64) + np.uint64(1))
+
+
+def word_bits(codes: Codes, symbols: np.ndarray, one: np.ndarray, two: np.ndarray, mark: np.ndarray) -> Bits:
+    """``one``, ``two``: hashes of the words before each token; ``mark``: the last very frequent word.
 
     The first slots are the steps of the code's paths; the table beside them is laid out so.
     """
     whose, at = _paths(codes.word, symbols)
     bit, mixed, depth = codes.word[3:]
     mixed = mixed[at]
-    near, last = _short(one), _short(mark.astype(np.uint64) + np.uint64(1))
-    return Bits(whose, bit[at], [at, _slot(near[whose], mixed, WORD_SLOTS), _slot(last[whose], mixed, WORD_SLOTS)], depth[at])
+    return Bits(whose, bit[at], [at, *(_slot(c[whose], mixed, WORD_SLOTS) for c in _behind(one, two, mark))], depth[at])
 
 
 def byte_bits(codes: Codes, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Bits:
@@ -238,6 +240,9 @@ class _Text:
         self.one[1:][inner[:-1]] = w.hash
         first = ends[:-1] + 1
         self.one[first] = 0
+        self.two = np.zeros(n, np.uint64)
+        self.two[1:] = self.one[:-1]
+        self.two[first] = 0
         # The last very frequent word before each token, in its own text.
         here = np.where(self.symbol < MARKS, np.arange(n, dtype=np.int32), -1)
         got = np.r_[np.int32(-1), np.maximum.accumulate(here)[:-1]] if n else here
@@ -333,13 +338,13 @@ class _Tally:
     def __init__(self, sizes: list[int], sure: tuple[int, int], steps: np.ndarray | None = None):
         """``steps``: for a first table met by steps of paths, the node of each."""
         self.steps = steps
-        self.n = [np.zeros((2, s)) for s in sizes]
+        self.n = [np.zeros((2, s), np.int32) for s in sizes]
         self.mixer = Mixer([np.zeros(s, np.int16) for s in sizes], _new_weights(len(sizes)), sure)
         self.seen = np.zeros(self.mixer.weights.shape[1])
 
     def count(self, table: int, slot: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         n = self.n[table]
-        n += np.bincount(slot + bit * np.intp(n.shape[1]), times, 2 * n.shape[1]).reshape(n.shape)
+        n += np.bincount(slot + bit * np.intp(n.shape[1]), times, 2 * n.shape[1]).reshape(n.shape).astype(np.int32)
 
     def refresh(self) -> None:
         for k, n in enumerate(self.n):
@@ -348,13 +353,13 @@ class _Tally:
             self.mixer.tables[0] = self.mixer.tables[0][self.steps]
 
 
-def _count_words(tally: _Tally, codes: Codes, symbol: np.ndarray, one: np.ndarray, mark: np.ndarray) -> None:
+def _count_words(tally: _Tally, codes: Codes, symbol: np.ndarray, one: np.ndarray, two: np.ndarray, mark: np.ndarray) -> None:
     """Counts the bits of tokens in every context, each distinct pair of context and symbol once, times its number."""
     u, c = np.unique(symbol, return_counts=True)
     _, _, node, bit, mixed, _ = codes.word
     whose, at = _paths(codes.word, u)
     tally.count(0, node[at], bit[at], c[whose])
-    for table, context in ((1, _short(one)), (2, _short(mark.astype(np.uint64) + np.uint64(1)))):
+    for table, context in enumerate(_behind(one, two, mark), 1):
         u, c = np.unique(context.astype(np.int64) << 20 | symbol, return_counts=True)
         for a in range(0, len(u), 1 << 17):
             part, times = u[a : a + (1 << 17)], c[a : a + (1 << 17)]
@@ -366,19 +371,19 @@ _CHUNK = "part int, at int, way int, body binary"
 
 
 def _train(codes: Codes):
-    sizes = [codes.end + 2, *[1 << WORD_SLOTS] * 2]
+    sizes = [codes.end + 2, *[1 << WORD_SLOTS] * 3]
     byte_sizes = [1 << BYTE_SLOTS] * (1 + len(ORDERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = Lookup(codes.head)
-        of_words, of_bytes, rare = _Tally(sizes, (1, 2), codes.word[2]), _Tally(byte_sizes, (2, 3)), _Rare()
+        of_words, of_bytes, rare = _Tally(sizes, (1, 2), codes.word[2]), _Tally(byte_sizes, (4, 5)), _Rare()
 
         tokens: list[_Text] = []
         size, due, early = 0, 1 << 15, True
 
         def settle():
             """Counts the tokens at hand; what comes after is predicted by them."""
-            _count_words(of_words, codes, *(np.concatenate([getattr(t, x) for t in tokens]) for x in ("symbol", "one", "mark")))
+            _count_words(of_words, codes, *(np.concatenate([getattr(t, x) for t in tokens]) for x in ("symbol", "one", "two", "mark")))
             of_words.refresh()
 
         def spell():
@@ -387,7 +392,7 @@ def _train(codes: Codes):
             known, held = of_bytes.n[0].any(), []
             for a, z in _parts(h, start, end):
                 b = byte_bits(codes, data, start[a:z], end[a:z])
-                if known and (a % 7_500 == 0 or len(h) < 30_000):
+                if known:
                     of_bytes.seen += of_bytes.mixer.learn(b)
                 held.append(b)
                 if z == len(h) or len(held) == 8:
@@ -397,15 +402,11 @@ def _train(codes: Codes):
                     held = []
             of_bytes.refresh()
 
-        nth = 0
         for b in batches:
             for first, last, w in words(b.column(0), PIECE):
                 t = _Text(codes, head, w, last - first)
                 if of_words.n[0].any():
-                    # Every LEARN-th token, wherever the last text ended.
-                    at = slice(-nth % LEARN, None, LEARN)
-                    of_words.seen += of_words.mixer.learn(word_bits(codes, t.symbol[at], t.one[at], t.mark[at]))
-                nth += len(t.symbol)
+                    of_words.seen += of_words.mixer.learn(word_bits(codes, t.symbol, t.one, t.two, t.mark))
                 rare.add(w, t.rare)
                 t.text = t.rare = None
                 tokens.append(t)
@@ -448,7 +449,7 @@ def _models(chunks: list, codes: Codes, sizes: list[int], byte_sizes: list[int])
     unpack = zstandard.ZstdDecompressor()
     bodies = {(r["part"], r["at"]): unpack.decompress(r["body"]) for r in chunks}
     out = []
-    for base, shape, sure in ((0, sizes, (1, 2)), (10, byte_sizes, (2, 3))):
+    for base, shape, sure in ((0, sizes, (1, 2)), (10, byte_sizes, (4, 5))):
         tables = []
         for k, size in enumerate(shape):
             pieces = []
@@ -558,7 +559,7 @@ def _score(codes: Codes, model):
             for first, last, w in words(b.column(0), PIECE):
                 n = last - first
                 t = _Text(codes, head, w, n)
-                bits = word_bits(codes, t.symbol, t.one, t.mark)
+                bits = word_bits(codes, t.symbol, t.one, t.two, t.mark)
                 cost = _refined(of_words.odds(bits), bits, t, n)
                 sure = t.symbol != codes.escape
                 cols = {

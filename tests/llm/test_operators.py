@@ -309,6 +309,25 @@ def test_language_model(spark):
     assert alone["train_tokens"] == 0 and alone["base_score"] == 0.0 and alone["score"] < 0
 
 
+def test_every_token_and_context_teaches_the_model():
+    codes = lmscore.Codes(np.arange(1, 6, dtype=np.uint64), np.ones(7, np.int64), 5, lmscore.huffman([5, 4, 3, 2, 1, 1, 1]), lmscore.huffman([1] * 256))
+    one, mark = np.full(2, 7, np.uint64), np.zeros(2, np.int64)
+    a, b = (lmscore.word_bits(codes, np.array([2, 2]), one, np.full(2, x, np.uint64), mark).slots for x in (8, 9))
+    assert [np.array_equal(x, y) for x, y in zip(a, b, strict=True)] == [True, True, False, True]
+    data = np.frombuffer(b"abcdefghij", np.uint8)
+    assert len(lmscore.byte_bits(codes, data, np.array([0]), np.array([10])).slots) == 6
+    text = pa.array([prose(k, 40_000) for k in range(3)])
+    codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2, 1]), lmscore.huffman([1] * 256))
+    run, *_ = lmscore._train(codes)
+    lmscore.TaskContext, held = type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0})())}), lmscore.TaskContext
+    try:
+        got = {r["part"]: r["body"] for b in run(iter([pa.RecordBatch.from_arrays([text], names=["t"])])) for r in b.to_pylist() if r["part"] >= 100}
+    finally:
+        lmscore.TaskContext = held
+    seen = np.frombuffer(lmscore.zstandard.ZstdDecompressor().decompress(got[100])).reshape(5, -1)[-1].sum()
+    assert seen >= 120_003 - (1 << 16)
+
+
 def test_huffman_paths_are_a_code():
     start, length, node, bit, _, _ = lmscore.huffman([5, 1, 1, 8, 3, 1])
     words = ["".join(str(b) for b in bit[s : s + n]) for s, n in zip(start, length, strict=True)]
