@@ -219,12 +219,12 @@ def test_repeated_substrings_equal_brute_force():
     r = random.Random(4)
     for _ in range(20):
         pages = [[r.randrange(4) for _ in range(r.randint(0, 30))] for _ in range(5)]
-        stream, page = [x for p in pages for x in p], [k for k, p in enumerate(pages) for _ in p]
-        got = hosttext.repeated(np.array(stream, np.uint64), np.array(page, np.int64), 3, 3) if stream else np.zeros(0, bool)
-        want = [False] * len(stream)
-        for a in range(len(stream) - 2):
+        tokens, page = [x for p in pages for x in p], [k for k, p in enumerate(pages) for _ in p]
+        got = hosttext.repeated(np.array(tokens, np.uint64), np.array(page, np.int64), 3, 3) if tokens else np.zeros(0, bool)
+        want = [False] * len(tokens)
+        for a in range(len(tokens) - 2):
             if page[a] == page[a + 2]:
-                s = stream[a : a + 3]
+                s = tokens[a : a + 3]
                 if len({k for k, p in enumerate(pages) if any(p[j : j + 3] == s for j in range(len(p)))}) >= 3:
                     want[a : a + 3] = [True] * 3
         assert got.tolist() == want
