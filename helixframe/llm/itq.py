@@ -58,11 +58,16 @@ def codes(x: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) ->
     return np.stack([b[:, s] @ place for s in _tables(rotations, bits, tables)], axis=1)
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; by their largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    return unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
 def _encode(models: dict[int, tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +154,7 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         rank, below = F.shiftrightunsigned(F.xxhash64(F.lit("itq"), "g"), 1), (1 << 63) - 1
         took = sets.where((F.size("v") == d["d"]) & (rank <= F.lit(min(below, below * 2 * sample // d["count"])))).select(rank.alias("r"), "g", "v").collect()
         x = np.array([r["v"] for r in sorted(took, key=lambda r: (r["r"], r["g"]))[:sample]])
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = unit(x)
         bits, tables = layout(d["count"], d["d"], threshold, miss)
         need = math.ceil(tables / (d["d"] // bits))
         models[d["d"]] = ([rotation(x, seed) for seed in range(need)], bits, tables)
