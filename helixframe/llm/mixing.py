@@ -16,13 +16,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, id_col: str, source_col: str, size: Column) -> DataFrame:
+def _keys(id_col: str, source_col: str, size: Column) -> dict[str, Column]:
+    """The working columns of a row: source, size, and its key's digits by level."""
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     at, digits = 1, []
     for n in LEVELS:
         digits.append(F.conv(F.substring(digest, at, n), 16, 10).cast("long"))
         at += n
-    return docs.withColumns({"_source": F.col(source_col), "_size": size} | {f"_k{i}": d for i, d in enumerate(digits)})
+    return {"_source": F.col(source_col), "_size": F.coalesce(size, F.lit(0)).cast("long")} | {f"_k{i}": d for i, d in enumerate(digits)}
 
 
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -38,12 +39,10 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     summed again, at the next level's digits.
 
     Null sizes count 0. Rows with equal ids (or null ids) have equal keys and
-    are taken together. An empty table gives an empty plan. A column named
-    like one of the working columns (``_source``, ``_size``, ``_k0``...) is shadowed.
+    are taken together. An empty table gives an empty plan.
     """
     size = word_count(F.col("text")) if size is None else size
-    rows = _keyed(docs, id_col, source_col, F.coalesce(size, F.lit(0)).cast("long"))
-    rows = written(rows.select("_source", "_size", *[f"_k{i}" for i in range(len(LEVELS))]), "mix-rows")
+    rows = written(docs.select(*[c.alias(n) for n, c in _keys(id_col, source_col, size).items()]), "mix-rows")
     hist = written(rows.groupBy("_source", "_k0").agg(F.sum("_size").alias("n")), "mix-hist")
 
     order = Window.orderBy(F.col("_source").asc_nulls_last())
@@ -89,17 +88,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     texts are not shuffled. Input columns with those names are replaced.
     """
     size = word_count(F.col("text")) if size is None else size
+    inner = next(n for n in (f"_mix{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    own = docs.withColumn(inner, F.struct(*[c.alias(n) for n, c in _keys(id_col, source_col, size).items()]))
     plan = mix_plan(docs, id_col=id_col, source_col=source_col, size=size, weights=weights, cap=cap)
-    p = plan.select(*[F.col(c).alias(f"_p_{c}") for c in plan.columns])
-    rows = _keyed(docs, id_col, source_col, F.coalesce(size, F.lit(0)).cast("long"))
+    plan = plan.select(F.struct(*plan.columns).alias(f"{inner}p"))
+    k, p = F.col(inner), F.col(f"{inner}p")
     below, same = F.lit(False), F.lit(True)
     for i in range(len(LEVELS)):
-        k, t = F.col(f"_k{i}"), F.col(f"_p_t{i}")
-        below, same = below | (same & (k < t)), same & (k == t)
-    once = F.when(below, F.col("_size")).when(same, F.expr("_size * _p_short div _p_tie")).otherwise(F.lit(0))
-    out = rows.join(p, rows["_source"].eqNullSafe(p["_p__source"]), "left")
-    out = out.withColumns({"size": F.col("_size"), "source_size": F.col("_p_s"), "target": F.col("_p_target"), "taken": (F.col("_p_repeats") * F.col("_size") + F.coalesce(once, F.lit(0))).cast("long")})
-    return out.drop("_source", "_size", *[f"_k{i}" for i in range(len(LEVELS))], *p.columns)
+        below, same = below | (same & (k[f"_k{i}"] < p[f"t{i}"])), same & (k[f"_k{i}"] == p[f"t{i}"])
+    once = F.when(below, k["_size"]).when(same, F.expr(f"{inner}._size * {inner}p.short div {inner}p.tie")).otherwise(F.lit(0))
+    out = own.join(plan, k["_source"].eqNullSafe(p["_source"]), "left")
+    taken = (p["repeats"] * k["_size"] + F.coalesce(once, F.lit(0))).cast("long")
+    return out.withColumns({"size": k["_size"], "source_size": p["s"], "target": p["target"], "taken": taken}).drop(inner, f"{inner}p")
 
 
 ORACLE = r"""
