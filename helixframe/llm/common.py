@@ -55,11 +55,23 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here."""
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here. The path is for :func:`superseded`."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`kept`, for a table that later plans read until the driver exits."""
+    return kept(df, name)[0]
+
+
+def superseded(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that no plan will read again."""
+    for path in paths:
+        _written.remove((spark, path))
+        delete(spark, path)
 
 
 def width(spark: SparkSession) -> int:
@@ -77,19 +89,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     self loops are ignored; an empty input gives an empty result.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = written(e, "edges")
+    spark = edges.sparkSession
+    e, path = kept(e, "edges")
     before = None
     for _ in range(rounds):
         # Large star: larger neighbours of u go to u's smallest neighbour.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "large")
+        large, middle = kept(large.where("u <> v").distinct(), "large")
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "small")
+        e, after = kept(small.where("u <> v").distinct(), "small")
+        superseded(spark, path, middle)
+        path = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
