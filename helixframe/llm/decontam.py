@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import width
+from helixframe.llm.common import width, written
 from helixframe.llm.textvec import PLAIN, Lookup, words
 
 #: Words of a passage; texts are searched by two neighbouring passages at a time.
@@ -24,7 +24,7 @@ RANK = 64
 COMMON, COMMON_ITEMS = 0.05, 0.1
 LOST, LEAST = 0.5, 1.0
 #: Items (and their words) that go to every task; more are searched group by group.
-GROUP_ITEMS, GROUP_WORDS = 20_000, 400_000
+GROUP_ITEMS, GROUP_WORDS = 10_000, 200_000
 MATCH = "array<struct<item_id: long, cosine: double, lcs: double, answer: double>>"
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
 
@@ -71,27 +71,23 @@ def _answer_words(text: str) -> int:
     return tail
 
 
-def groups(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
-    """The items with a text that has words, in groups of bounded size; rows with equal id are items of their own."""
-    rows = benchmark.where(f"{id_col} is not null and {text_col} is not null").select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    out: list[tuple[list, list, list]] = []
-    size = GROUP_WORDS + 1
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        for _, _, w in words(pa.array([r["t"]]), letters=PLAIN):
-            if not len(w.hash):
-                continue
-            if size + len(w.hash) > GROUP_WORDS or len(out[-1][0]) >= GROUP_ITEMS:
-                out.append(([], [], []))
-                size = 0
-            out[-1][0].append(r["i"])
-            out[-1][1].append(w.hash)
-            out[-1][2].append(min(_answer_words(r["t"]), len(w.hash)))
-            size += len(w.hash)
-    made = []
-    for ids, hashes, answer in out:
-        vocabulary = np.unique(np.concatenate(hashes))
-        made.append(Items(ids, [np.searchsorted(vocabulary, h) for h in hashes], answer, vocabulary))
-    return made
+def groups(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
+    """The items with a text that has words, in groups of bounded size by a hash, one in memory at a time; rows with equal id and other texts are items of their own."""
+    rows = benchmark.where(f"{id_col} is not null and {text_col} is not null").select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
+    size = rows.agg(F.count("*").alias("items"), F.sum(F.size(F.split("t", r"\s+"))).alias("words")).first()
+    parts = max(1, -(-size["items"] // GROUP_ITEMS), -(-(size["words"] or 0) // GROUP_WORDS))
+    for part in range(parts):
+        mine = rows.where(F.pmod(F.xxhash64(F.lit("items"), "i", "t"), F.lit(parts)) == part) if parts > 1 else rows
+        ids, hashes, answer = [], [], []
+        for r in sorted(mine.collect(), key=lambda r: (r["i"], r["t"])):
+            for _, _, w in words(pa.array([r["t"]]), letters=PLAIN):
+                if len(w.hash):
+                    ids.append(r["i"])
+                    hashes.append(w.hash)
+                    answer.append(min(_answer_words(r["t"]), len(w.hash)))
+        if ids:
+            vocabulary = np.unique(np.concatenate(hashes))
+            yield Items(ids, [np.searchsorted(vocabulary, h) for h in hashes], answer, vocabulary)
 
 
 def _passages(w, lookup: Lookup):
@@ -214,8 +210,9 @@ def fit(texts: DataFrame, items: Items, *, rank: int = RANK, seed: int = 17) ->
         row = c * idf[u]
         row = row / max(np.linalg.norm(row), 1e-9)
         own[u] += row[:, None] * (row @ behind[u])
+    # A corpus without any word of the items adds nothing: the items alone are the rows then.
     lead = np.linalg.norm(z, 2) / max(np.linalg.norm(own, 2), 1e-9)
-    z = z + 4 * lead * own[live]
+    z = z + (4 * lead or 1.0) * own[live]
     shift = 1e-8 * np.linalg.norm(z)
     z = z + shift * test
     core = test.T @ z
@@ -242,8 +239,8 @@ def lcs(one: np.ndarray, two: np.ndarray) -> tuple[int, int]:
     return len(one) - v.bit_count(), v
 
 
-def matches(text: Column, group: list[Items], *, cosine: float = 0.55, share: float = 0.6, whole: float = 0.8, rare: float = 0.5) -> Column:
-    """The items that a whole text holds, as an array of ``item_id, cosine, lcs, answer``.
+def matches(text: Column, group: Items, *, cosine: float = 0.55, share: float = 0.6, whole: float = 0.8, rare: float = 0.5) -> Column:
+    """The items of a group that a whole text holds, as an array of ``item_id, cosine, lcs, answer``.
 
     A window of two passages whose latent cosine with an item (or a part of it)
     is ``cosine`` or more is checked by words. The item's longest common
@@ -251,16 +248,15 @@ def matches(text: Column, group: list[Items], *, cosine: float = 0.55, share: fl
     words, or ``share`` with as much of the answer; and the text around must
     hold ``rare`` of the item's rarer half. Null and empty texts hold nothing.
     """
-    send = [(g.ids, g.words, g.answer, g.vocabulary, g.idf, g.basis.astype(np.float32)) for g in group]
+    send = (group.ids, group.words, group.answer, group.vocabulary, group.idf.astype(np.float32), group.basis.astype(np.float32))
 
     @F.arrow_udf(MATCH)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        searches = [_Search(Items(*s), cosine, share, whole, rare) for s in send]
+        search = _Search(Items(*send), cosine, share, whole, rare)
         for column in batches:
             out: list[dict] = [{} for _ in range(len(column))]
             for first, _, w in words(column, 1 << 20, PLAIN):
-                for s in searches:
-                    s.find(w, out, first)
+                search.find(w, out, first)
             yield pa.array([[{"item_id": i, "cosine": c, "lcs": r, "answer": a} for i, (c, r, a) in sorted(x.items())] for x in out], _MATCH)
 
     return run(text)
@@ -318,16 +314,28 @@ class _Search:
                     have[key] = max(have.get(key, (0.0, 0.0, 0.0)), (float(near[p, q]), covered / size, answer), key=lambda x: (x[1], x[0]))
 
 
-def fitted(texts: DataFrame, benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
-    """All groups of ``benchmark``, fitted on ``texts`` (one string column)."""
-    return [fit(texts, g) for g in groups(benchmark, id_col=id_col, text_col=text_col)]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, cosine, lcs, answer)``, a row for each item that a row of ``docs`` holds.
 
     Rows with equal or null ids are searched each for itself. Without items or
-    documents there are no rows.
+    documents there are no rows. A benchmark of several groups is searched one
+    group at a time: a pass over the texts to fit and one to search, each.
     """
-    found = matches(F.col(text_col), fitted(docs.select(text_col), benchmark))
-    return docs.select(F.col(id_col), F.explode(found).alias("m")).select(id_col, "m.*")
+    texts = docs.select(F.col(id_col), F.col(text_col).alias("t"))
+    found = None
+    for group in groups(benchmark):
+        m = F.explode(matches(F.col("t"), fit(texts.select("t"), group)))
+        one = texts.select(F.col(id_col), m.alias("m")).select(id_col, "m.*")
+        found = one if found is None else written(found.unionByName(one), "leaks")
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id long, cosine double, lcs double, answer double")
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; null and empty texts stay."""
+    kept = docs
+    for nth, group in enumerate(groups(benchmark)):
+        kept = written(kept, "clean") if nth else kept
+        kept = kept.where(F.size(matches(F.col(text_col), fit(docs.select(text_col), group))) == 0)
+    return kept
