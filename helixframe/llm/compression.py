@@ -6,52 +6,36 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes compressed at once; a long text is the sum of its blocks, all of it.
-BLOCK = 16 << 10
-#: Texts of fewer bytes are also held against each part of a dictionary: whole bytes are coarse there.
-SHORT = 1 << 10
 
+def smallest(rows: DataFrame, key: str, rank: Column, most: int, floor: int = 1) -> DataFrame:
+    """Some of the smallest-ranked rows of each ``key``; ``rank`` is a hash, uniform over longs.
 
-def smallest(rows: DataFrame, key: str, rank: Column, most: int, groups: int) -> DataFrame:
-    """About the ``most`` smallest-ranked rows of each ``key``; ``rank`` is a hash, uniform over longs.
-
-    Counts give each key a threshold that twice ``most`` rows are expected
-    below, so no key is sorted or gathered; the caller trims the rest. ``rank``
-    goes along as ``_rank``. More than ``groups`` keys are an error: the result
-    is bounded by ``2 * most * groups`` rows and a little chance.
+    All keys together get about ``most`` rows, each an equal part of them and
+    ``floor`` at least: the result is bounded by ``2 * max(most, floor * keys)``
+    and a little chance. Counts give each key a threshold that twice its part is
+    expected below, so no key is sorted or gathered; the caller trims the rest.
+    ``rank`` goes along as ``_rank``, the part as ``_part``.
     """
-    counts = rows.groupBy(key).count().limit(groups + 1).collect()
-    if len(counts) > groups:
-        raise ValueError(f"{key} has more than {groups} values")
-    rows = rows.withColumn("_rank", F.shiftrightunsigned(rank, 1))
-    keep, top = F.lit(False), (1 << 63) - 1
-    for r in counts:
-        keep = keep | ((F.col(key) == F.lit(r[0])) & (F.col("_rank") <= F.lit(min(top, top * 2 * most // r["count"]))))
-    return rows.where(keep)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_count"))
+    part = max(floor, most // max(counts.count(), 1))
+    top = (1 << 63) - 1
+    below = F.least(F.lit(float(top)), F.lit(2.0 * top * part) / F.col("_count")).cast("long")
+    limits = counts.select(F.col(key).alias("_key"), below.alias("_below"))
+    ranked = rows.withColumn("_rank", F.shiftrightunsigned(rank, 1))
+    kept = ranked.join(limits, (F.col(key) == F.col("_key")) & (F.col("_rank") <= F.col("_below")))
+    return kept.drop("_key", "_below").withColumn("_part", F.lit(part))
 
 
 class Coder:
-    """Compressed sizes of a text under one raw-content dictionary (``None``: without)."""
-
-    def __init__(self, content: bytes | None, level: int = 3, min_match: int = 3, parts: int = 4):
-        self.whole = self._make(content, level, min_match)
-        self.parts = [self._make(content[k * len(content) // parts : (k + 1) * len(content) // parts], level, min_match) for k in range(parts)] if content else []
+    """Compressed size of a whole text under one raw-content dictionary (``None``: without)."""
 
-    @staticmethod
-    def _make(content: bytes | None, level: int, min_match: int) -> zstandard.ZstdCompressor:
+    def __init__(self, content: bytes | None, level: int = 3, min_match: int = 3):
         params = zstandard.ZstdCompressionParameters.from_level(level, min_match=min_match, write_checksum=0, write_content_size=0, write_dict_id=0)
-        if not content:
-            return zstandard.ZstdCompressor(compression_params=params)
-        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        dictionary.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary)
-
-    def size(self, text: bytes) -> float:
-        """Bytes, over all blocks; for a short text the mean over the dictionary and its parts."""
-        if len(text) <= BLOCK:
-            n = len(self.whole.compress(text))
-            if self.parts and len(text) < SHORT:
-                return (n + sum(len(p.compress(text)) for p in self.parts)) / (1 + len(self.parts))
-            return n
-        return sum(len(self.whole.compress(text[k : k + BLOCK])) for k in range(0, len(text), BLOCK))
-
+        kept = {}
+        if content:
+            kept["dict_data"] = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept["dict_data"].precompute_compress(compression_params=params)
+        self.coder = zstandard.ZstdCompressor(compression_params=params, **kept)
+
+    def size(self, text: bytes) -> int:
+        return len(self.coder.compress(text))

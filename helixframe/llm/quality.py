@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import written
 from helixframe.llm.compression import Coder, smallest
 
 
@@ -36,7 +37,7 @@ class Scales:
         self.views = [[Coder(bad), Coder(good), Coder(None)], [Coder(shape(bad)), Coder(shape(good))]]
 
     def features(self, text: bytes) -> list[float]:
-        """The normalised differences first, then how far the text repeats itself."""
+        """The normalised differences first, then the sizes they come from and the length: they tell repetition, which both dictionaries see alike."""
         n = len(text)
         bad, good, alone = (c.size(text) / n for c in self.views[0])
         outline = shape(text)
@@ -61,34 +62,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return np.r_[flat, w[-1] - flat @ mean]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 600, chars_per_doc: int = 384, calibration_docs: int = 2500) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 200, calibration_docs: int = 2500) -> QualityModel:
     """Dictionaries and calibration from ``docs(doc_id, text)`` with ``labels(doc_id, quality)``.
 
-    The sample is bounded: per class the ``dictionary_docs`` rows with the
-    smallest id hash give windows of ``chars_per_doc`` characters to the
-    dictionary, the next ``calibration_docs`` are compressed whole to calibrate
-    the score, each class weighing as its count in all labels. Ids that are
-    null, repeated with unequal labels, or whose text is null or empty teach
-    nothing; without both classes the score is the share of label 1 (0.5
-    without labels).
+    The sample is bounded in rows: per class the ``dictionary_docs`` labelled
+    texts with the smallest id hash (half of the class if it has fewer than
+    twice as many) are the dictionary, the next ``calibration_docs`` calibrate
+    the score; texts are taken whole. Each class weighs as its count of labelled
+    texts. Ids that are null, repeated with unequal labels, or whose text is
+    null, empty or absent teach nothing; without labelled texts of both classes
+    the score is the share of label 1 (0.5 without any).
     """
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").select("doc_id", "y")
-    counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    most = dictionary_docs + calibration_docs
-    chosen = smallest(marks, "y", F.xxhash64(F.lit("quality"), "doc_id"), most, 2)
-    # At most about 4 * most rows of three numbers: a bounded side.
-    rows = docs.where("text is not null and text <> ''").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    start = F.expr(f"cast(_rank % greatest(char_length(text) - {chars_per_doc} + 1, 1) as int)")
-    cut = {r["y"]: r["_rank"] for r in chosen.withColumn("n", F.row_number().over(_by_rank())).where(F.col("n") == dictionary_docs).select("y", "_rank").collect()}
+    texts = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    # Ids alone meet first; the texts of the chosen few follow.
+    marked = texts.select("doc_id").distinct().join(marks, "doc_id")
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if set(counts) != {0, 1}:
         p = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
         return QualityModel(b"", b"", (float(np.log(p / (1 - p))),))
-    limit = F.lit(False)
-    for y in (0, 1):
-        limit = limit | ((F.col("y") == y) & (F.col("_rank") <= F.lit(cut.get(y, (1 << 62)))))
+    most = dictionary_docs + calibration_docs
+    chosen = smallest(marked, "y", F.xxhash64(F.lit("quality"), "doc_id"), 2 * most, most).select("doc_id", "y", "_rank")
+    # About 4 * most ids at most: a bounded side. Of an id with several texts, the least counts.
+    chosen = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "_rank").agg(F.min("text").alias("text"))
+    chosen = written(chosen, "quality-sample")
+
+    ranks = {0: [], 1: []}
+    for r in chosen.select("y", "_rank").collect():
+        ranks[r["y"]].append(r["_rank"])
+    cut, last = {}, {}
+    for y, of in ranks.items():
+        of.sort()
+        first = min(dictionary_docs, max(1, len(of) // 2))
+        cut[y], last[y] = of[first - 1], of[min(first + calibration_docs, len(of)) - 1]
+    limit = lambda at: F.when(F.col("y") == 0, F.lit(at[0])).otherwise(F.lit(at[1]))
     held: dict[int, list] = {0: [], 1: []}
-    for r in rows.where(limit).select("y", "_rank", F.substring("text", start + 1, F.lit(chars_per_doc)).alias("t")).collect():
-        held[r["y"]].append((r["_rank"], r["t"]))
+    for r in chosen.where(F.col("_rank") <= limit(cut)).select("y", "_rank", "text").collect():
+        held[r["y"]].append((r["_rank"], r["text"]))
     bad, good = ("\n".join(t for _, t in sorted(held[y])).encode() for y in (0, 1))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +107,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, dictionary_docs: int = 600, chars
             x = [scales.features(t.as_py().encode()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "r", "x"])
 
-    few = {y: counts[y] <= 2 * dictionary_docs for y in (0, 1)}  # then the dictionary's rows calibrate too
-    rest = ~limit
-    for y in (0, 1):
-        if few[y]:
-            rest = rest | (F.col("y") == y)
-    got = rows.where(rest).select("y", "text", "_rank").mapInArrow(measure, "y int, r long, x array<double>").collect()
+    # A class of one text has it on both sides.
+    alone = {y: len(set(ranks[y])) == 1 for y in (0, 1)}
+    rest = (F.col("_rank") > limit(cut)) | F.when(F.col("y") == 0, F.lit(alone[0])).otherwise(F.lit(alone[1]))
+    got = chosen.where(rest & (F.col("_rank") <= limit(last))).select("y", "text", "_rank").mapInArrow(measure, "y int, r long, x array<double>").collect()
     got = sorted(got, key=lambda r: (r["y"], r["r"], r["x"]))
     y = np.array([r["y"] for r in got], float)
-    if len(set(y)) < 2:
-        raise ValueError("no labelled texts of one class")
     share = counts[1] / sum(counts.values())
-    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     return QualityModel(good, bad, tuple(float(v) for v in _logistic(np.array([r["x"] for r in got]), y, weight)))
 
 
-def _by_rank() -> WindowSpec:
-    return Window.partitionBy("y").orderBy("_rank", "doc_id")  # of the bounded sample
-
-
 def score(text: Column, model: QualityModel) -> Column:
     """Probability that label 1 fits a whole text; a null or empty text scores 0."""
 

@@ -45,7 +45,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold(3) != 1))
     rows = docs.select("doc_id", "text", (fold(3) == 1).alias("held_out"))
-    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"))
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
