@@ -18,7 +18,7 @@ READ = "page_id long, url string, record_type string, payload_digest string, pay
 
 
 def _uuid(page_id):
-    """A record's urn, made from its page id alone: reruns give the same records."""
+    """A record's urn, made from its page id alone."""
     h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
