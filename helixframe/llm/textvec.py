@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes hashed at once; longer texts are still taken whole.
-SLICE = 2 << 20
+#: Bytes hashed at once: arrays of some 20 times as many bytes stand in a worker. Longer texts are still taken whole.
+SLICE = 512 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,11 +35,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
+    """Powers from 0 on; those of a slice stay at hand, those of a longer text go with it."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        grown = np.full(max(n, SLICE + 1), base, np.uint64)
-        grown[0] = 1
-        _powers[base] = have = np.multiply.accumulate(grown)
+        have = np.full(max(n, SLICE + 1), base, np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if n <= SLICE + 1:
+            _powers[base] = have
     return have[:n]
 
 
