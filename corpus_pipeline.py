@@ -6,7 +6,7 @@ the last return the columns of documents as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontam, langid, minhash, mixing, quality
@@ -26,18 +26,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest id, and one row of each id; rows without an id stay."""
-    kept = minhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*[c for c in docs.columns if c != "text"]))
-    rows = rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
-    return rows.unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each class, the one with the smallest id, and of rows with equal ids the one with the smallest row hash; rows without an id stay."""
+    found = minhash.near_duplicates(docs.where("doc_id is not null"))
+    kept = found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    rows = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    # Repeated ids are told apart by a hash of the row, met by an aggregate; equal rows by a second one. Few ids need it.
+    again = kept.where("rows > 1").select("doc_id")
+    once = rows.join(again, "doc_id", "left_anti")
+    many = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(*docs.columns).alias("h"), F.struct(*docs.columns).alias("row"))).alias("least"))
+    return once.unionByName(many.select("least.row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    items = decontam.fitted(docs.select("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.where(F.size(decontam.matches(F.col("text"), items)) == 0) if items else docs
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
