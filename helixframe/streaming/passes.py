@@ -16,8 +16,8 @@ def accumulate(spark: SparkSession, folder: str, schema: str, state: str, checkp
         sums = batch.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.count("*").alias("n"))
         sums.write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
 
-    stream = spark.readStream.schema(schema).parquet(folder)
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    incoming = spark.readStream.schema(schema).parquet(folder)
+    query = incoming.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
