@@ -6,6 +6,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most thresholds, of two numbers or so each, that go to every task; more are met by a shuffle.
+BROADCAST_KEYS = 1 << 16
+
 
 def smallest(rows: DataFrame, key: str, rank: Column, most: int, floor: int = 1) -> DataFrame:
     """Some of the smallest-ranked rows of each ``key``; ``rank`` is a hash, uniform over longs.
@@ -17,10 +20,12 @@ def smallest(rows: DataFrame, key: str, rank: Column, most: int, floor: int = 1)
     ``rank`` goes along as ``_rank``, the part as ``_part``.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("_count"))
-    part = max(floor, most // max(counts.count(), 1))
+    keys = counts.count()
+    part = max(floor, most // max(keys, 1))
     top = (1 << 63) - 1
     below = F.least(F.lit(float(top)), F.lit(2.0 * top * part) / F.col("_count")).cast("long")
     limits = counts.select(F.col(key).alias("_key"), below.alias("_below"))
+    limits = F.broadcast(limits) if keys <= BROADCAST_KEYS else limits
     ranked = rows.withColumn("_rank", F.shiftrightunsigned(rank, 1))
     kept = ranked.join(limits, (F.col(key) == F.col("_key")) & (F.col("_rank") <= F.col("_below")))
     return kept.drop("_key", "_below").withColumn("_part", F.lit(part))
