@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -220,7 +221,7 @@ def test_repeated_substrings_equal_brute_force():
     for _ in range(20):
         pages = [[r.randrange(4) for _ in range(r.randint(0, 30))] for _ in range(5)]
         tokens, page = [x for p in pages for x in p], [k for k, p in enumerate(pages) for _ in p]
-        got = hosttext.repeated(np.array(tokens, np.uint64), np.array(page, np.int64), 3, 3) if tokens else np.zeros(0, bool)
+        got = hosttext.repeated(hosttext.spread(np.array(tokens, np.uint64), np.array(page, np.int64), 3), 3, 3)
         want = [False] * len(tokens)
         for a in range(len(tokens) - 2):
             if page[a] == page[a + 2]:
@@ -242,6 +243,51 @@ def test_what_a_host_repeats_goes(spark):
     assert hosttext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_runs_go_and_unique_runs_stay_as_by_plain_comparison():
+    r = random.Random(9)
+    for trial in range(30):
+        n = r.randint(3, 12)
+        pages = [[" ".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 3))] for _ in range(n)]
+        held = [r.random() < 0.3 for _ in range(n)]
+        got = hosttext.without_boilerplate(pages, held, 4, 0.3, 3, 0.6, 4)
+        plain = [" ".join(x) for x in pages]
+        distinct = list(dict.fromkeys(plain))
+        first = {x: plain.index(x) for x in distinct}
+        grams = {x: [y.split()[k : k + 4] for y in [" ".join(pages[first[x]])] for k in range(len(y.split()) - 3)] for x in distinct}
+        for k, x in enumerate(plain):
+            k = first[x]
+            need = max(4, math.ceil(0.6 * len(distinct))) if held[k] else max(3, math.ceil(0.3 * len(distinct)))
+            tokens = x.split()
+            cover = [False] * len(tokens)
+            for a in range(len(tokens) - 3):
+                if sum(tokens[a : a + 4] in g for g in grams.values()) >= need:
+                    cover[a : a + 4] = [True] * 4
+            # A page of nothing else stays whole.
+            want = " ".join(t for t, c in zip(tokens, cover, strict=True) if not c) or " ".join(tokens)
+            assert " ".join(got[k].split()) == want, (trial, k)
+
+
+def test_repeated_runs_inside_blocks(spark):
+    run = "click here to read what our partners have to say today"
+    rows = [(k, f"http://h.org/{k}", f"<p>{prose(k, 12)} {run} {prose(k + 90, 12)}</p>") for k in range(20)]
+    quote = [(100 + k, f"http://q.org/{k}", f"<article><p>{prose(k, 20)}</p><p>{run}</p></article>" if k < 8 else f"<article><p>{prose(k, 20)}</p></article>") for k in range(20)]
+    frame = [(200 + k, f"http://f.org/{k}", f"<article><p>{run}</p><p>{prose(k, 20)}</p></article>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in hosttext.extract(spark.createDataFrame(rows + quote + frame, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{prose(k, 12)} {prose(k + 90, 12)}" for k in range(20))
+    assert all(got[100 + k] == f"{prose(k, 20)} {run}" for k in range(8))  # a quoted passage is text
+    assert all(got[200 + k] == prose(k, 20) for k in range(20))  # what all articles have is a frame
+
+
+def test_paragraphs_of_articles_and_depth():
+    assert hosttext.blocks('<article><p class="notice-of-motion">The motion</p><p class="ad">Buy</p><div class="share-bar">Share</div><p>Passed</p></article>') == (["The motion", "Passed"], True)
+    took = []
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        hosttext.blocks("<div>" * n + "a" + "</div>" * n + "<p><b>" * 50)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.01)
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 
 
