@@ -12,6 +12,14 @@ that a gate (depth, confidence of the contexts) selects; they are learned
 online, each slice of texts predicted by what came before it in its task, and
 averaged over tasks. In a text, the mix is refined adaptively: a scale on its
 log odds follows the bits of the text's earlier segments.
+
+The slot tables have a fixed size. What grows with the corpus are long contexts:
+where the hash of the three words before says so (one place in ``RUN``), a run
+begins that lasts to the next such place. Runs by context are counted over all
+training texts in a table met by joins, and a run costs -ln((c + p) / (n + 1)):
+c of the n runs that other training texts have in this context are this one, p
+is what the mix gives it. Where a run ends follows from its words, so these are
+probabilities again.
 """
 
 from __future__ import annotations
@@ -39,6 +47,8 @@ MARKS = 256
 #: Bytes of text whose bits are mixed at once, and tokens between two refinements of a text.
 PIECE, SEGMENT = 64 << 10, 512
 RANGES = 32
+#: Tokens of a run on average: a power of two.
+RUN = 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 _ODD, _STIR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -183,7 +193,7 @@ class Mixer:
         self.slope = np.full(weights.shape, 30.0)
 
     def inputs(self, b: Bits) -> tuple[list[np.ndarray], np.ndarray]:
-        v = [t[s] for t, s in zip(self.tables, b.slots, strict=True)]
+        v = [np.take(t, s, mode="wrap") for t, s in zip(self.tables, b.slots, strict=True)]  # slots are in range; this mode does not look
         p, q = self.sure
         g = (b.gate.astype(np.int16) << 4) + ((v[p] & 3) << 2) + (v[q] & 3)
         return [x.astype(np.float32) for x in v], g.astype(np.intp)
@@ -227,6 +237,7 @@ class _Text:
 
     def __init__(self, codes: Codes, head: Lookup, w: Words, texts: int):
         n = len(w.hash) + texts
+        self.end = codes.end
         ends = np.cumsum(w.per_doc + 1) - 1
         inner = np.ones(n, bool)
         inner[ends] = False
@@ -249,6 +260,37 @@ class _Text:
         self.mark = np.where(got >= np.r_[0, first][self.text], self.symbol[got] + 1, 0) if n else got
 
 
+    def runs(self, w: Words) -> tuple[np.ndarray, ...]:
+        """Of each run: its first token, the token behind its last, its context, its words' hash, and how often its text has the context, and the run in it."""
+        n = len(self.symbol)
+        at, first = np.arange(n), np.searchsorted(self.text, self.text)
+        three = np.zeros(n, np.uint64)
+        three[1:] = self.two[:-1]
+        context = mix64(self.one + mix64(self.two + mix64(three + _K)))
+        begin = np.flatnonzero((at - first >= 3) & ((context & np.uint64(RUN - 1)) == 0))
+        token = np.ones(n, np.uint64)
+        token[self.symbol != self.end] = w.hash
+        last = np.searchsorted(self.text, self.text[begin], "right")
+        stop = np.minimum(np.r_[begin[1:], n], last)
+        place = np.zeros(n, np.uint64)
+        place[begin] = 1
+        nth = at - np.maximum.accumulate(np.where(place > 0, at, 0))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(token ^ ((nth + 1).astype(np.uint64) * _K)), out=total[1:])
+        f = context[begin]
+        g = mix64(total[stop] - total[begin] + (stop - begin).astype(np.uint64))
+        text = self.text[begin]
+        own = []
+        for what in (f, mix64(f + mix64(g))):
+            order = np.lexsort((what, text))
+            new = np.r_[True, (what[order][1:] != what[order][:-1]) | (text[order][1:] != text[order][:-1])][: len(begin)]
+            times = np.diff(np.r_[np.flatnonzero(new), len(begin)])
+            have = np.empty(len(begin), np.int64)
+            have[order] = np.repeat(times, times)
+            own.append(have)
+        return begin, stop, f, g, own[0], own[1]
+
+
 class _Rare:
     """Escaped words of a few slices, each distinct one once."""
 
@@ -344,7 +386,7 @@ class _Tally:
 
     def count(self, table: int, slot: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         n = self.n[table]
-        n += np.bincount(slot + bit * np.intp(n.shape[1]), times, 2 * n.shape[1]).reshape(n.shape).astype(np.int32)
+        np.add.at(n.reshape(-1), slot + bit * np.intp(n.shape[1]), np.int32(1) if times is None else times.astype(np.int32))
 
     def refresh(self) -> None:
         for k, n in enumerate(self.n):
@@ -470,22 +512,22 @@ def _models(chunks: list, codes: Codes, sizes: list[int], byte_sizes: list[int])
 
 
 def _refined(z: np.ndarray, b: Bits, t: _Text, texts: int) -> np.ndarray:
-    """Natural-log cost of each text's bits, its log odds scaled by what its earlier segments call for."""
+    """Natural-log cost of each token's bits, their log odds scaled by what the text's earlier segments call for."""
     first = np.searchsorted(t.text, np.arange(texts))
     segment = (np.arange(len(t.text)) - first[t.text]) // SEGMENT
-    cost, scale, bend = np.zeros(texts), np.ones(texts, np.float32), np.full(texts, 60.0)
-    of = segment[b.whose]
-    who = t.text[b.whose]
-    # Bits stand in the order of the texts, so those of a segment are runs.
     last = int(segment.max(initial=-1))
+    whole = np.flatnonzero(np.r_[True, b.whose[1:] != b.whose[:-1]])  # each token has a bit at least
+    if last <= 0:
+        return np.add.reduceat(_cost(z, b.bit), whole, dtype=np.float64)
+    cost, scale, bend = np.empty(len(z), np.float32), np.ones(texts, np.float32), np.full(texts, 60.0)
+    of, who = segment[b.whose], t.text[b.whose]
+    # Bits stand in the order of the texts, so those of a segment are runs.
     longer = (np.bincount(t.text, minlength=texts) - 1) // SEGMENT
     for k in range(last + 1):
-        at = np.flatnonzero(of == k) if last else slice(None)
+        at = np.flatnonzero(of == k)
         text, bit, zz = who[at], b.bit[at], z[at]
         s = scale[text] * zz if k else zz
-        new = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-        whom = text[new]
-        cost[whom] += np.add.reduceat(_cost(s, bit), new, dtype=np.float64)
+        cost[at] = _cost(s.copy(), bit)
         if k < last:
             # Only texts that go on learn a scale.
             on = np.flatnonzero(longer[text] > k)
@@ -496,7 +538,7 @@ def _refined(z: np.ndarray, b: Bits, t: _Text, texts: int) -> np.ndarray:
             bend[whom] += np.add.reduceat(p * (1 - p) * zz * zz, new, dtype=np.float64)
             pull = np.add.reduceat((bit - p) * zz, new, dtype=np.float64)
             scale[whom] = np.clip(scale[whom] + pull / bend[whom], 0.5, 2.0)
-    return cost
+    return np.add.reduceat(cost, whole, dtype=np.float64)
 
 
 def _escaped(doc: np.ndarray, hashes: np.ndarray, price: np.ndarray) -> np.ndarray:
@@ -520,12 +562,12 @@ def _escaped(doc: np.ndarray, hashes: np.ndarray, price: np.ndarray) -> np.ndarr
     return np.where(fresh, price - np.where(known > 0, np.log1p(-again), 0), np.log(np.maximum(known, 1)) - np.log(again))
 
 
-_SCORED = (("i", pa.int64()), ("key", pa.int64()), ("h", pa.int64()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("bytes", pa.int64()), ("held", pa.bool_()))
-_SCORED_DDL = "i long, key long, h long, tf long, n_tokens long, known long, base double, bits double, bytes long, held boolean"
+_SCORED = (("i", pa.int64()), ("key", pa.int64()), ("h", pa.int64()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("bytes", pa.int64()), ("held", pa.bool_()), ("f", pa.int64()), ("g", pa.int64()), ("cost", pa.float32()), ("own_f", pa.int32()), ("own_g", pa.int32()))
+_SCORED_DDL = "i long, key long, h long, tf long, n_tokens long, known long, base double, bits double, bytes long, held boolean, f long, g long, cost float, own_f int, own_g int"
 
 
 def _score(codes: Codes, model):
-    """A row a text with what the head words give; a row for each escaped word of a text."""
+    """A row a text with what the mix gives; a row for each escaped word of a text, and for each of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_words, of_bytes = model.value
@@ -541,13 +583,17 @@ def _score(codes: Codes, model):
             for a, z in _parts(h, start, end):
                 b = byte_bits(codes, data, start[a:z], end[a:z])
                 price[a:z] = np.bincount(b.whose, _cost(of_bytes.odds(b), b.bit), z - a)
-            for cols, doc, hashes in waiting:
-                cols["bits"] = (cols["bits"] + np.bincount(doc, _escaped(doc, hashes, price[np.searchsorted(h, hashes)]), len(cols["bits"]))) / np.log(2)
+            for cols, doc, hashes, cost, at, (begin, stop, f, g, own_f, own_g), text in waiting:
+                cost[at] += _escaped(doc, hashes, price[np.searchsorted(h, hashes)])
+                cols["bits"] = np.bincount(text, cost, len(cols["key"])) / np.log(2)
                 yield batch(cols)
                 order = np.lexsort((hashes, doc))
                 doc, hashes = doc[order], hashes[order]
                 new = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, int)
                 yield batch({"key": cols["key"][doc[new]], "h": hashes[new].view(np.int64), "tf": np.diff(np.r_[new, len(doc)])})
+                run = np.r_[0.0, np.cumsum(cost)]
+                whose = text[begin]
+                yield batch({"key": cols["key"][whose], "held": cols["held"].take(pa.array(whose)), "f": f.view(np.int64), "g": g.view(np.int64), "cost": (run[stop] - run[begin]).astype(np.float32), "own_f": own_f, "own_g": own_g})
 
         def batch(cols):
             n = len(cols["key"])
@@ -564,12 +610,13 @@ def _score(codes: Codes, model):
                 sure = t.symbol != codes.escape
                 cols = {
                     "i": ids.slice(first, n), "key": key + np.arange(n), "n_tokens": w.per_doc + 1, "known": np.bincount(t.text[sure & (codes.count[t.symbol] > 0)], minlength=n),
-                    "base": np.bincount(t.text[sure], log[t.symbol[sure]], n), "bits": cost, "bytes": size.slice(first, n).cast(pa.int64()), "held": held.slice(first, n),
+                    "base": np.bincount(t.text[sure], log[t.symbol[sure]], n), "bytes": size.slice(first, n).cast(pa.int64()), "held": held.slice(first, n),
                 }
                 key += n
                 rare.add(w, t.rare)
-                waiting.append((cols, w.doc[t.rare], w.hash[t.rare]))
-                if rare.bytes > 8 << 20:
+                place = t.rare + w.doc[t.rare]  # of a word among the tokens: an end stands behind each text before
+                waiting.append((cols, w.doc[t.rare], w.hash[t.rare], cost, place, t.runs(w), t.text))
+                if rare.bytes > 4 << 20:
                     yield from flush()
                     waiting, rare = [], _Rare()
         yield from flush()
@@ -582,10 +629,11 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
 
     Learns from the rows whose ``held_col`` is not true, all of them, and scores
     all rows, whole texts. ``score`` is the model's log10 probability of the
-    tokens, ``base_score`` the add-one unigram one. Word counts of training
-    tokens are a table as large as the vocabulary, met by a join on the words
-    outside the head; only the head (``HEAD`` words) and slot tables of fixed
-    size go to every task. A word is known by a 64-bit hash.
+    tokens, ``base_score`` the add-one unigram one. Word counts and runs of
+    training tokens are tables that grow with the corpus, met by joins; only the
+    head (``HEAD`` words) and slot tables of fixed size go to every task. A text
+    of the training rows is not among those that its own runs are held against.
+    A word is known by a 64-bit hash.
 
     A null text is empty (an end alone); a null ``held_col`` counts as not held
     out; null and repeated ids are kept as they are; without training rows the
@@ -608,13 +656,24 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     model = spark.sparkContext.broadcast(_models(chunks.collect(), codes, sizes, byte_sizes))
 
     scored = written(rows.mapInArrow(_score(codes, model), _SCORED_DDL), "lm-scored")
-    rare = scored.where("h is not null").select("key", "h", "tf").join(counts.select("h", "c").hint("shuffle_hash"), "h", "left")
-    rare = rare.groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known_more"))
+    rare = scored.where("h is not null").select("key", "h", "tf").join(counts.select("h", "c").hint("merge"), "h", "left")
+    rare = rare.select("key", (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known_more"), F.lit(0.0).alias("gain"))
+
+    runs = scored.where("f is not null").select("key", "f", "g", "cost", F.when(F.col("held"), 0).otherwise(F.col("own_f")).alias("own_f"), F.when(F.col("held"), 0).otherwise(F.col("own_g")).alias("own_g"), "held")
+    seen = runs.where("not held").groupBy("f", "g").agg(F.count("*").alias("c"))
+    often = seen.groupBy("f").agg(F.sum("c").alias("n"))
+    met = runs.join(often.hint("merge"), "f").where("n > own_f").join(seen.hint("merge"), ["f", "g"], "left")
+    n_other, c_other = F.col("n") - F.col("own_f"), F.coalesce("c", F.lit(0)) - F.col("own_g")
+    gain = F.when(c_other > 0, F.col("cost") + F.log(c_other + F.exp(-F.col("cost").cast("double")))).otherwise(0.0) - F.log(n_other + 1.0)
+    met = met.select("key", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("known_more"), gain.alias("gain"))
+
+    more = rare.unionByName(met).groupBy("key").agg(F.sum("more").alias("more"), F.sum("known_more").alias("known_more"), F.sum("gain").alias("gain"))
     n, v = n_words + texts, n_types + (texts > 0)
-    out = scored.where("h is null").drop("h", "tf").join(rare, "key", "left")
+    out = scored.where("h is null and f is null").select("i", "key", "held", "n_tokens", "known", "base", "bits", "bytes").join(more, "key", "left")
+    bits = F.col("bits") - F.coalesce("gain", F.lit(0.0)) * F.lit(float(1 / np.log(2)))
     return out.select(
         F.col("i").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
-        (F.col("bits") / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (-bits * F.lit(float(np.log10(2)))).alias("score"),
+        (bits / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

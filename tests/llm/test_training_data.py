@@ -374,6 +374,37 @@ def test_every_token_and_context_teaches_the_model():
     assert seen >= 120_003 - (1 << 16)
 
 
+def test_runs_by_plain_comparison():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.choice((0, 2, 5, 120)))) for _ in range(40)]
+    codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2, 1]), lmscore.huffman([1] * 256))
+    (_, _, w), *_ = list(textvec.words(pa.array(texts)))
+    t = lmscore._Text(codes, textvec.Lookup(codes.head), w, len(texts))
+    begin, stop, f, g, own_f, own_g = t.runs(w)
+    tokens = [x for y in texts for x in (*y.split(), None)]
+    where = [(k, j) for k, y in enumerate(texts) for j in range(len(y.split()) + 1)]
+    context, run, found = {}, {}, []
+    for b, e, x, y in zip(begin, stop, f, g, strict=True):
+        assert where[b][1] >= 3 and where[b][0] == where[e - 1][0] and (e == len(tokens) or where[e][1] == 0 or e in begin)
+        assert context.setdefault(tuple(tokens[b - 3 : b]), x) == x and run.setdefault(tuple(tokens[b:e]), y) == y
+        found.append((where[b][0], tuple(tokens[b - 3 : b]), tuple(tokens[b:e])))
+    assert len(set(context.values())) == len(context) > 1 and len(set(run.values())) == len(run)
+    assert all(where[k][1] < 3 or tuple(tokens[k - 3 : k]) not in context or k in begin for k in range(len(tokens)))  # every such place begins a run
+    count = collections.Counter((k, c) for k, c, _ in found), collections.Counter(found)
+    assert own_f.tolist() == [count[0][k, c] for k, c, _ in found] and own_g.tolist() == [count[1][x] for x in found]
+
+
+def test_other_texts_teach_long_contexts(spark):
+    rows = [(k, prose(k, 250), "en", "s") for k in range(60)]
+    rows += [(100 + k, prose(k, 250), "en", "s") for k in range(20)]  # the first twenty occur twice
+    d = docs(spark, rows).withColumn("held_out", F.lit(False))
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lmscore.score(d).collect()}
+    twice = [got[k] for k in (*range(20), *range(100, 120))]
+    assert max(twice) < 0.6 * min(got[k] for k in range(20, 60))
+    held = {r["doc_id"]: r["bits_per_byte"] for r in lmscore.score(d.withColumn("held_out", F.col("doc_id") < 40)).collect()}
+    assert max(held[k] for k in range(20)) < 0.6 * min(held[k] for k in range(20, 60))
+
+
 def test_huffman_paths_are_a_code():
     start, length, node, bit, _, _ = lmscore.huffman([5, 1, 1, 8, 3, 1])
     words = ["".join(str(b) for b in bit[s : s + n]) for s, n in zip(start, length, strict=True)]
