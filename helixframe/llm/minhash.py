@@ -310,18 +310,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _sets(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(f, np.uint64), np.frombuffer(g, np.float32)) for f, g in zip(t.column("f").to_pylist(), t.column("g").to_pylist(), strict=True)]
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+
 def _verify(threshold: float):
+    """A spanning forest of the similar pairs of two sides of a group: all rows, or ``side`` 0 against ``side`` 1."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids, block = _ids(t.column("i").combine_chunks()), t.column("block").to_numpy()
-        sets = [(np.frombuffer(f, np.uint64), np.frombuffer(g, np.float32)) for f, g in zip(t.column("f").to_pylist(), t.column("g").to_pylist(), strict=True)]
-        one, two = t.column("pa")[0].as_py(), t.column("pb")[0].as_py()
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        ids, side, sets = _ids(t.column("i").combine_chunks()), t.column("side").to_numpy(), _sets(t)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return _edges([])
         # float32 sums err by less than this; such pairs count as similar.
         x, y = np.nonzero(similar([sets[k] for k in left], [sets[k] for k in right]) >= threshold - 1e-5)
-        found = forest(ids[left[x]], ids[right[y]])
-        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+        return _edges(forest(ids[left[x]], ids[right[y]]))
 
     return run
 
@@ -342,9 +349,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     3. Consistent weighted samples, ``bands`` of ``rows`` (a pair at 0.8 is
        missed in 3 cases of 100,000); texts of a bucket are joined through
        its smallest id, which gives clusters to check.
-    4. Clusters are cut in blocks of ``BLOCK`` texts and each block is held
-       against each by exact weighted Jaccard; only edges of a spanning forest
-       leave a task. No pair is emitted per copy, no bucket is capped.
+    4. A cluster of up to ``BLOCK`` texts or so is compared by exact weighted
+       Jaccard at once. A larger one is cut in blocks: its first text meets each
+       block, and texts unlike that one meet all blocks. So a cluster of near
+       copies moves about twice, and no link between any two texts is left out
+       but where both ends are joined to the first text already. Only edges of a
+       spanning forest leave a task; no bucket is capped.
 
     The large joins are merge joins at every size: none broadcasts a side that
     grows with the documents.
@@ -366,7 +376,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = written(met.groupBy("slice").applyInArrow(_judge(threshold * 0.6), "i long, h1 long, h2 long, on boolean"), "dedup-known")
 
     first = known.groupBy("h1", "h2").agg(F.min("i").alias("rep"), F.max("i").alias("top"), F.max("on").alias("on")).where("on or rep < top")
-    member = known.join(first.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("i", "rep")
+    # Written, so that its exchange is not that of the rows: a text with very many copies can be split in the join.
+    first = written(first.select("h1", "h2", "rep", "on"), "dedup-first")
+    member = known.select("i", "h1", "h2").join(first.select("h1", "h2", "rep").hint("merge"), ["h1", "h2"]).select("i", "rep")
     reps = first.where("on").select(F.col("rep").alias("i")).distinct()
     sampled = written(named.join(reps.hint("merge"), "i", "left_semi").mapInArrow(_samples(idf, bands, rows), _SAMPLE_DDL), "dedup-samples")
 
@@ -375,9 +387,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cluster = components(keyed.join(low.hint("merge"), "key").where("i <> m").select(F.col("i").alias("a"), F.col("m").alias("b")))
     size = cluster.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
     placed = cluster.join(size, "component").select(F.col("id").alias("i"), F.col("component").alias("c"), "nb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("block"))
-    placed = sampled.select("i", "f", "g").join(placed.hint("merge"), "i").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("i", "f", "g", "c", "block", F.least("block", "other").alias("pa"), F.greatest("block", "other").alias("pb"))
-    links = placed.groupBy("c", "pa", "pb").applyInArrow(_verify(threshold), "a long, b long")
+    placed = written(sampled.select("i", "f", "g").join(placed.hint("merge"), "i"), "dedup-placed")
+    small = placed.where("nb = 1").withColumn("side", F.lit(-1))
+    links = small.groupBy("c").applyInArrow(_verify(threshold), "a long, b long")
+
+    # Large clusters: a leader meets every block of its cluster first, so that most texts move once.
+    large = placed.where("nb > 1")
+    leader = large.where("i = c").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
+    led = large.where("i <> c").withColumn("side", F.lit(1)).unionByName(leader)
+    led = written(led.groupBy("c", "block").applyInArrow(_verify(threshold), "a long, b long"), "dedup-led")
+    # What is unlike its leader meets all of its cluster, block by block.
+    rest = large.where("i <> c").join(led.select(F.col("b").alias("i")).union(led.select(F.col("a").alias("i"))).distinct(), "i", "left_anti")
+    rest = written(rest, "dedup-rest")
+    many = rest.groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("rb"))
+    left = rest.join(many, "c").withColumn("ra", F.pmod(F.xxhash64(F.lit(1), "i"), F.col("rb")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("side", F.lit(0))
+    right = large.join(many, "c").withColumn("ra", F.explode(F.sequence(F.lit(0), F.col("rb") - 1))).withColumn("side", F.lit(1))
+    others = left.unionByName(right).groupBy("c", "ra", "block").applyInArrow(_verify(threshold), "a long, b long")
+    links = links.unionByName(led).unionByName(others)
     classes = components(links)
 
     out = member.join(classes, member["rep"] == classes["id"], "left").select("i", F.coalesce("component", "rep").alias("class_id"))

@@ -73,10 +73,12 @@ def jaccard(a, b):
     return low / (sum(a.values()) + sum(b.values()) - low) if a and b else 0.0
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [100, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     base = [prose(k, 120) for k in range(4)]
     texts = base + [edited(base[0], k, 2) for k in range(6)] + [base[1]] * 3 + [base[1].upper(), "two words", "Two  Words", "", None, prose(9, 6000), " ".join(base[2].split() + base[3].split()), "la " * 40, "la " * 44]
-    texts += [edited(edited(base[0], 1, 2), k, 8) for k in (21, 22)]
+    texts += [edited(edited(base[0], 1, 2), k, 8) for k in (21, 22)] + [edited(base[0], k, 5) for k in range(30, 42)]
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs(spark, rows)).collect()}
     sets = weighted_sets(texts)
