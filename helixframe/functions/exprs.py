@@ -20,6 +20,12 @@ def day_value(label: Column | str) -> Column:
     return number + F.when(F.upper(F.substring(x, 1, 1)) == "P", F.lit(19.0)).otherwise(F.lit(0.0))
 
 
+def strict_day_value(label: Column | str) -> Column:
+    """As ``day_value``; a label without a number is an error, a null stays null."""
+    x = c(label).cast("string")
+    return F.coalesce(day_value(x), F.when(x.isNotNull(), F.raise_error(F.concat(F.lit("no number in stage label "), x)).cast("double")))
+
+
 def day_label(label: Column | str) -> Column:
     """``36.0`` becomes ``36``; other labels stay; NaN and blank are null."""
     x = F.regexp_replace(c(label).cast("string"), r"^([0-9]+)[.]0$", "$1")

@@ -59,3 +59,10 @@ def project_velocity(neighbours: DataFrame, states: DataFrame) -> DataFrame:
     rows = rows.withColumn("_w", F.exp(cos)).withColumn("_dx", F.col("_qx") - F.col("_px")).withColumn("_dy", F.col("_qy") - F.col("_py"))
     w = F.col("_w")
     return rows.groupBy("id").agg((F.sum(w * F.col("_dx")) / F.sum(w) - F.avg("_dx")).alias("vx"), (F.sum(w * F.col("_dy")) / F.sum(w) - F.avg("_dy")).alias("vy"))
+
+
+def velocity_grid(rows: DataFrame, size: float, least: int = 1) -> DataFrame:
+    """``(gx, gy, vx, vy, n)``: mean velocity of the cells of a square grid on the map, with ``least`` rows or more. Rows without a place or velocity count nowhere."""
+    x = rows.dropna(subset=["px", "py", "vx", "vy"])
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    return x.groupBy(at("px").alias("gx"), at("py").alias("gy")).agg(F.avg("vx").alias("vx"), F.avg("vy").alias("vy"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -78,3 +78,12 @@ def require(wanted: DataFrame, known: DataFrame, on: str) -> None:
         raise KeyError(f"missing {on}: {found}")
 
 
+
+
+def aligned(rows: DataFrame, state: DataFrame, shard: str, ordinal: str) -> DataFrame:
+    """Rows with the state of the same place in their shard; shards whose row counts differ are an error when read."""
+    a, b = rows.groupBy(shard).agg(F.count("*").alias("_a")), state.groupBy(shard).agg(F.count("*").alias("_b"))
+    counts = a.join(b, shard, "full").withColumn("_ok", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)))
+    wrong = F.raise_error(F.concat(F.lit("rows and state differ in number in "), F.col(shard).cast("string")))
+    checked = counts.withColumn("_ok", F.when(F.col("_ok"), True).otherwise(wrong.cast("boolean"))).where("_ok").select(shard)
+    return rows.join(checked, shard).join(state, [shard, ordinal])

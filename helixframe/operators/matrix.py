@@ -45,6 +45,23 @@ def most_variable(variances: DataFrame, n: int) -> DataFrame:
     return variances.orderBy(F.desc("variance"), "gene").limit(n)
 
 
+def select_panel(variances: DataFrame, genes: DataFrame, n: int, *, overfetch: int | None = None) -> DataFrame:
+    """The ``n`` most variable genes that ``genes(gene, gene_id, ...)`` knows, one row a ``gene_id``: that of the largest variance.
+
+    Ties go by gene. With ``overfetch`` only so many of the most variable genes
+    are looked up before the cut to ``n``, so fewer than ``n`` may be left.
+    """
+    x = variances if overfetch is None else most_variable(variances, n + overfetch)
+    x = x.join(genes, "gene")
+    rank = F.row_number().over(Window.partitionBy("gene_id").orderBy(F.desc("variance"), "gene"))
+    return x.withColumn("_k", rank).where("_k = 1").drop("_k").orderBy(F.desc("variance"), "gene").limit(n)
+
+
+def gather_rows(matrix: DataFrame, cells: DataFrame) -> DataFrame:
+    """The entries of some cells, each as often as ``cells(cell, ...)`` names it, with the columns given there."""
+    return matrix.join(cells, "cell")
+
+
 def gather(matrix: DataFrame, panel: DataFrame) -> DataFrame:
     """The columns of a panel; Spark broadcasts the panel if its size lets it."""
     return matrix.join(panel.select("gene").distinct(), "gene", "left_semi")
@@ -102,34 +119,44 @@ def svd(vectors: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray
 def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataFrame | None = None) -> DataFrame:
     """``(id, neighbour, distance, rank)``: the ``k`` nearest others of each query by squared distance of unit vectors, ties by id.
 
-    Queries meet all vectors block by block: each task keeps the best ``k`` of its rows for each
-    query of a block, so what is shuffled is k rows a query and task, not the pairs.
+    Exact: blocks of queries meet blocks of vectors, and a task sends the best
+    ``k`` of its block for each query, not its pairs. Null vectors meet nothing.
     """
     queries = vectors if queries is None else queries
-    q = queries.select(F.col(id_col).alias("id"), X.unit(F.col(column)).alias("x"))
-    # Queries travel in bounded blocks of 4096, one pass over the vectors each.
-    counted = q.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
-    blocks = max(1, -(-q.count() // 4096))
-    out = None
-    base = vectors.select(F.col(id_col).alias("id"), X.unit(F.col(column)).alias("x"))
-    for b in range(blocks):
-        rows = counted.where(F.col("_b") % blocks == b).collect()
-        ids, x = [r["id"] for r in rows], np.array([r["x"] for r in rows])
-
-        def part(batches: Iterator[pa.RecordBatch], ids=ids, x=x) -> Iterator[pa.RecordBatch]:
-            who = np.array(ids)
-            for t in batches:
-                if not len(t) or not len(who):
-                    continue
-                own = t.column(0).to_numpy(zero_copy_only=False)
-                d = np.maximum(2 - 2 * (x @ np.array(t.column(1).to_pylist()).T), 0)
-                d[who[:, None] == own[None, :]] = np.inf
-                m = min(k, d.shape[1])
-                edge = np.partition(d, m - 1, axis=1)[:, m - 1]
-                p, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(who[p]), pa.array(own[j]), pa.array(d[p, j])], names=["id", "neighbour", "distance"])
-
-        found = base.mapInArrow(part, "id long, neighbour long, distance double")
-        out = found if out is None else out.unionByName(found)
+    q = queries.select(F.col(id_col).alias("id"), X.unit(F.col(column)).cast("array<double>").alias("x"))
+    base = vectors.select(F.col(id_col).alias("id"), X.unit(F.col(column)).cast("array<double>").alias("x"))
+    # Both sides fall in blocks of some thousands; a task holds one block of queries against one of vectors.
+    many = lambda n, size: max(1, -(-n // size))
+    qb, vb = many(q.count(), 4096), many(base.count(), 8192)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("vb", every(vb)).withColumn("query", F.lit(True))
+    right = base.withColumn("vb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(vb)).cast("int")).withColumn("qb", every(qb)).withColumn("query", F.lit(False))
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, asks = t.column("id").to_numpy(), t.column("query").to_numpy(zero_copy_only=False)
+        x = t.column("x").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        who, own = ids[asks], ids[~asks]
+        p = j = np.zeros(0, np.int64)
+        d = np.zeros((0, 0))
+        if len(who) and len(own):
+            d = np.maximum(2 - 2 * (x[asks] @ x[~asks].T), 0)
+            d[who[:, None] == own[None, :]] = np.inf
+            m = min(k, d.shape[1])
+            edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+            p, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+        return pa.table({"id": pa.array(who[p]), "neighbour": pa.array(own[j]), "distance": pa.array(d[p, j], pa.float64())})
+
+    both = left.unionByName(right).where("x is not null")
+    out = both.groupBy("qb", "vb").applyInArrow(meet, "id long, neighbour long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def plane(vectors: DataFrame, id_col: str, column: str, sample: int, seed: int | str) -> DataFrame:
+    """``(id, x, y)``: a plane fitted to a keyed sample (a bound), all rows placed in it. A linear stand-in where a manifold embedding is wanted."""
+    from helixframe.operators.sampling import bottom_k
+
+    v, _, _ = svd(bottom_k(vectors, id_col, sample, seed), column, 2)
+    axis = lambda k: X.dot(F.col(column), F.array(*[F.lit(float(a)) for a in v[:, min(k, v.shape[1] - 1)]]))
+    return vectors.select(F.col(id_col).alias("id"), axis(0).alias("x"), axis(1).alias("y"))

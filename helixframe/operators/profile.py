@@ -28,15 +28,13 @@ def profile(rows: DataFrame, name: str) -> DataFrame:
     args = ", ".join(f"'{c}', cast(`{c}` as string)" for c in rows.columns)
     long = rows.selectExpr(f"stack({n}, {args}) as (column_name, v)")
     types = F.create_map(*[F.lit(x) for c, t in rows.dtypes for x in (c, t)])
-    # Distinct values first, with their counts: the sets that follow are no larger than the columns' vocabularies.
+    # Distinct values first, with their counts; the first five of a column are cut by a rank that Spark limits before the shuffle.
     values = long.groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column_name").orderBy(F.col("v").asc_nulls_last())
-    values = values.withColumn("_k", F.row_number().over(w))
-    out = values.groupBy("column_name").agg(
-        (F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_fraction"),
-        F.count("v").alias("n_unique"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("v").isNotNull() & (F.col("_k") <= 5), F.col("v")))), ", ").alias("examples"),
-    )
+    stats = values.groupBy("column_name").agg((F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_fraction"), F.count("v").alias("n_unique"))
+    w = Window.partitionBy("column_name").orderBy("v")
+    few = values.where("v is not null").withColumn("_k", F.row_number().over(w)).where("_k <= 5")
+    few = few.groupBy("column_name").agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias("examples"))
+    out = stats.join(few, "column_name", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
     return out.select(F.lit(name).alias("table_name"), "column_name", F.element_at(types, F.col("column_name")).alias("dtype"), "null_fraction", "n_unique", "examples")
 
 
@@ -58,9 +56,10 @@ def centroids(rows: DataFrame, group: str, x: str, y: str, *, least: int = 1, sk
 
 
 def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
-    """``(bin, n)`` of ``bins`` equal bins from least to largest value, the largest in the last."""
+    """``(bin, n)`` of ``bins`` equal bins from least to largest value, the largest in the last; of equal values all are in bin 0. Nulls count nowhere."""
     ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    at = F.floor((F.col(column) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)).cast("long")
+    wide = F.nullif((F.col("hi") - F.col("lo")).cast("double") / bins, F.lit(0.0))
+    at = F.coalesce(F.floor((F.col(column) - F.col("lo")) / wide).cast("long"), F.lit(0))
     x = rows.where(F.col(column).isNotNull()).select(column).crossJoin(F.broadcast(ends))
     return x.select(F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
@@ -76,16 +75,40 @@ def hex_density(rows: DataFrame, x: str, y: str, size: float) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """One SHA-256 a group over its keys in order, as digests of digests of bounded runs of 4096 keys.
+    """One SHA-256 a group over its keys in order, as a digest of digests of runs of some 4096 keys.
 
-    Keys are cut by range, so no list grows with the group beyond a digest a run.
+    Keys fall in runs by a hash, each run is digested in order, and the digests
+    in order of their run: no window over a group, and no list beyond a run's
+    keys or a digest a run. Two groups have equal digests if they hold the same
+    keys as often.
     """
-    w = Window.partitionBy(group).orderBy(key)
-    runs = rows.withColumn("_run", F.floor((F.row_number().over(w) - 1) / 4096))
-    runs = runs.groupBy(group, "_run").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "\n"), 256).alias("d"))
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.count("*") / F.lit(4096)).cast("int").alias("_runs"))
+    runs = rows.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).select(group, F.col(key).alias("_key"), (F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("_runs")).alias("_run"))
+    runs = runs.groupBy(group, "_run").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_key")), "\n"), 256).alias("d"))
     return runs.groupBy(group).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "d"))), lambda s: s["d"]), "\n"), 256).alias("digest"))
 
 
+def id_digest(rows: DataFrame, group: str, key: str, order: str) -> DataFrame:
+    """``(group, n, digest)``: SHA-256 of a group's keys in order, one a line. A group is a bounded list, such as the genes of a panel."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).cast("string").alias("k")))), lambda s: s["k"])
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+
+
+def require_same_order(rows: DataFrame, group: str, key: str, order: str) -> None:
+    """Raises if any two groups hold other keys or another order of them; names up to ten that differ from the first."""
+    found = id_digest(rows, group, key, order)
+    first = found.orderBy(group).first()
+    other = [r[group] for r in found.where((F.col("digest") != first["digest"]) | (F.col("n") != first["n"])).orderBy(group).limit(10).collect()] if first else []
+    if other:
+        raise ValueError(f"{other} differ from {first[group]} in {key} or its order")
+
+
+def usable_cells(cells: DataFrame, shard: str, order: str, label: str) -> DataFrame:
+    """A row a cell with a stage label that has a value: its columns, ``label``, ``value`` and its ``ordinal`` over all cells of all shards."""
+    x = ordinals(cells, shard, order).withColumn("label", X.day_label(label)).withColumn("value", X.day_value("label"))
+    return x.where("value is not null")
+
+
 def ordinals(rows: DataFrame, shard: str, order: str) -> DataFrame:
     """Dense global row numbers: the offset of the shard (a window over one row a shard) plus the row's number in it."""
     sizes = rows.groupBy(shard).agg(F.count("*").alias("_n"))

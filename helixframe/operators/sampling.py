@@ -48,12 +48,16 @@ def choose(n_batches: int, options: DataFrame, order: list[str | Column], seed:
 def weighted(rows: DataFrame, group: str, item: str, weight: str, draws: int, seed: int | str) -> DataFrame:
     """``draws`` items of each group with replacement, with probability by weight: ``(group, draw, item)``.
 
-    Weights are cumulated in item order within the group, packed in one array a
-    group, and each draw finds its place in it by bisection-free counting.
+    Items stand on a line at the sum of the weights before them, in item order,
+    and draws at drawn points; a draw takes the last item at or before it. Both
+    pass one sort of the group: no draw meets all items. Weights that are null
+    or not positive are not drawn; a group without others has no rows.
     """
     w = Window.partitionBy(group).orderBy(item)
-    run = rows.where(F.col(weight) > 0).withColumn("_hi", F.sum(weight).over(w)).withColumn("_lo", F.col("_hi") - F.col(weight)).withColumn("_t", F.sum(weight).over(Window.partitionBy(group)))
-    sums = run.select(group, "_t").distinct()
-    points = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_p", X.uniform(group, "draw", F.lit(str(seed))) * F.col("_t"))
-    found = points.drop("_t").join(run.select(group, item, "_lo", "_hi"), group).where((F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi")))
-    return found.select(group, F.col("draw").cast("long").alias("draw"), item)
+    run = rows.where(F.col(weight) > 0).select(group, F.col(item).alias("_item"), F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double").alias("_at"), F.col(weight).cast("double").alias("_w"))
+    points = run.groupBy(group).agg(F.max(F.col("_at") + F.col("_w")).alias("_t")).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    points = points.withColumn("_at", X.uniform(group, "draw", F.lit(str(seed))) * F.col("_t"))
+    both = run.select(group, "_at", "_item", F.lit(None).cast("long").alias("draw")).unionByName(points.select(group, "_at", F.lit(None).cast(run.schema["_item"].dataType).alias("_item"), "draw"))
+    line = Window.partitionBy(group).orderBy(F.col("_at"), F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(item, F.last("_item", ignorenulls=True).over(line)).where("draw is not null")
+    return found.select(group, "draw", item)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +56,27 @@ def sentences(matrix: DataFrame, genes: DataFrame, size: int, seed: int | str) -
     return parts.select("cell", F.concat(F.array(F.lit(CLS).cast("long")), F.flatten(F.transform("parts", lambda p: p["body"]))).alias("sentence"))
 
 
+def with_empty(rows: DataFrame, cells: DataFrame, column: str = "sentence") -> DataFrame:
+    """All of ``cells``: those without a sentence have an empty one."""
+    return cells.select("cell").join(rows, "cell", "left").withColumn(column, F.coalesce(column, F.array().cast(rows.schema[column].dataType)))
+
+
+def embed(rows: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], dim: int, column: str = "sentence") -> DataFrame:
+    """``(cell, vector)``: an encoder of equally long sentences, applied length by length in each batch; empty sentences are zero vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.compute.list_value_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(b), dim))
+            for k in np.unique(n[n > 0]):
+                at = np.flatnonzero(n == k)
+                out[at] = encoder(b.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), k))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=["cell", "vector"])
+
+    return rows.select("cell", column).mapInArrow(run, f"cell {rows.schema['cell'].dataType.simpleString()}, vector array<double>")
+
+
 def length_buckets(rows: DataFrame, column: str = "sentence", batch: int = 100) -> DataFrame:
-    """Adds ``length`` and ``bucket``: batches of up to ``batch`` rows of one length, in cell order."""
+    """Adds ``length`` and ``bucket``: batches of up to ``batch`` rows of one length, in cell order. An empty sentence has length 0."""
     w = Window.partitionBy("length").orderBy("cell")
     return rows.withColumn("length", F.size(column).cast("long")).withColumn("bucket", F.floor((F.row_number().over(w) - 1) / batch).cast("long"))

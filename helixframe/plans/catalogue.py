@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
 from helixframe.operators import evaluate, fields, intervals, matrix, profile, sampling, timeaxis, tokens, transport
-from helixframe.sources import readers
+from helixframe.sources import readers, writers
+from helixframe.sources.scratch import workspace
+from helixframe.streaming import passes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,20 +89,20 @@ def q_link_rank_topk(spark, d):
 
 
 @query(
-    f"""WITH {LINKS}, k AS (SELECT r.*, CASE WHEN is_synthetic THEN NULL ELSE ref_id::BIGINT % 500 END AS vec FROM r WHERE token_rank < 4)
+    f"""WITH {LINKS}, k AS (SELECT r.*, CASE WHEN is_synthetic THEN NULL ELSE ref_id::BIGINT % (SELECT count(*) FROM embeddings) END AS vec FROM r WHERE token_rank < 4)
 SELECT point_id, count(*) AS n_tokens, string_agg(CAST(signed_distance AS VARCHAR), ',' ORDER BY token_rank) AS distances,
-       sum(CASE WHEN is_promoter THEN 1 ELSE 0 END)::BIGINT AS n_promoters, round(sum(coalesce(embedding[1]::DOUBLE, 0)), 5) AS first_sum
+       sum(CASE WHEN is_promoter THEN 1 ELSE 0 END)::BIGINT AS n_promoters, round(sum(coalesce(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 0)), 4) AS vector_sum
 FROM k LEFT JOIN embeddings ON vec_id = vec GROUP BY point_id"""
 )
 def q_token_pack(spark, d):
-    links = _links(spark, d).withColumn("vec", F.when(~F.col("is_synthetic"), F.col("ref_id").cast("long") % 500))
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("vector"))
+    links = _links(spark, d).withColumn("vec", F.when(~F.col("is_synthetic"), F.col("ref_id").cast("long") % vectors.count()))
     packed = intervals.pack(links, vectors, group="point_id", ref="vec", k=4)
     t = F.col("tokens")
     return packed.select(
         "point_id", long(F.size(t)).alias("n_tokens"), F.array_join(F.transform(t, lambda x: x["distance"].cast("long").cast("string")), ",").alias("distances"),
         long(F.size(F.filter(t, lambda x: x["is_promoter"]))).alias("n_promoters"),
-        F.round(F.aggregate(t, F.lit(0.0), lambda s, x: s + F.coalesce(F.get(x["vector"], 0).cast("double"), F.lit(0.0))), 5).alias("first_sum"),
+        F.round(F.aggregate(t, F.lit(0.0), lambda s, x: s + F.coalesce(F.aggregate(x["vector"], F.lit(0.0), lambda p, v: p + v.cast("double")), F.lit(0.0))), 4).alias("vector_sum"),
     )
 
 
@@ -214,10 +216,28 @@ def q_hvg_topn(spark, d):
 FROM v JOIN part ON gene = p_partkey WHERE p_size > 2 ORDER BY v.variance DESC, p_partkey LIMIT 100"""
 )
 def q_select_panel(spark, d):
-    part = table(spark, d, "part").where("p_size > 2")
-    v = matrix.variance(_matrix(spark, d), _cells(spark, d)).join(part, F.col("gene") == F.col("p_partkey"))
-    v = v.orderBy(F.desc("variance"), "p_partkey").limit(100)
-    return v.select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"), X.first_filled("p_name", "p_type").alias("gene_name"), F.col("p_brand").alias("gene_type"), F.round("variance", 6).alias("variance"))
+    return _panel(spark, d, 100).select("gene_id", "gene_name", "gene_type", F.round("variance", 6).alias("variance"))
+
+
+def _panel(spark: SparkSession, d: str, n: int, overfetch: int | None = None) -> DataFrame:
+    genes = table(spark, d, "part").where("p_size > 2").select(F.col("p_partkey").alias("gene"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"), X.first_filled("p_name", "p_type").alias("gene_name"), F.col("p_brand").alias("gene_type"))
+    return matrix.select_panel(matrix.variance(_matrix(spark, d), _cells(spark, d)), genes, n, overfetch=overfetch)
+
+
+@query(
+    f"""{VARIANCE}, t AS (SELECT * FROM v ORDER BY variance DESC, gene LIMIT 150), k AS (SELECT p_brand AS gene_id, gene, variance, row_number() OVER (PARTITION BY p_brand ORDER BY variance DESC, gene) AS k FROM t JOIN part ON gene = p_partkey)
+SELECT gene_id, gene, round(variance, 6) AS variance FROM k WHERE k = 1 ORDER BY k.variance DESC, gene LIMIT 50"""
+)
+def q_select_panel_overfetch(spark, d):
+    genes = table(spark, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("gene_id"))
+    x = matrix.select_panel(matrix.variance(_matrix(spark, d), _cells(spark, d)), genes, 50, overfetch=100)
+    return x.select("gene_id", "gene", F.round("variance", 6).alias("variance"))
+
+
+@query(f"""WITH {COO}, c AS (SELECT o_orderkey AS cell, o_orderpriority AS stage FROM orders ORDER BY {u("o_orderkey || ':13'")}, o_orderkey LIMIT 200) SELECT cell, stage, gene, round(value, 4) AS value FROM m JOIN c USING (cell)""")
+def q_row_gather(spark, d):
+    cells = sampling.bottom_k(table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), F.col("o_orderpriority").alias("stage")), "cell", 200, 13)
+    return matrix.gather_rows(_matrix(spark, d), cells).select("cell", "stage", "gene", F.round("value", 4).alias("value"))
 
 
 @query("SELECT max(l_quantity) AS largest, bool_and(abs(l_quantity - round_even(l_quantity, 0)) <= 1e-8 + 1e-5 * abs(round_even(l_quantity, 0))) AS whole, max(l_quantity) > 50 AND bool_and(abs(l_quantity - round_even(l_quantity, 0)) <= 1e-8 + 1e-5 * abs(round_even(l_quantity, 0))) AS count_like FROM lineitem")
@@ -433,7 +453,8 @@ def q_union_all(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4096 AS run FROM documents),
+    """WITH z AS (SELECT source, ceil(count(*) / 4096.0)::BIGINT AS runs FROM documents GROUP BY source),
+r AS (SELECT d.source, doc_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % runs AS run FROM documents d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
 s AS (SELECT source, run, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS h FROM r GROUP BY source, run)
 SELECT source, sha256(string_agg(h, chr(10) ORDER BY run)) AS digest FROM s GROUP BY source"""
 )
@@ -552,13 +573,15 @@ def q_pair_draw(spark, d):
 
 # --- transport and evaluation ------------------------------------------------------------------
 
-SIDES = """n AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings),
-s AS (SELECT label, k // 32 AS batch, k % 32 AS i, embedding AS x FROM n)"""
+SIDES = """n AS (SELECT vec_id, label % 4 AS side, vec_id // 128 AS batch, embedding, row_number() OVER (PARTITION BY label % 4, vec_id // 128 ORDER BY vec_id) - 1 AS i FROM embeddings),
+s AS (SELECT side AS label, batch, i, embedding AS x FROM n)"""
 
 
-def _side(spark: SparkSession, d: str, label: int, name: str) -> DataFrame:
-    x = table(spark, d, "embeddings").where(F.col("label") == label).withColumn("k", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    return x.select(F.floor(F.col("k") / 32).alias("batch"), (F.col("k") % 32).cast("long").alias(name), F.col("embedding").cast("array<double>").alias("x"))
+def _side(spark: SparkSession, d: str, side: int, name: str) -> DataFrame:
+    """A quarter of all vectors, in minibatches of neighbouring ids."""
+    x = table(spark, d, "embeddings").where(F.col("label") % 4 == side).withColumn("batch", F.floor(F.col("vec_id") / 128))
+    i = F.row_number().over(Window.partitionBy("batch").orderBy("vec_id")) - 1
+    return x.select("batch", long(i).alias(name), F.col("embedding").cast("array<double>").alias("x"))
 
 
 @query(
@@ -570,9 +593,29 @@ def q_pairwise_cost(spark, d):
     return transport.costs(_side(spark, d, 0, "i"), _side(spark, d, 1, "j")).withColumn("cost", F.round("cost", 5))
 
 
-@query(None)
+SINKHORN = f"""{SIDES}, z AS (SELECT label, batch, i, list_transform(x, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(x, lambda w: w::DOUBLE * w::DOUBLE)))) AS x FROM s),
+c AS (SELECT a.batch, a.i, b.i AS j, -list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) / 0.05 AS k FROM z a JOIN z b ON a.batch = b.batch AND a.label = 0 AND b.label = 1),
+m AS (SELECT *, -ln(count(*) OVER (PARTITION BY batch, j)) AS a, -ln(count(*) OVER (PARTITION BY batch, i)) AS b FROM c),
+r AS (SELECT batch, i, j, k, a, b, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0 AS it FROM m
+      UNION ALL
+      SELECT batch, i, j, k, a, b, u, b - (hj + ln(sum(exp(k + u - hj)) OVER (PARTITION BY batch, j))), it FROM (
+        SELECT *, max(k + u) OVER (PARTITION BY batch, j) AS hj FROM (
+          SELECT batch, i, j, k, a, b, a - (hi + ln(sum(exp(k + v - hi)) OVER (PARTITION BY batch, i))) AS u, it + 1 AS it FROM (
+            SELECT *, max(k + v) OVER (PARTITION BY batch, i) AS hi FROM r WHERE it < 80))))"""
+
+
+@query(f"WITH RECURSIVE {SINKHORN} SELECT batch, i, j, round(exp(k + u + v), 6) AS p FROM r WHERE it = 80")
 def q_sinkhorn(spark, d):
-    return transport.couple(transport.costs(_side(spark, d, 0, "i"), _side(spark, d, 1, "j")))
+    return transport.couple(transport.costs(_side(spark, d, 0, "i"), _side(spark, d, 1, "j"))).withColumn("p", F.round("p", 6))
+
+
+@query(None)
+def q_cfm_coupled(spark, d):
+    """Pairs drawn by the coupling, then the points between them."""
+    a, b = _side(spark, d, 0, "i"), _side(spark, d, 1, "j")
+    pairs = transport.draw_pairs(transport.couple(transport.costs(a, b)), 32, 21)
+    way = transport.interpolate(pairs, a, b, 8.5, 9.0, 21, states=(_side(spark, d, 2, "i"), _side(spark, d, 3, "j")))
+    return way.select("batch", "draw", F.round("tau", 9).alias("tau"), F.round(_total("xt"), 5).alias("xt_sum"), F.round(_total("target"), 4).alias("target_sum"), F.round(_total("state_t"), 5).alias("state_sum"))
 
 
 CFM = f"""{SIDES}, q AS (SELECT a.batch, a.i, a.x AS x0, b.x AS x1, c.x AS s0, e.x AS s1, {u("a.batch || ':' || a.i || ':9:tau'")} AS tau
@@ -647,14 +690,40 @@ def q_knn(spark, d):
     return matrix.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", "neighbour", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query(None)
-def q_velocity_project(spark, d):
+PROJECT = f"""{KNN}, w AS (SELECT id, neighbour FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) <= 10),
+e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+g AS (SELECT vec_id, x, list_transform(range(1, len(x) + 1), lambda k: x[k % len(x) + 1] - x[k]) AS v, list_sum(list_slice(x, 1, len(x) // 2)) AS px, list_sum(list_slice(x, len(x) // 2 + 1, len(x))) AS py FROM e),
+n AS (SELECT w.id, list_transform(list_zip(a.x, b.x), lambda t: t[2] - t[1]) AS dx, a.v, b.px - a.px AS ox, b.py - a.py AS oy FROM w JOIN g a ON w.id = a.vec_id JOIN g b ON w.neighbour = b.vec_id),
+c AS (SELECT id, ox, oy, exp(list_dot_product(dx, v) / (greatest(sqrt(list_dot_product(dx, dx)), 1e-12) * greatest(sqrt(list_dot_product(v, v)), 1e-12))) AS wt FROM n),
+f AS (SELECT id, sum(wt * ox) / sum(wt) - avg(ox) AS vx, sum(wt * oy) / sum(wt) - avg(oy) AS vy FROM c GROUP BY id)"""
+
+
+def _velocities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     near = matrix.nearest(e, "vec_id", "embedding", 10).select("id", "neighbour")
     x = F.col("embedding").cast("array<double>")
-    model = fields.MLP.seeded([64, 32, 64], 3)
-    states = e.select(F.col("vec_id").alias("id"), x.alias("x"), fields.apply(model, x).alias("v"), F.get(x, 0).alias("px"), F.get(x, 1).alias("py"))
-    return evaluate.project_velocity(near, states)
+    rows = e.select(F.col("vec_id").alias("id"), x.alias("x"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a)
+    n, half = F.size("x"), F.floor(F.size("x") / 2).cast("int")
+    turned = F.concat(F.slice("x", 2, n - 1), F.slice("x", 1, 1))
+    rows = rows.select("id", "x", F.zip_with(turned, "x", lambda a, b: a - b).alias("v"), total(F.slice("x", F.lit(1), half)).alias("px"), total(F.slice("x", half + 1, n)).alias("py"))
+    return evaluate.project_velocity(near, rows), rows
+
+
+@query(f"WITH {PROJECT} SELECT id, round(vx, 6) AS vx, round(vy, 6) AS vy FROM f")
+def q_velocity_project(spark, d):
+    return _velocities(spark, d)[0].select("id", F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
+
+
+@query(f"WITH {PROJECT} SELECT CAST(floor(px / 0.5) AS BIGINT) AS gx, CAST(floor(py / 0.5) AS BIGINT) AS gy, round(avg(vx), 5) AS vx, round(avg(vy), 5) AS vy, count(*) AS n FROM f JOIN g ON id = vec_id GROUP BY 1, 2 HAVING count(*) >= 2")
+def q_velocity_grid(spark, d):
+    moved, rows = _velocities(spark, d)
+    return evaluate.velocity_grid(moved.join(rows.select("id", "px", "py"), "id"), 0.5, 2).withColumns({"vx": F.round("vx", 5), "vy": F.round("vy", 5)})
+
+
+@query(None)
+def q_plane(spark, d):
+    return matrix.plane(table(spark, d, "embeddings"), "vec_id", "embedding", 512, 3)
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -714,19 +783,15 @@ def q_length_buckets(spark, d):
     return tokens.length_buckets(_sentences(spark, d)).groupBy("length", "bucket").agg(F.count("*").alias("n"))
 
 
-ROPE = "(vec_id % 50 * 100)::DOUBLE * pow(10000.0, -{j} / 3.0) / 1000.0"
-
-
 @query(
-    "SELECT vec_id, "
-    + ", ".join(f"round(embedding[{j + 1}]::DOUBLE * cos({ROPE.format(j=j)}) - embedding[{j + 5}]::DOUBLE * sin({ROPE.format(j=j)}), 5) AS r{j}" for j in range(4))
-    + ", "
-    + ", ".join(f"round(embedding[{j + 1}]::DOUBLE * sin({ROPE.format(j=j)}) + embedding[{j + 5}]::DOUBLE * cos({ROPE.format(j=j)}), 5) AS r{j + 4}" for j in range(4))
-    + ", round(embedding[9]::DOUBLE, 5) AS r8 FROM embeddings"
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x, len(embedding) // 2 AS h FROM embeddings),
+a AS (SELECT vec_id, x, h, list_transform(range(1, h + 1), lambda j: (vec_id % 50 * 100)::DOUBLE * pow(10000.0, -(j - 1) / greatest(h - 1, 1)::DOUBLE) / 1000.0) AS t FROM e)
+SELECT vec_id, round(list_sum(list_transform(range(1, h + 1), lambda j: j * (x[j] * cos(t[j]) - x[j + h] * sin(t[j])) + (j + h) * (x[j] * sin(t[j]) + x[j + h] * cos(t[j])))), 4) AS weighted FROM a"""
 )
 def q_rope(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", X.rope(F.slice("embedding", 1, 9), F.col("vec_id") % 50 * 100).alias("r"))
-    return x.select("vec_id", *[F.round(F.get("r", k), 5).alias(f"r{k}") for k in range(9)])
+    x = table(spark, d, "embeddings").select("vec_id", X.rope(F.col("embedding"), F.col("vec_id") % 50 * 100).alias("r"))
+    weighted = F.aggregate(F.transform("r", lambda v, k: v * (k + 1)), F.lit(0.0), lambda s, v: s + v)
+    return x.select("vec_id", F.round(weighted, 4).alias("weighted"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, least(greatest(round_even((l_partkey - l_suppkey * 25) / 100.0, 0) + 1024, 0), 2048)::BIGINT AS bin FROM lineitem")
@@ -746,6 +811,172 @@ def q_mean_pool(spark, d):
     return x.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean")).select(long("label").alias("label"), long("pos").alias("pos"), "mean")
 
 
+# --- digests, order, states --------------------------------------------------------------------
+
+
+@query("SELECT p_brand, count(*) AS n, sha256(string_agg('g' || p_partkey, chr(10) ORDER BY p_size, 'g' || p_partkey)) AS digest FROM part GROUP BY p_brand")
+def q_ordered_ids(spark, d):
+    x = table(spark, d, "part").select("p_brand", "p_size", F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"))
+    return profile.id_digest(x, "p_brand", "gene_id", "p_size")
+
+
+@query(
+    f"""WITH {LABELS}, x AS (SELECT o_orderpriority, o_orderkey, CASE WHEN day(o_orderdate) = 1 THEN 'P' || month(o_orderdate) WHEN month(o_orderdate) <= 6 THEN 'E' || month(o_orderdate) || '.5' WHEN month(o_orderdate) = 7 THEN 'none' ELSE (year(o_orderdate) - 1980) || '.0' END AS stage FROM orders),
+n AS (SELECT *, (row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1)::BIGINT AS ordinal, regexp_replace(stage, '^([0-9]+)[.]0$', '\\1') AS label FROM x)
+SELECT o_orderkey, ordinal, label, regexp_extract(label, '([0-9]+(?:[.][0-9]+)?)', 1)::DOUBLE + CASE WHEN label[1] = 'P' THEN 19.0 ELSE 0.0 END AS value FROM n WHERE label <> 'none'"""
+)
+def q_usable_cells(spark, d):
+    at = F.col("o_orderdate")
+    stage = F.when(F.dayofmonth(at) == 1, F.concat(F.lit("P"), F.month(at).cast("string"))).when(F.month(at) <= 6, F.concat(F.lit("E"), F.month(at).cast("string"), F.lit(".5")))
+    stage = stage.when(F.month(at) == 7, "none").otherwise(F.concat((F.year(at) - 1980).cast("string"), F.lit(".0")))
+    x = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", stage.alias("stage"))
+    return profile.usable_cells(x, "o_orderpriority", "o_orderkey", "stage").select("o_orderkey", "ordinal", "label", "value")
+
+
+@query(
+    """WITH n AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents)
+SELECT a.source, a.i::BIGINT AS i, a.doc_id, b.n_chars::BIGINT AS state FROM n a JOIN n b ON a.source = b.source AND a.i = b.i"""
+)
+def q_aligned_state(spark, d):
+    x = table(spark, d, "documents").withColumn("i", long(F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1))
+    return intervals.aligned(x.select("source", "i", "doc_id"), x.select("source", "i", long("n_chars").alias("state")), "source", "i")
+
+
+@query(f"{SENTENCES}, o AS (SELECT o_orderkey AS cell FROM orders UNION SELECT -o_orderkey FROM orders WHERE o_custkey % 10 = 0) SELECT coalesce(length, 0) AS length, count(*) AS n FROM o LEFT JOIN s USING (cell) GROUP BY 1")
+def q_empty_cells(spark, d):
+    o = table(spark, d, "orders")
+    cells = o.select(F.col("o_orderkey").alias("cell")).union(o.where("o_custkey % 10 = 0").select(-F.col("o_orderkey"))).distinct()
+    x = tokens.length_buckets(tokens.with_empty(_sentences(spark, d), cells))
+    return x.groupBy("length").agg(F.count("*").alias("n"))
+
+
+@query(f"{SENTENCES} SELECT cell, round(list_avg(list_transform(string_split(sentence, ','), lambda t: (t::BIGINT % 101) / 100.0)), 6) AS x, length::DOUBLE AS y FROM s")
+def q_sentence_embedding(spark, d):
+    import numpy as np
+
+    def encoder(rows: np.ndarray) -> np.ndarray:
+        return np.stack([(rows % 101 / 100).mean(1), np.full(len(rows), float(rows.shape[1]))], axis=1)
+
+    x = tokens.embed(_sentences(spark, d), encoder, 2)
+    return x.select("cell", F.round(F.get("vector", 0), 6).alias("x"), F.get("vector", 1).alias("y"))
+
+
+# --- files: written, then read back ------------------------------------------------------------
+
+
+@query("SELECT 'g' || p_partkey AS gene_id, p_name AS gene_name, 'protein_coding' AS gene_type, 'chr' || (p_size % 5) AS chrom, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 10 - 1 ELSE p_partkey * 10 + p_size - 1 END AS tss0 FROM part WHERE p_size % 3 <> 0")
+def q_gtf_file(spark, d):
+    p = table(spark, d, "part")
+    key, tab = F.col("p_partkey").cast("string"), F.lit("\t")
+    kind = F.when(F.col("p_size") % 3 == 0, "lncRNA").otherwise("protein_coding")
+    about = F.concat(F.lit('gene_id "g'), key, F.lit('.7"; gene_name "'), F.col("p_name"), F.lit('"; gene_type "'), kind, F.lit('";'))
+    line = F.concat_ws("\t", (F.col("p_size") % 5).cast("string"), F.lit("src"), F.lit("gene"), (F.col("p_partkey") * 10).cast("string"), (F.col("p_partkey") * 10 + F.col("p_size")).cast("string"), F.lit("."), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-"), F.lit("."), about)
+    path = workspace(spark, "gtf")
+    p.select(line.alias("value")).union(p.select(F.concat(F.lit("#"), key, tab))).write.text(path)
+    return readers.gtf(spark, path)
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS pos, event_type FROM events)
+SELECT 'chr' || user_id AS chrom, pos AS start_pos, pos + 512 AS end_pos, 'e' || event_id AS ccre_id, 'e' || event_id AS element_id, event_type AS state, (2 * pos + 512) // 2 AS midpoint FROM e"""
+)
+def q_bed_file(spark, d):
+    e = table(spark, d, "events").select((F.concat(F.lit("chr"), F.col("user_id").cast("string"))).alias("chrom"), X.seconds("ts").alias("start"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ccre_id"), F.col("event_type").alias("state"))
+    path = workspace(spark, "bed")
+    writers.bed(e.withColumn("end", F.col("start") + 512).withColumn("element_id", F.lit("")), path)
+    return readers.bed(spark, path).select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "ccre_id", "element_id", "state", "midpoint")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, upper(translate(repeat(md5(CAST(p_partkey AS VARCHAR)), 3), '0123456789abcdef', 'acgtacgtacgtacgt')) AS seq FROM part),
+w AS (SELECT p_partkey, seq, p_size::BIGINT * 2 AS mid FROM s JOIN part USING (p_partkey)),
+c AS (SELECT p_partkey, substr(seq, greatest(mid - 16, 0) + 1, mid + 16 - greatest(mid - 16, 0)) AS x FROM w)
+SELECT p_partkey AS region_id, rpad(repeat('N', (32 - length(x)) // 2) || x, 32, 'N') AS seq FROM c"""
+)
+def q_fasta_windows(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("s"), F.col("p_partkey").cast("string"))
+    seq = F.translate(F.repeat(F.md5(F.col("p_partkey").cast("string").cast("binary")), 3), "0123456789abcdef", "acgtacgtacgtacgt")
+    lines = F.regexp_replace(seq, "(.{40})", "$1\n")
+    path = workspace(spark, "fasta")
+    p.select(F.concat(F.lit(">"), name, F.lit(" part\n"), lines).alias("value")).write.text(path)
+    regions = p.select(F.col("p_partkey").alias("region_id"), name.alias("chrom"), (long("p_size") * 2).alias("midpoint"))
+    return readers.fetch(readers.fasta(spark, path, 16), regions, 32, 16)
+
+
+@query(f"WITH {COO} SELECT cell - 1 AS cell, gene - 1 AS gene, value FROM (SELECT cell + 1 AS cell, gene + 1 AS gene, value FROM m)")
+def q_matrix_market_file(spark, d):
+    m = _matrix(spark, d)
+    size = m.agg(F.max("cell").alias("c"), F.max("gene").alias("g"), F.count("*").alias("n"))
+    top = size.select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.concat_ws(" ", F.col("c") + 1, F.col("g") + 1, "n")).alias("value"))
+    path = workspace(spark, "matrix")
+    top.coalesce(1).write.text(path)
+    m.select(F.concat_ws(" ", (F.col("cell") + 1).cast("string"), (F.col("gene") + 1).cast("string"), F.col("value").cast("string")).alias("value")).write.mode("append").text(path)
+    head = spark.read.text(path).where("startswith(value, '%') or value rlike '^[0-9]+ [0-9]+ [0-9]+$'")
+    first = head.where("not startswith(value, '%')").first()["value"]
+    whole = workspace(spark, "matrix")
+    body = spark.read.text(path).where((F.col("value") != first) & ~F.col("value").startswith("%"))
+    spark.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{first}",)], "value string").union(body).coalesce(1).write.text(whole)
+    return readers.matrix_market(spark, whole, int(first.split()[0]))
+
+
+@query("SELECT c_custkey::VARCHAR AS gene_id, c_name AS gene_short_name, 'protein_coding' AS gene_type, c_mktsegment AS chr FROM customer")
+def q_csv_aliases(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("Gene Name"), F.col("c_mktsegment").alias("Chromosome"))
+    path = workspace(spark, "csv")
+    writers.csv(c, path, gzip=True)
+    return readers.aliased(readers.with_provenance(spark, path), readers.GENE_ALIASES, {"gene_type": "protein_coding"})
+
+
+@query("SELECT o_orderkey // 1000 AS shard, count(*) AS n, sum(o_custkey)::BIGINT AS custs, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def q_sharded_table(spark, d):
+    path = workspace(spark, "shards")
+    writers.shards(table(spark, d, "orders").select("o_orderkey", "o_custkey"), path, "o_orderkey", 1000)
+    return spark.read.parquet(path).groupBy(long("shard").alias("shard")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("custs"), F.min("o_orderkey").alias("first"))
+
+
+@query(
+    """WITH n AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::BIGINT AS k, embedding FROM embeddings)
+SELECT k // 16 AS chunk, count(*) AS n, round(sum(embedding[3]::DOUBLE), 4) AS a, round(sum(embedding[1]::DOUBLE), 4) AS b FROM n GROUP BY 1"""
+)
+def q_row_chunks(spark, d):
+    path = workspace(spark, "rows")
+    x = table(spark, d, "embeddings")
+    values = F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",")
+    x.select("label", "vec_id", values.alias("value")).repartition("label").sortWithinPartitions("vec_id").select("label", "value").write.partitionBy("label").text(path)
+    rows = readers.row_chunks(spark, f"{path}/*", 16, [2, 0])
+    return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.sum(F.get("values", 0)), 4).alias("a"), F.round(F.sum(F.get("values", 1)), 4).alias("b"))
+
+
+@query("SELECT p_name AS key, max(p_partkey) AS value FROM part GROUP BY 1")
+def q_dictionary_file(spark, d):
+    path = workspace(spark, "dictionary")
+    p = table(spark, d, "part").groupBy("p_name").agg(F.max("p_partkey").alias("v"))
+    p.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_name", "v")))).alias("value")).coalesce(1).write.text(path)
+    return readers.dictionary(spark, path)
+
+
+@query(f"WITH {COO}, v AS (SELECT gene, sum(value) / max(n) AS mean, greatest(sum(value * value) / max(n) - (sum(value) / max(n)) * (sum(value) / max(n)), 0) AS variance FROM m, n GROUP BY gene) SELECT gene, round(mean, 6) AS mean, round(variance, 5) AS variance FROM v")
+def q_incremental_variance(spark, d):
+    """Shards arrive in two loads; each is summed once, whatever was summed before."""
+    m, folder, state, mark = _matrix(spark, d), *(workspace(spark, x) for x in ("arrived", "state", "mark"))
+    for part in (0, 1):
+        m.where(F.col("cell") % 2 == part).write.mode("append").parquet(folder)
+        passes.accumulate(spark, folder, m.schema.simpleString()[7:-1].replace(":", " "), state, mark)
+    return passes.variances(spark, state, _cells(spark, d)).select("gene", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"))
+
+
+@query("SELECT c_nationkey::BIGINT AS c_nationkey, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+def q_resumed(spark, d):
+    """What is done stays; a second call with the same signature reads what the first wrote."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    path = workspace(spark, "done")
+    done = writers.materialise(c.where("c_custkey % 3 = 0"), path, {"step": 1})
+    again = writers.materialise(c.where("c_custkey < 0"), path, {"step": 1})
+    left = passes.resume(c, done.unionByName(again), "c_custkey")
+    return left.groupBy(long("c_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Link, rank, cut and pack: the slice that exercises the interval operators together."""
     return q_link_rank_topk(spark, d)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from helixframe.functions import exprs as X
 
@@ -17,19 +16,21 @@ GTF = "seqname string, source string, feature string, start long, end long, scor
 
 
 def gtf(spark: SparkSession, path: str, *, gene_type: str | None = "protein_coding", genes: DataFrame | None = None) -> DataFrame:
-    """``(gene_id, gene_name, gene_type, chrom, strand, tss0)`` of gene rows; the first row of a gene counts."""
-    rows = spark.read.csv(path, sep="\t", comment="#", schema=GTF, quote="").where("feature = 'gene'").withColumn("_a", X.attributes("attributes"))
+    """``(gene_id, gene_name, gene_type, chrom, strand, tss0)`` of gene rows; of a gene's rows the first in the file counts (files by name)."""
+    at = F.struct(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.csv(path, sep="\t", comment="#", schema=GTF, quote="").withColumn("_at", at).where("feature = 'gene'").withColumn("_a", X.attributes("attributes"))
     get = lambda k: F.try_element_at("_a", F.lit(k))
     x = rows.select(
         X.unversioned(get("gene_id")).alias("gene_id"), X.first_filled(get("gene_name"), get("gene_id")).alias("gene_name"), X.first_filled(get("gene_type"), get("gene_biotype")).alias("gene_type"),
-        X.chrom("seqname").alias("chrom"), "strand", X.tss0("start", "end", "strand").alias("tss0"),
+        X.chrom("seqname").alias("chrom"), "strand", X.tss0("start", "end", "strand").alias("tss0"), "_at",
     ).where("gene_id is not null")
     if gene_type is not None:
         x = x.where(F.col("gene_type") == gene_type)
     if genes is not None:
         x = x.join(genes.select("gene_id").distinct(), "gene_id", "left_semi")
-    w = Window.partitionBy("gene_id").orderBy("chrom", "tss0", "strand")
-    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    kept = [c for c in x.columns if c not in ("gene_id", "_at")]
+    first = x.groupBy("gene_id").agg(F.min_by(F.struct(*kept), "_at").alias("_row"))
+    return first.select("gene_id", "_row.*")
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
@@ -81,15 +82,19 @@ def fetch(sequences: DataFrame, regions: DataFrame, length: int, width: int = 1
 def matrix_market(spark: SparkSession, path: str, cells: int | None = None) -> DataFrame:
     """``(cell, gene, value)`` from 0, of 1-based triplets; if the first dimension is not ``cells`` the matrix is turned.
 
-    The size line is the first that is no comment: the only line with no fraction
-    whose counts bound all others, read from the head of the file.
+    The size line is the first that is no comment. Triplets may read like it:
+    of lines equal to it, one is left out, whichever it is.
     """
-    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''")
-    size = [int(v) for v in lines.first()["value"].split()]
-    p = F.split(F.trim("value"), r"\s+")
-    x = lines.where(F.trim("value") != F.lit(" ".join(map(str, size)))).select((p[0].cast("long") - 1).alias("a"), (p[1].cast("long") - 1).alias("b"), p[2].cast("double").alias("value"))
+    plain = F.regexp_replace(F.trim("value"), r"\s+", " ")
+    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''").select(plain.alias("line"))
+    head = lines.first()["line"]
+    size = [int(v) for v in head.split()]
     if cells is not None and size[0] != cells and size[1] != cells:
         raise ValueError(f"neither dimension of {size[:2]} is {cells}")
+    again = lines.where(F.col("line") == head).groupBy("line").agg((F.count("*") - 1).alias("n")).where("n > 0")
+    again = again.select("line", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("line")
+    p = F.split("line", " ")
+    x = lines.where(F.col("line") != head).union(again).select((p[0].cast("long") - 1).alias("a"), (p[1].cast("long") - 1).alias("b"), p[2].cast("double").alias("value"))
     turned = cells is not None and size[0] != cells
     return x.select(F.col("b" if turned else "a").alias("cell"), F.col("a" if turned else "b").alias("gene"), "value")
 
@@ -124,9 +129,30 @@ def with_provenance(spark: SparkSession, pattern: str, schema: str | None = None
     return table(spark, pattern, schema).withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def inventory(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(path, bytes)`` of files, without reading them."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"))
+def inventory(spark: SparkSession, pattern: str, required: list[str] | None = None) -> DataFrame:
+    """``(path, bytes)`` of files, without reading them; an error if a required file name is not among them."""
+    found = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes"))
+    if required:
+        wanted = spark.createDataFrame([(r,) for r in required], "name string")
+        gone = [r["name"] for r in wanted.join(found.select(F.element_at(F.split("path", "/"), -1).alias("name")), "name", "left_anti").orderBy("name").collect()]
+        if gone:
+            raise FileNotFoundError(f"no file named {gone} among {pattern}")
+    return found
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """``(key, value)`` of a JSON object of numbers, such as a symbol's token; pickled dictionaries are not read."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "map<string, long>")).alias("key", "value"))
+
+
+def weights(spark: SparkSession, path: str, expected: dict[str, tuple[int, ...]] | None = None) -> dict[str, np.ndarray]:
+    """Arrays that ``writers.weights`` wrote; with ``expected`` names and shapes, any other set of them is an error."""
+    rows = spark.read.parquet(path).collect()  # the arrays of one model, which the driver holds anyway
+    got = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in rows}
+    if expected is not None and {k: v.shape for k, v in got.items()} != expected:
+        raise ValueError(f"{ {k: v.shape for k, v in got.items()} } is not {expected}")
+    return got
 
 
 def document(spark: SparkSession, path: str) -> DataFrame:
@@ -174,50 +200,27 @@ class Config:
         return cls.of({k: (tuple(v.split(",")) if kinds[k] is tuple else kinds[k](v)) for k, v in got.items()})
 
 
-class RowRanges(DataSource):
-    """``.format("rowranges")``: chunks of a row-ordered text matrix (one line a row, values parted by commas) as (file, row, values).
+def row_chunks(spark: SparkSession, pattern: str, chunk: int = 1000, columns: list[int] | None = None) -> DataFrame:
+    """``(source_file, row, global_row, chunk, values)`` of row-ordered text matrices, one line a row, values parted by commas.
 
-    Each file is cut in ranges of ``chunk`` rows; a task reads one range.
-    Options: ``path`` (comma-parted files that executors can open), ``chunk``.
+    Rows are numbered by file, and over all files by name; ``chunk`` numbers
+    ranges of ``chunk`` rows of a file; ``columns`` gathers some values, in that
+    order. Spark splits the files: a line's number is its place in its split and
+    the lines of the splits before, of which there is one row each. No file is
+    opened by the driver, and none is read more than once to be counted and once
+    for its rows.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "rowranges"
-
-    def schema(self) -> str:
-        return "source_file string, row long, values array<double>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _RowRangeReader(self.options)
-
-
-@dataclass
-class _Range(InputPartition):
-    path: str
-    start: int
-    stop: int
-
-
-class _RowRangeReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.chunk = sorted(options["path"].split(",")), int(options.get("chunk", "1000"))
-
-    def partitions(self) -> list[_Range]:
-        out = []
-        for p in self.paths:
-            with open(p) as f:
-                n = sum(1 for _ in f)
-            out += [_Range(p, a, min(a + self.chunk, n)) for a in range(0, n, self.chunk)]
-        return out
-
-    def read(self, part: _Range) -> Iterable[tuple]:
-        with open(part.path) as f:
-            for k, line in enumerate(f):
-                if part.start <= k < part.stop:
-                    yield part.path, k, [float(v) for v in line.split(",")]
-                elif k >= part.stop:
-                    break
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), "value")
+    splits = lines.groupBy("source_file", "b").agg(F.min("m").alias("m0"), F.count("*").alias("n"))
+    before = Window.partitionBy("source_file").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("source_file", "b").rowsBetween(Window.unboundedPreceding, -1)  # over one row a split
+    splits = splits.select("source_file", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k"), F.coalesce(F.sum("n").over(every), F.lit(0)).alias("g"))
+    x = lines.join(splits, ["source_file", "b"]).withColumn("_i", F.col("m") - F.col("m0"))
+    values = F.transform(F.split("value", ","), lambda v: v.cast("double"))
+    if columns is not None:
+        values = F.transform(F.array(*[F.lit(c) for c in columns]), lambda c: F.get(F.split("value", ","), c).cast("double"))
+    row = F.col("k") + F.col("_i")
+    return x.select("source_file", row.alias("row"), (F.col("g") + F.col("_i")).alias("global_row"), F.floor(row / chunk).alias("chunk"), values.alias("values"))
 
 
 def arrays(spark: SparkSession, pattern: str) -> DataFrame:

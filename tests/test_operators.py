@@ -196,6 +196,8 @@ def test_sparse_matrix_file(spark, tmp_path):
     assert sorted(map(tuple, readers.matrix_market(spark, path, 2).collect())) == [(0, 2, 1.0), (1, 0, 5.5)]
     with pytest.raises(ValueError):
         readers.matrix_market(spark, path, 7)
+    (tmp_path / "s.mtx").write_text("%%MatrixMarket matrix coordinate real general\n3 3 3\n1  1 4\n3 3 3\n2 2 5\n")
+    assert sorted(map(tuple, readers.matrix_market(spark, str(tmp_path / "s.mtx")).collect())) == [(0, 0, 4.0), (1, 1, 5.0), (2, 2, 3.0)]
 
 
 def test_tables_settings_and_ranges(spark, tmp_path):
@@ -210,9 +212,13 @@ def test_tables_settings_and_ranges(spark, tmp_path):
     with pytest.raises(KeyError):
         readers.Config.of({"no": 1})
     (tmp_path / "m.txt").write_text("1,2\n3,4\n5,6\n")
-    spark.dataSource.register(readers.RowRanges)
-    rows = spark.read.format("rowranges").option("path", str(tmp_path / "m.txt")).option("chunk", "2").load()
-    assert sorted((r["row"], r["values"]) for r in rows.collect()) == [(0, [1, 2]), (1, [3, 4]), (2, [5, 6])]
+    rows = readers.row_chunks(spark, str(tmp_path / "m*.txt"), 2)
+    assert sorted((r["row"], r["chunk"], r["values"]) for r in rows.collect()) == [(0, 0, [1, 2]), (1, 0, [3, 4]), (2, 1, [5, 6])]
+    (tmp_path / "m2.txt").write_text("7,8\n")
+    got = readers.row_chunks(spark, str(tmp_path / "m*.txt"), 2, [1]).collect()
+    assert sorted((r["global_row"], r["values"]) for r in got) == [(0, [2]), (1, [4]), (2, [6]), (3, [8])]
+    with pytest.raises(FileNotFoundError):
+        readers.inventory(spark, str(tmp_path / "*.csv"), ["a.csv", "b.csv"])
     assert readers.inventory(spark, str(tmp_path / "*.csv")).first()["bytes"] == 19
 
 
@@ -249,3 +255,61 @@ def test_array_files(spark, tmp_path):
     np.savez(tmp_path / "b.npz", x=np.array([5.0, 6.0]))
     got = sorted((r["name"], r["row"], r["values"]) for r in readers.arrays(spark, str(tmp_path / "*.np*")).collect())
     assert got == [("", 0, [1, 2]), ("", 1, [3, 4]), ("x", 0, [5]), ("x", 1, [6])]
+
+
+def test_first_gene_row_of_the_file_counts(spark, tmp_path):
+    line = 'chr{}\tsrc\tgene\t{}\t{}\t.\t+\t.\tgene_id "g1"; gene_type "protein_coding";\n'
+    (tmp_path / "a.gtf").write_text(line.format(9, 50, 60) + line.format(1, 5, 6))
+    assert [tuple(r) for r in readers.gtf(spark, str(tmp_path / "a.gtf")).collect()] == [("g1", "g1", "protein_coding", "chr9", "+", 49)]
+
+
+def test_histogram_of_equal_values(spark):
+    x = spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double")
+    assert [tuple(r) for r in profile.histogram(x, "v", 5).collect()] == [(0, 2)]
+
+
+def test_panels_orders_and_states(spark):
+    v = spark.createDataFrame([(g, float(10 - g)) for g in range(6)], "gene long, variance double")
+    names = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (4, "c"), (5, "d")], "gene long, gene_id string")
+    assert [(r["gene_id"], r["gene"]) for r in matrix.select_panel(v, names, 3).orderBy(F.desc("variance")).collect()] == [("a", 0), ("b", 2), ("c", 4)]
+    assert matrix.select_panel(v, names, 3, overfetch=0).count() == 2
+    rows = spark.createDataFrame([("x", 0, "g1"), ("x", 1, "g2"), ("y", 0, "g1"), ("y", 1, "g2")], "shard string, k int, gene string")
+    profile.require_same_order(rows, "shard", "gene", "k")
+    with pytest.raises(ValueError, match="y"):
+        profile.require_same_order(rows.withColumn("k", F.when(F.col("shard") == "y", 1 - F.col("k")).otherwise(F.col("k"))), "shard", "gene", "k")
+    cells = spark.createDataFrame([("x", 0, 5), ("x", 1, 6), ("y", 0, 7)], "shard string, k long, cell long")
+    state = cells.select("shard", "k", (F.col("cell") * 2).alias("s"))
+    assert sorted(r["s"] for r in intervals.aligned(cells, state, "shard", "k").collect()) == [10, 12, 14]
+    with pytest.raises(Exception, match="differ in number in x"):
+        intervals.aligned(cells, state.where("s <> 12"), "shard", "k").collect()
+    with pytest.raises(Exception, match="no number"):
+        spark.createDataFrame([("none",)], "d string").select(X.strict_day_value("d")).collect()
+
+
+def test_weighted_draws_take_the_last_item_before_the_point(spark):
+    w = spark.createDataFrame([("x", k, 0.1) for k in range(10)] + [("y", 3, 2.0), ("z", 1, 0.0), ("z", 2, None)], "g string, item long, w double")
+    got = sampling.weighted(w, "g", "item", "w", 500, 1).collect()
+    assert sorted({r["g"] for r in got}) == ["x", "y"] and len(got) == 1000 and {r["item"] for r in got if r["g"] == "x"} == set(range(10))
+
+
+def test_sentences_of_empty_cells_and_embedding(spark):
+    rows = spark.createDataFrame([(1, [3, 5]), (2, [4]), (5, [8, 9])], "cell long, sentence array<long>")
+    every = tokens.with_empty(rows, spark.createDataFrame([(1,), (2,), (5,), (9,)], "cell long"))
+    got = {r["cell"]: r["vector"] for r in tokens.embed(every, lambda x: x.sum(1, keepdims=True).astype(float), 1).collect()}
+    assert got == {1: [8.0], 2: [4.0], 5: [17.0], 9: [0.0]}
+    assert {r["cell"]: r["length"] for r in tokens.length_buckets(every).collect()}[9] == 0
+
+
+def test_weights_grids_and_side_files(spark, tmp_path):
+    writers.weights(spark, str(tmp_path / "w"), {"a": np.eye(2), "b": np.zeros(3)}, {"width": 2})
+    got = readers.weights(spark, str(tmp_path / "w"), {"a": (2, 2), "b": (3,)})
+    assert np.array_equal(got["a"], np.eye(2)) and readers.document(spark, str(tmp_path / "w-settings")).first()["width"] == 2
+    with pytest.raises(ValueError):
+        readers.weights(spark, str(tmp_path / "w"), {"a": (2, 2)})
+    grid = evaluate.velocity_grid(spark.createDataFrame([(0.1, 0.1, 1.0, 2.0), (0.2, 0.3, 3.0, 4.0), (1.5, 0.0, 9.0, 9.0), (None, 0.0, 1.0, 1.0)], "px double, py double, vx double, vy double"), 1.0, 2)
+    assert [tuple(r) for r in grid.collect()] == [(0, 0, 2.0, 3.0, 2)]
+    writers.ids(spark.createDataFrame([(2, "b"), (1, "a")], "k int, gene string"), str(tmp_path / "ids"), "gene", "k")
+    assert [r["gene"] for r in readers.table(spark, str(tmp_path / "ids")).collect()] == ["a", "b"]
+    for _ in range(2):
+        writers.metrics(spark.createDataFrame([(1, 0.5)], "step int, loss double"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
