@@ -2,61 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources.scratch import superseded, workspace
+
 # Functions sent to executors travel by value, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules["helixframe"])
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests), a local master gets a temporary folder; on a
-    cluster that would be machine-local, so it is an error there.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file system, wherever it is."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone with its gateway
-            return
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/helixframe/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
 
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here. The path is for :func:`superseded`."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here. The path is for ``superseded``."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -67,13 +26,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return kept(df, name)[0]
 
 
-def superseded(spark: SparkSession, *paths: str) -> None:
-    """Removes tables that no plan will read again."""
-    for path in paths:
-        _written.remove((spark, path))
-        delete(spark, path)
-
-
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
