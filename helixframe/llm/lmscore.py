@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import width, written
 from helixframe.llm.textvec import Lookup, Words, mix64, words
 
-HEAD = 1 << 16
+HEAD = 1 << 17
 #: log2 of the slots of a table: the model has a fixed size, some 24 MB with 16 bits a slot.
 WORD_SLOTS, BYTE_SLOTS = 21, 20
 ORDERS = (1, 2, 3, 4, 6)
@@ -48,7 +48,9 @@ MARKS = 256
 PIECE, SEGMENT = 64 << 10, 512
 RANGES = 32
 #: Tokens of a run on average: a power of two.
-RUN = 16
+RUN = 32
+#: Tasks whose counts are added up at once.
+FAN = 256
 _K = np.uint64(0x9E3779B97F4A7C15)
 _ODD, _STIR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -224,9 +226,12 @@ def _new_weights(inputs: int) -> np.ndarray:
     return np.full((inputs, 16 * 16), 1.2 / inputs, np.float32)
 
 
+_SIGN = np.array([1, -1], np.float32)
+
+
 def _cost(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Natural-log cost of bits at log odds z."""
-    s = z * (1 - 2 * bit).astype(np.float32)
+    s = z * _SIGN.take(bit)
     e = np.exp(-np.abs(s))
     e += 1
     return np.log(e, out=e) + np.maximum(s, 0, out=s)
@@ -384,9 +389,9 @@ class _Tally:
         self.mixer = Mixer([np.zeros(s, np.int16) for s in sizes], _new_weights(len(sizes)), sure)
         self.seen = np.zeros(self.mixer.weights.shape[1])
 
-    def count(self, table: int, slot: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
+    def count(self, table: int, slot: np.ndarray, bit: np.ndarray) -> None:
         n = self.n[table]
-        np.add.at(n.reshape(-1), slot + bit * np.intp(n.shape[1]), np.int32(1) if times is None else times.astype(np.int32))
+        np.add.at(n.reshape(-1), slot + bit * np.intp(n.shape[1]), np.int32(1))
 
     def refresh(self) -> None:
         for k, n in enumerate(self.n):
@@ -395,20 +400,6 @@ class _Tally:
             self.mixer.tables[0] = self.mixer.tables[0][self.steps]
 
 
-def _count_words(tally: _Tally, codes: Codes, symbol: np.ndarray, one: np.ndarray, two: np.ndarray, mark: np.ndarray) -> None:
-    """Counts the bits of tokens in every context, each distinct pair of context and symbol once, times its number."""
-    u, c = np.unique(symbol, return_counts=True)
-    _, _, node, bit, mixed, _ = codes.word
-    whose, at = _paths(codes.word, u)
-    tally.count(0, node[at], bit[at], c[whose])
-    for table, context in enumerate(_behind(one, two, mark), 1):
-        u, c = np.unique(context.astype(np.int64) << 20 | symbol, return_counts=True)
-        for a in range(0, len(u), 1 << 17):
-            part, times = u[a : a + (1 << 17)], c[a : a + (1 << 17)]
-            whose, at = _paths(codes.word, part & 0xFFFFF)
-            tally.count(table, _slot((part >> 20).astype(np.uint32)[whose], mixed[at], WORD_SLOTS), bit[at], times[whose])
-
-
 _CHUNK = "part int, at int, way int, body binary"
 
 
@@ -420,14 +411,8 @@ def _train(codes: Codes):
         head = Lookup(codes.head)
         of_words, of_bytes, rare = _Tally(sizes, (1, 2), codes.word[2]), _Tally(byte_sizes, (4, 5)), _Rare()
 
-        tokens: list[_Text] = []
         size, due, early = 0, 1 << 15, True
 
-        def settle():
-            """Counts the tokens at hand; what comes after is predicted by them."""
-            _count_words(of_words, codes, *(np.concatenate([getattr(t, x) for t in tokens]) for x in ("symbol", "one", "two", "mark")))
-            of_words.refresh()
-
         def spell():
             """Counts the escaped words at hand, each once."""
             h, data, start, end = rare.words()
@@ -444,26 +429,30 @@ def _train(codes: Codes):
                     held = []
             of_bytes.refresh()
 
+        known = False
         for b in batches:
             for first, last, w in words(b.column(0), PIECE):
                 t = _Text(codes, head, w, last - first)
-                if of_words.n[0].any():
-                    of_words.seen += of_words.mixer.learn(word_bits(codes, t.symbol, t.one, t.two, t.mark))
+                bits = word_bits(codes, t.symbol, t.one, t.two, t.mark)
+                if known:
+                    of_words.seen += of_words.mixer.learn(bits)
+                # The first table counts by node, not by step.
+                of_words.count(0, codes.word[2][bits.slots[0]], bits.bit)
+                for k in (1, 2, 3):
+                    of_words.count(k, bits.slots[k], bits.bit)
                 rare.add(w, t.rare)
-                t.text = t.rare = None
-                tokens.append(t)
                 size += len(t.symbol)
                 if size > due:
-                    settle()
+                    # What comes after is predicted by what is counted so far.
+                    of_words.refresh()
+                    known = True
                     if early or rare.bytes > 8 << 20:
                         spell()
                         rare, early = _Rare(), False
-                    tokens, size, due = [], 0, min(2 * due, 1 << 20)
-        if tokens:
-            settle()
+                    size, due = 0, min(2 * due, 1 << 20)
         spell()
         packer = zstandard.ZstdCompressor(level=1)
-        way = TaskContext.get().partitionId() % 64
+        way = TaskContext.get().partitionId()
         rows = []
         for base, tally in ((0, of_words), (10, of_bytes)):
             rows.append((100 + base, 0, way, packer.compress(np.r_[tally.mixer.weights * tally.seen, tally.seen[None]].astype(np.float64).tobytes())))
@@ -484,7 +473,7 @@ def _add(t: pa.Table) -> pa.Table:
         x = np.frombuffer(unpack.decompress(body.as_py()), kind)
         total = x.copy() if total is None else total + x
     first = t.slice(0, 1)
-    return pa.table({"part": first.column("part"), "at": first.column("at"), "way": pa.array([0], pa.int32()), "body": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+    return pa.table({"part": first.column("part"), "at": first.column("at"), "way": first.column("way"), "body": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
 
 def _models(chunks: list, codes: Codes, sizes: list[int], byte_sizes: list[int]) -> tuple[Mixer, Mixer]:
@@ -523,11 +512,13 @@ def _refined(z: np.ndarray, b: Bits, t: _Text, texts: int) -> np.ndarray:
     of, who = segment[b.whose], t.text[b.whose]
     # Bits stand in the order of the texts, so those of a segment are runs.
     longer = (np.bincount(t.text, minlength=texts) - 1) // SEGMENT
+    rest = np.arange(len(z))
     for k in range(last + 1):
-        at = np.flatnonzero(of == k)
+        here = of[rest] == k
+        at, rest = rest[here], rest[~here]
         text, bit, zz = who[at], b.bit[at], z[at]
         s = scale[text] * zz if k else zz
-        cost[at] = _cost(s.copy(), bit)
+        cost[at] = _cost(s, bit)
         if k < last:
             # Only texts that go on learn a scale.
             on = np.flatnonzero(longer[text] > k)
@@ -652,7 +643,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     codes = _codes(counts, n_words, {r["h"]: r["c"] for r in small if r["kind"] == 1}, texts)
 
     run, sizes, byte_sizes = _train(codes)
-    chunks = train.mapInArrow(run, _CHUNK).groupBy("part", "at", "way").applyInArrow(_add, _CHUNK).repartition(width(spark), "part", "at").groupBy("part", "at").applyInArrow(_add, _CHUNK)
+    # Sums of so many tasks each, then of so many sums: no group grows with the corpus.
+    chunks = train.mapInArrow(run, _CHUNK)
+    for fan in (FAN, FAN**2, FAN**4):
+        chunks = chunks.withColumn("way", F.expr(f"cast(way div {fan} * {fan} as int)")).repartition(width(spark), "part", "at", "way").groupBy("part", "at", "way").applyInArrow(_add, _CHUNK)
     model = spark.sparkContext.broadcast(_models(chunks.collect(), codes, sizes, byte_sizes))
 
     scored = written(rows.mapInArrow(_score(codes, model), _SCORED_DDL), "lm-scored")

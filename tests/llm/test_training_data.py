@@ -376,10 +376,11 @@ def test_every_token_and_context_teaches_the_model():
     assert seen >= 120_003 - (1 << 16)
 
 
-def test_runs_by_plain_comparison():
+def test_runs_by_plain_comparison(monkeypatch):
     r = random.Random(3)
     texts = [" ".join(r.choice("abcd") for _ in range(r.choice((0, 2, 5, 120)))) for _ in range(40)]
     codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2, 1]), lmscore.huffman([1] * 256))
+    monkeypatch.setattr(lmscore, "RUN", 8)
     (_, _, w), *_ = list(textvec.words(pa.array(texts)))
     t = lmscore._Text(codes, textvec.Lookup(codes.head), w, len(texts))
     begin, stop, f, g, own_f, own_g = t.runs(w)
