@@ -75,9 +75,7 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, ...]:
         length.append(len(path))
         nodes += [x for x, _ in reversed(path)]
         bits += [x for _, x in reversed(path)]
-    node = np.array(nodes)
-    depth = np.arange(len(nodes)) - np.repeat(np.array(start), length)
-    return np.array(start), np.array(length), node, np.array(bits, np.int8), node.astype(np.uint32) * _ODD, np.minimum(depth, 11).astype(np.uint8)
+    return _steps(np.array(start), np.array(length), np.array(nodes), np.array(bits, np.int8))
 
 
 @dataclass
@@ -94,6 +92,20 @@ class Codes:
     def escape(self) -> int:
         return self.end + 1
 
+    def __reduce__(self):
+        """What tasks get: of the paths only what the rest follows from."""
+        bare = [(c[0].astype(np.int32), c[1].astype(np.uint8), c[2].astype(np.int32), np.packbits(c[3])) for c in (self.word, self.byte)]
+        return _codes_of, (self.head, self.count, self.end, *bare)
+
+
+def _codes_of(head: np.ndarray, count: np.ndarray, end: int, *bare: tuple) -> Codes:
+    return Codes(head, count, end, *(_steps(s.astype(np.int64), n.astype(np.int64), node.astype(np.int64), np.unpackbits(bit)[: len(node)].astype(np.int8)) for s, n, node, bit in bare))
+
+
+def _steps(start: np.ndarray, length: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, ...]:
+    depth = np.arange(len(node)) - np.repeat(start, length)
+    return start, length, node, bit, node.astype(np.uint32) * _ODD, np.minimum(depth, 11).astype(np.uint8)
+
 
 def _paths(code: tuple, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the bits of some symbols: whose, and the place of the step in the code's list of paths."""
@@ -403,11 +415,13 @@ class _Tally:
 _CHUNK = "part int, at int, way int, body binary"
 
 
-def _train(codes: Codes):
-    sizes = [codes.end + 2, *[1 << WORD_SLOTS] * 3]
+def _train(shared, end: int):
+    """``shared``: a broadcast of the codes."""
+    sizes = [end + 2, *[1 << WORD_SLOTS] * 3]
     byte_sizes = [1 << BYTE_SLOTS] * (1 + len(ORDERS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
         head = Lookup(codes.head)
         of_words, of_bytes, rare = _Tally(sizes, (1, 2), codes.word[2]), _Tally(byte_sizes, (4, 5)), _Rare()
 
@@ -557,11 +571,11 @@ _SCORED = (("i", pa.int64()), ("key", pa.int64()), ("h", pa.int64()), ("tf", pa.
 _SCORED_DDL = "i long, key long, h long, tf long, n_tokens long, known long, base double, bits double, bytes long, held boolean, f long, g long, cost float, own_f int, own_g int"
 
 
-def _score(codes: Codes, model):
-    """A row a text with what the mix gives; a row for each escaped word of a text, and for each of its runs."""
+def _score(shared, model):
+    """``shared``, ``model``: broadcasts of the codes and the mixers. A row a text with what the mix gives; a row for each escaped word of a text, and for each of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_words, of_bytes = model.value
+        codes, (of_words, of_bytes) = shared.value, model.value
         head = Lookup(codes.head)
         key = TaskContext.get().partitionId() << 33
         log = np.log10(codes.count + 1.0)
@@ -642,14 +656,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     n_words, n_types = int(got["n"] or 0), int(got["v"])
     codes = _codes(counts, n_words, {r["h"]: r["c"] for r in small if r["kind"] == 1}, texts)
 
-    run, sizes, byte_sizes = _train(codes)
+    shared = spark.sparkContext.broadcast(codes)
+    run, sizes, byte_sizes = _train(shared, codes.end)
     # Sums of so many tasks each, then of so many sums: no group grows with the corpus.
     chunks = train.mapInArrow(run, _CHUNK)
     for fan in (FAN, FAN**2, FAN**4):
         chunks = chunks.withColumn("way", F.expr(f"cast(way div {fan} * {fan} as int)")).repartition(width(spark), "part", "at", "way").groupBy("part", "at", "way").applyInArrow(_add, _CHUNK)
     model = spark.sparkContext.broadcast(_models(chunks.collect(), codes, sizes, byte_sizes))
 
-    scored = written(rows.mapInArrow(_score(codes, model), _SCORED_DDL), "lm-scored")
+    scored = written(rows.mapInArrow(_score(shared, model), _SCORED_DDL), "lm-scored")
     rare = scored.where("h is not null").select("key", "h", "tf").join(counts.select("h", "c").hint("merge"), "h", "left")
     rare = rare.select("key", (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("known_more"), F.lit(0.0).alias("gain"))
 

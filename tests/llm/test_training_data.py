@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import time
@@ -366,7 +367,7 @@ def test_every_token_and_context_teaches_the_model():
     assert len(lmscore.byte_bits(codes, data, np.array([0]), np.array([10])).slots) == 6
     text = pa.array([prose(k, 40_000) for k in range(3)])
     codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2, 1]), lmscore.huffman([1] * 256))
-    run, *_ = lmscore._train(codes)
+    run, *_ = lmscore._train(type("B", (), {"value": codes}), codes.end)
     lmscore.TaskContext, held = type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda s: 0})())}), lmscore.TaskContext
     try:
         got = {r["part"]: r["body"] for b in run(iter([pa.RecordBatch.from_arrays([text], names=["t"])])) for r in b.to_pylist() if r["part"] >= 100}
@@ -410,6 +411,9 @@ def test_other_texts_teach_long_contexts(spark):
 
 def test_huffman_paths_are_a_code():
     start, length, node, bit, _, _ = lmscore.huffman([5, 1, 1, 8, 3, 1])
+    codes = lmscore.Codes(np.arange(4, dtype=np.uint64), np.ones(6, np.int64), 4, lmscore.huffman([5, 1, 1, 8, 3, 1]), lmscore.huffman([1] * 256))
+    sent = pickle.loads(pickle.dumps(codes))
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for x, y in ((codes.word, sent.word), (codes.byte, sent.byte)) for a, b in zip(x, y, strict=True))
     words = ["".join(str(b) for b in bit[s : s + n]) for s, n in zip(start, length, strict=True)]
     assert sum(2.0 ** -len(w) for w in words) == 1.0 and len(set(words)) == 6
     assert sum(a * b for a, b in zip(length, [5, 1, 1, 8, 3, 1], strict=True)) == 41
