@@ -75,7 +75,7 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, ...]:
         length.append(len(path))
         nodes += [x for x, _ in reversed(path)]
         bits += [x for _, x in reversed(path)]
-    return _steps(np.array(start), np.array(length), np.array(nodes), np.array(bits, np.int8))
+    return _steps(np.array(start), np.array(length), np.array(nodes, np.int32), np.array(bits, np.int8))
 
 
 @dataclass
@@ -99,7 +99,7 @@ class Codes:
 
 
 def _codes_of(head: np.ndarray, count: np.ndarray, end: int, *bare: tuple) -> Codes:
-    return Codes(head, count, end, *(_steps(s.astype(np.int64), n.astype(np.int64), node.astype(np.int64), np.unpackbits(bit)[: len(node)].astype(np.int8)) for s, n, node, bit in bare))
+    return Codes(head, count, end, *(_steps(s.astype(np.int64), n.astype(np.int64), node, np.unpackbits(bit)[: len(node)].astype(np.int8)) for s, n, node, bit in bare))
 
 
 def _steps(start: np.ndarray, length: np.ndarray, node: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -430,17 +430,13 @@ def _train(shared, end: int):
         def spell():
             """Counts the escaped words at hand, each once."""
             h, data, start, end = rare.words()
-            known, held = of_bytes.n[0].any(), []
+            known = of_bytes.n[0].any()
             for a, z in _parts(h, start, end):
                 b = byte_bits(codes, data, start[a:z], end[a:z])
                 if known:
                     of_bytes.seen += of_bytes.mixer.learn(b)
-                held.append(b)
-                if z == len(h) or len(held) == 8:
-                    bit = np.concatenate([x.bit for x in held])
-                    for k in range(len(b.slots)):
-                        of_bytes.count(k, np.concatenate([x.slots[k] for x in held]), bit)
-                    held = []
+                for k, slot in enumerate(b.slots):
+                    of_bytes.count(k, slot, b.bit)
             of_bytes.refresh()
 
         known = False
