@@ -47,7 +47,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # Large star: larger neighbours of u go to u's smallest neighbour.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the exchange of the edges is the join's own and a node with very many of them can be split.
+        least, lowest = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large, middle = kept(large.where("u <> v").distinct(), "large")
         # Small star: u and its smaller neighbours go to the smallest of them.
@@ -55,7 +56,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e, after = kept(small.where("u <> v").distinct(), "small")
-        superseded(spark, path, middle)
+        superseded(spark, path, middle, lowest)
         path = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
