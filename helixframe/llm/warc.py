@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,19 +69,21 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 100, date: str |
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: header fields in lower case, and the block."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        yield head, data[start:stop]
-        at = stop + 4
+def records(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an open archive, one in memory at a time: header fields in lower case, and the block."""
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {first[:40]!r} stands")
+        head = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("an archive ends in a header")
+            key, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            head[key.lower()] = value
+        block = archive.read(n := int(head["content-length"]))
+        if len(block) < n or archive.read(4) != b"\r\n\r\n":
+            raise ValueError("an archive ends in a record")
+        yield head, block
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +91,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             out = []
-            for head, block in records(gzip.decompress(data.as_py())):
+            for head, block in records(gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))):
                 digest, n = head["warc-payload-digest"].removeprefix("sha256:"), None
                 if head["warc-type"] == "response":
                     payload = block.partition(b"\r\n\r\n")[2]
