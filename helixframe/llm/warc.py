@@ -91,7 +91,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             out = []
-            for head, block in records(gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))):
+            for head, block in records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data.as_py())), 1 << 18)):
                 digest, n = head["warc-payload-digest"].removeprefix("sha256:"), None
                 if head["warc-type"] == "response":
                     payload = block.partition(b"\r\n\r\n")[2]
