@@ -150,7 +150,8 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
     both = left.unionByName(right).where("x is not null")
     out = both.groupBy("qb", "vb").applyInArrow(meet, "id long, neighbour long, distance double")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    # The bare rank lets Spark cut a task's rows to the best before the shuffle.
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def plane(vectors: DataFrame, id_col: str, column: str, sample: int, seed: int | str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
+from helixframe.sources.scratch import workspace
 
 
 def label_counts(rows: DataFrame, groupings: list[list[str]]) -> DataFrame:
@@ -109,12 +110,35 @@ def usable_cells(cells: DataFrame, shard: str, order: str, label: str) -> DataFr
     return x.where("value is not null")
 
 
+def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in order, with the file ``_file`` they are written to and their place ``_at`` in it: one shuffle by range."""
+    path = workspace(rows.sparkSession, "ordered")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    meta = F.col("_metadata")
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select("*", F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("int").alias("_file"), meta["row_index"].alias("_at"))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds the number of each row in its group, from 0, in an order without ties; null is a group.
+
+    Rows are sorted by range and written, so a group with most of the rows is
+    many files; windows see one row a file and group.
+    """
+    x = _placed(rows, [group, *order])
+    runs = x.groupBy(F.col(group).alias("_group"), F.col("_file").alias("_of")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("_group", "_of", (before - F.col("_first")).alias("_add"))
+    x = x.join(runs, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_file") == F.col("_of")))
+    return x.withColumn(name, (F.col("_at") + F.col("_add")).cast("long")).drop("_file", "_at", "_group", "_of", "_add")
+
+
 def ordinals(rows: DataFrame, shard: str, order: str) -> DataFrame:
-    """Dense global row numbers: the offset of the shard (a window over one row a shard) plus the row's number in it."""
-    sizes = rows.groupBy(shard).agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1
-    return rows.withColumn("_i", local).join(offsets, shard).withColumn("ordinal", (F.col("_at") + F.col("_i")).cast("long")).drop("_at", "_i")
+    """Adds ``ordinal``: dense row numbers over all shards, by shard and then ``order``; rows without a shard are left out. Written as in :func:`numbered`."""
+    x = _placed(rows.where(F.col(shard).isNotNull()), [shard, order])
+    files = x.groupBy(F.col("_file").alias("_of")).agg(F.count("*").alias("_n"))
+    # One row a file.
+    files = files.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_add"))
+    return x.join(files, F.col("_file") == F.col("_of")).withColumn("ordinal", (F.col("_at") + F.col("_add")).cast("long")).drop("_file", "_at", "_of", "_add")
 
 
 def common_keys(tables: list[DataFrame], key: str) -> DataFrame:

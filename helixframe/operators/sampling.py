@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
+from helixframe.operators.profile import numbered
 
 
 def bottom_k(rows: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
@@ -16,24 +17,25 @@ def bottom_k(rows: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
 def bottom_k_per(rows: DataFrame, group: str, key: str, k: int, seed: int | str) -> DataFrame:
     """As ``bottom_k``, of each group; ``draw`` numbers the draws from 0."""
     w = Window.partitionBy(group).orderBy("_u", key)
-    x = rows.withColumn("_u", X.uniform(key, F.lit(str(seed)))).withColumn("draw", (F.row_number().over(w) - 1).cast("long"))
-    return x.where(F.col("draw") < k).drop("_u")
+    # The bare rank lets Spark keep the first rows of a group before the shuffle.
+    x = rows.withColumn("_u", X.uniform(key, F.lit(str(seed)))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+    return x.withColumn("draw", (F.col("_k") - 1).cast("long")).drop("_u", "_k")
 
 
 def batches(rows: DataFrame, group: str, key: str, size: int, n: int, seed: int | str) -> DataFrame:
     """``n`` batches of ``size`` rows of each group, ``(batch, group, draw, key)``: without replacement if the group has that many, else with.
 
-    Rows are numbered once a group. A batch is a keyed rotation of a keyed order
-    for large groups, and independent draws for small ones.
+    Rows are numbered once a group, with no window over it. A batch is a keyed
+    rotation of a keyed order for large groups, and independent draws for small
+    ones.
     """
-    w = Window.partitionBy(group)
-    numbered = rows.select(group, key, X.uniform(key, F.lit(str(seed))).alias("_u")).withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy("_u", key)) - 1)
-    sizes = numbered.where("_i = 0").select(group, "_n")
+    line = numbered(rows.select(group, key, X.uniform(key, F.lit(str(seed))).alias("_u")), group, ["_u", key], "_i")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     start = F.floor(X.uniform(group, "batch", F.lit(f"{seed}:start")) * F.col("_n"))
     own = F.floor(X.uniform(group, "batch", "draw", F.lit(f"{seed}:own")) * F.col("_n"))
-    draws = draws.withColumn("_i", F.when(F.col("_n") >= size, F.pmod(start + F.col("draw"), F.col("_n"))).otherwise(own).cast("int")).drop("_n")
-    return draws.join(numbered.select(group, "_i", key), [group, "_i"]).select(F.col("batch").cast("long").alias("batch"), group, F.col("draw").cast("long").alias("draw"), key)
+    draws = draws.withColumn("_i", F.when(F.col("_n") >= size, F.pmod(start + F.col("draw"), F.col("_n"))).otherwise(own).cast("long")).drop("_n")
+    return draws.join(line.select(group, "_i", key), [group, "_i"]).select(F.col("batch").cast("long").alias("batch"), group, F.col("draw").cast("long").alias("draw"), key)
 
 
 def choose(n_batches: int, options: DataFrame, order: list[str | Column], seed: int | str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.profile import numbered
 from helixframe.operators.sampling import weighted
 
 #: The special tokens of a sentence.
@@ -78,5 +79,5 @@ def embed(rows: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], dim: int
 
 def length_buckets(rows: DataFrame, column: str = "sentence", batch: int = 100) -> DataFrame:
     """Adds ``length`` and ``bucket``: batches of up to ``batch`` rows of one length, in cell order. An empty sentence has length 0."""
-    w = Window.partitionBy("length").orderBy("cell")
-    return rows.withColumn("length", F.size(column).cast("long")).withColumn("bucket", F.floor((F.row_number().over(w) - 1) / batch).cast("long"))
+    x = numbered(rows.withColumn("length", F.size(column).cast("long")), "length", ["cell"], "_nth")
+    return x.withColumn("bucket", F.floor(F.col("_nth") / batch).cast("long")).drop("_nth")

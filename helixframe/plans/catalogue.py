@@ -838,7 +838,7 @@ def q_usable_cells(spark, d):
 SELECT a.source, a.i::BIGINT AS i, a.doc_id, b.n_chars::BIGINT AS state FROM n a JOIN n b ON a.source = b.source AND a.i = b.i"""
 )
 def q_aligned_state(spark, d):
-    x = table(spark, d, "documents").withColumn("i", long(F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1))
+    x = profile.numbered(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", ["doc_id"], "i")
     return intervals.aligned(x.select("source", "i", "doc_id"), x.select("source", "i", long("n_chars").alias("state")), "source", "i")
 
 

@@ -148,6 +148,18 @@ def test_range_join_equals_all_pairs(spark, a, b, window):
     assert got == sorted((i, j) for i, (k, v) in enumerate(a) for j, (l, w) in enumerate(b) if k == l and abs(v - w) <= window)
 
 
+def test_numbers_without_a_window_over_a_group(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 8, F.col("id").cast("string")).alias("g"), (F.col("id") * 7919 % 3000).alias("o")).repartition(9)
+    held: dict = {}
+    for r in hot.collect():
+        held.setdefault(r["g"], []).append(r["o"])
+    want = {(g, o): i for g, x in held.items() for i, o in enumerate(sorted(x))}
+    assert {(r["g"], r["o"]): r["i"] for r in profile.numbered(hot, "g", ["o"], "i").collect()} == want and len(held["hot"]) == 2100 and None in held
+    every = sorted((r["g"], r["o"], r["ordinal"]) for r in profile.ordinals(hot, "g", "o").collect())
+    assert [x[2] for x in every] == list(range(len(every))) and len(every) == 2400
+    assert profile.numbered(hot.limit(0), "g", ["o"], "i").count() == profile.ordinals(hot.limit(0), "g", "o").count() == 0
+
+
 def test_draws(spark):
     rows = spark.range(10).select(F.lit("a").alias("g"), "id").unionByName(spark.range(2).select(F.lit("b").alias("g"), "id"))
     got = sampling.batches(rows, "g", "id", 4, 3, 0).collect()
