@@ -167,6 +167,9 @@ def test_draws(spark):
         ids = [r["id"] for r in got if r["batch"] == b and r["g"] == "a"]
         assert len(ids) == 4 == len(set(ids)) and sum(r["batch"] == b and r["g"] == "b" for r in got) == 4
     assert sampling.bottom_k(rows, "id", 5, 1).count() == 5
+    per = sampling.bottom_k_per(rows, "g", "id", 3, 1)
+    assert "WindowGroupLimit" in per._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["g"], r["draw"]) for r in per.collect()) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
     assert sampling.choose(6, spark.range(3).withColumnRenamed("id", "o"), ["o"], 1).count() == 6
     w = spark.createDataFrame([("x", "rare", 1.0), ("x", "often", 99.0)], "g string, item string, w double")
     picks = [r["item"] for r in sampling.weighted(w, "g", "item", "w", 400, 3).collect()]
