@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.sources import writers
+
+
+def batches(spark: SparkSession, make: Callable[[], DataFrame], path: str, n: int) -> DataFrame:
+    """The ``n`` evaluation batches under ``path``, drawn by ``make`` (rows with a ``batch``) and written if nothing is there yet.
+
+    A later run, or another model, is scored on the very same rows. Another
+    number of batches than ``n`` is an error.
+    """
+    if not writers.exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    got = spark.read.parquet(path)
+    if (found := got.select("batch").distinct().count()) != n:
+        raise ValueError(f"{path} holds {found} batches, not {n}")
+    return got
+
 
 def errors(rows: DataFrame, predicted: str, target: str) -> DataFrame:
     """One row an element: ``(batch, g, err)``."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.profile import numbered
 from helixframe.operators.sampling import weighted
+from helixframe.sources.readers import fetch
+from helixframe.sources.writers import materialise
 
 #: The special tokens of a sentence.
 CLS, CLOSE, CHROM_OFFSET = 3, 2, 143_574
@@ -81,3 +84,30 @@ def length_buckets(rows: DataFrame, column: str = "sentence", batch: int = 100)
     """Adds ``length`` and ``bucket``: batches of up to ``batch`` rows of one length, in cell order. An empty sentence has length 0."""
     x = numbered(rows.withColumn("length", F.size(column).cast("long")), "length", ["cell"], "_nth")
     return x.withColumn("bucket", F.floor(F.col("_nth") / batch).cast("long")).drop("_nth")
+
+
+def embed_regions(regions: DataFrame, sequences: DataFrame, length: int, encoder: Callable[[list[str]], np.ndarray], dim: int, path: str, *, signature: object, parts: int = 16, pool: int = 1) -> DataFrame:
+    """``(region_id, vector)`` of the sequence around each distinct ``region_id`` of ``regions(region_id, chrom, midpoint)``.
+
+    Of rows with one id the one with the smallest place counts. ``encoder``
+    takes sequences of ``length`` and gives ``pool`` rows of ``dim`` each,
+    whose mean is the vector. The ids are dealt to ``parts`` tables under
+    ``path`` that are written whole, one after another: a run that was cut off
+    goes on with the first one missing. Another ``signature`` begins anew.
+    Regions of unknown chromosomes have no row.
+    """
+    one = regions.where("region_id is not null").groupBy("region_id").agg(F.min(F.struct("chrom", "midpoint")).alias("p")).select("region_id", "p.*")
+    kind = regions.schema["region_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = np.asarray(encoder(b.column(1).to_pylist()), float).reshape(len(b), pool, dim).mean(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["region_id", "vector"])
+
+    done = []
+    for k in range(parts):
+        mine = one.where(F.pmod(F.xxhash64("region_id"), F.lit(parts)) == k)
+        made = fetch(sequences, mine, length).mapInArrow(run, f"region_id {kind}, vector array<double>")
+        done.append(materialise(made, path, [signature, length, dim, pool, parts, k]))
+    return reduce(DataFrame.unionByName, done)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -281,10 +282,34 @@ def q_svd(spark, d):
     return spark.createDataFrame(rows, "pc long, singular double, share double, loading array<double>")
 
 
-@query(None)
+def _waves(rows: int, columns: int, shift: int) -> np.ndarray:
+    i, j = np.indices((rows, columns))
+    return np.cos(shift + 3 * i + 7 * j) / np.sqrt(rows)
+
+
+@query(
+    """WITH e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE embedding IS NOT NULL),
+h AS (SELECT vec_id, j, sum(v * cos(1 + 3 * i + 7 * j) / 8) AS z FROM e, range(32) t(j) GROUP BY vec_id, j),
+p AS (SELECT vec_id, j, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM h),
+g AS (SELECT vec_id, j, z * (1 + sign(z) * (1 - exp(-z * z / 2) * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))) / 2 AS a FROM p)
+SELECT vec_id, k AS gene, round(sum(a * cos(2 + 3 * j + 7 * k) / sqrt(32)), 6) AS velocity FROM g, range(64) t(k) GROUP BY vec_id, k"""
+)
 def q_mlp_field(spark, d):
-    model = fields.MLP.seeded([64, 32, 64], 3)
-    return table(spark, d, "embeddings").select("vec_id", fields.apply(model, F.col("embedding").cast("array<double>")).alias("velocity"))
+    model = fields.MLP([(_waves(64, 32, 1), np.zeros(32)), (_waves(32, 64, 2), np.zeros(64))])
+    x = table(spark, d, "embeddings").select("vec_id", F.posexplode(fields.apply(model, F.col("embedding").cast("array<double>"))).alias("gene", "velocity"))
+    return x.select("vec_id", long("gene").alias("gene"), F.round("velocity", 6).alias("velocity"))
+
+
+@query(
+    """SELECT g AS gene, round(regr_slope(embedding[g + 2]::DOUBLE, embedding[1]::DOUBLE), 6) AS weight, round(regr_intercept(embedding[g + 2]::DOUBLE, embedding[1]::DOUBLE), 6) AS bias
+FROM embeddings, range(63) t(g) WHERE embedding IS NOT NULL GROUP BY g"""
+)
+def q_ridge_field(spark, d):
+    """A field fitted over all rows: here, each component by the first one."""
+    x = table(spark, d, "embeddings").select(F.slice("embedding", 1, 1).alias("x"), F.slice("embedding", 2, 63).alias("y"))
+    model = fields.ridge(x, "x", "y", 0.0)
+    rows = [(g, float(w), float(b)) for g, (w, b) in enumerate(zip(model.weight[0], model.bias, strict=True))]
+    return spark.createDataFrame(rows, "gene long, weight double, bias double").withColumns({"weight": F.round("weight", 6), "bias": F.round("bias", 6)})
 
 
 # --- time --------------------------------------------------------------------------------------

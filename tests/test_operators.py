@@ -101,12 +101,93 @@ def test_zero_field_scores(spark):
     assert all(r["loss"] == 4.0 and r["velocity_mae"] == 2.0 and r["displacement_mae"] == 1.0 for r in got)
 
 
+def tokens_of(r, genes):
+    return r.standard_normal((genes, 3, 8)), np.array([[0.0, 1000.0, -2000.0]] * genes), np.eye(3)[[0] * genes], np.ones((genes, 3))
+
+
 @pytest.mark.parametrize("kind", ["film", "cross_attention"])
-def test_conditioned_chunks_equal_whole(kind):
+@pytest.mark.parametrize("position", ["none", "learned", "rope"])
+def test_conditioned_chunks_equal_whole(kind, position):
     r = np.random.default_rng(1)
-    m = fields.Conditioned(8, 4, 3, kind)
-    args = (r.standard_normal((2, 7)), r.standard_normal((7, 3, 4)), r.standard_normal((7, 3)) * 1000, np.eye(3)[[0] * 7], np.ones((7, 3)))
-    assert m(*args, chunk=3) == pytest.approx(m(*args, chunk=99), abs=1e-9) and m(*args).shape == (2, 7) and len(m.layers) == 3
+    m = fields.Conditioned(8, 8, width=16, layers=3, kind=kind, position=position, slots=2)
+    state, args = r.standard_normal((2, 8)), tokens_of(r, 7)
+    out = m(state, *args)
+    assert out.shape == (2, 7) and m(state, *args, chunk=3) == pytest.approx(out, abs=1e-9)
+    assert len([n for n in m.weights if n.endswith(".context")]) == 3
+    again = fields.Conditioned(8, 8, width=16, layers=3, kind=kind, position=position, slots=2, weights=m.weights)
+    assert np.array_equal(again(state, *args), out) and m(state, *(a[:0] for a in args)).shape == (2, 0)
+    with pytest.raises(ValueError):
+        fields.Conditioned(9, 8, width=16, layers=3, kind=kind, position=position, slots=2, weights=m.weights)
+
+
+@pytest.mark.parametrize("kind", ["film", "cross_attention"])
+def test_conditioned_layers_see_the_cell_and_not_the_padding(kind):
+    r = np.random.default_rng(2)
+    m = fields.Conditioned(5, 8, width=16, layers=2, kind=kind, slots=2)
+    state, (vectors, distance, promoter, mask) = r.standard_normal((2, 5)), tokens_of(r, 4)
+    mask[:, 2] = 0
+    out = m(state, vectors, distance, promoter, mask)
+    assert not np.allclose(out[0], out[1])  # another cell, the same tokens
+    other = vectors.copy()
+    other[:, 2] += 9
+    assert m(state, other, distance, promoter, mask) == pytest.approx(out)
+    other[:, 1] += 9
+    assert not np.allclose(m(state, other, distance, promoter, mask), out)
+    assert np.isfinite(m(state, vectors, distance, promoter, mask * 0)).all()
+
+
+def test_rope_of_the_field_is_the_expression(spark):
+    m = fields.Conditioned(2, 3, width=5, heads=1, layers=1, position="rope")
+    plain = fields.Conditioned(2, 3, width=5, heads=1, layers=1, position="none", weights=m.weights)
+    args = (np.ones((1, 1, 3)), np.array([[1234.0]]), np.ones((1, 1)), np.ones((1, 1)))
+    x = [float(v) for v in plain.embed(*args)[0, 0]]
+    assert one(spark, X.rope(F.col("x"), F.lit(1234.0)), x=x) == pytest.approx(list(m.embed(*args)[0, 0]))
+
+
+def test_ridge_over_tasks_equals_one_solution(spark):
+    r = np.random.default_rng(3)
+    x, y = r.standard_normal((300, 4)), r.standard_normal((300, 2))
+    rows = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)] + [(None, [1.0, 2.0]), ([1.0, None, 1.0, 1.0], [1.0, 2.0])], "x array<double>, y array<double>")
+    got, want = fields.ridge(rows.repartition(7), "x", "y", 0.1), fields.Linear.ridge(x, y, 0.1)
+    assert got.weight == pytest.approx(want.weight) and got.bias == pytest.approx(want.bias)
+    first = fields.ridge(rows.withColumn("y", F.slice("y", 1, 1)), "x", "y", 0.1)
+    assert first.weight == pytest.approx(want.weight[:, :1])  # targets by chunks give what all at once give
+    with pytest.raises(ValueError):
+        fields.ridge(rows.limit(0), "x", "y")
+
+
+def test_gelu():
+    import math
+
+    x = np.linspace(-6, 6, 101)
+    assert fields.gelu(x) == pytest.approx([v * (1 + math.erf(v / math.sqrt(2))) / 2 for v in x], abs=1e-6)
+
+
+def test_evaluation_batches_are_drawn_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(0, [1.0]), (1, [2.0])], "batch int, x array<double>")
+
+    for _ in range(2):
+        assert evaluate.batches(spark, make, str(tmp_path / "b"), 2).count() == 2
+    assert len(made) == 1
+    with pytest.raises(ValueError):
+        evaluate.batches(spark, make, str(tmp_path / "b"), 3)
+
+
+def test_regions_are_embedded_once_and_resume(spark, tmp_path):
+    seq = spark.createDataFrame([("chr1", 0, "ACGTACGTAC"), ("chr2", 0, "TTTTTTTTTT")], "chrom string, start long, seq string")
+    regions = spark.createDataFrame([("a", "chr1", 4), ("a", "chr1", 4), ("b", "chr2", 5), ("c", "chr9", 5), (None, "chr1", 1)], "region_id string, chrom string, midpoint long")
+    count = lambda xs: np.array([[[float(x.count("T"))], [float(x.count("A"))]] for x in xs])
+
+    def fails(_):
+        raise RuntimeError("the encoder must not run again")
+
+    for encoder in (count, fails):
+        got = tokens.embed_regions(regions, seq, 4, encoder, 1, str(tmp_path / "e"), signature="v1", parts=2, pool=2)
+        assert sorted((r["region_id"], r["vector"]) for r in got.collect()) == [("a", [1.0]), ("b", [2.0])]
 
 
 def test_fields_apply_and_fit(spark):
