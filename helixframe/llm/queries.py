@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, warc
+from helixframe.llm import audit, decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, warc
 from helixframe.llm.common import workspace
 
 
@@ -68,6 +68,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(mixing.written(rows, "mix-sizes"), size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return audit.orders(rows, list("ABCDE"), ["good", "toxic"])
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -104,4 +110,5 @@ SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id
 FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
 """,
     "op10_mixing": mixing.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
 }
