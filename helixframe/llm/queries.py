@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import audit, decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, warc
+from helixframe.llm import audit, decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, search, warc
 from helixframe.llm.common import workspace
 
 
@@ -73,6 +73,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.orders(rows, list("ABCDE"), ["good", "toxic"])
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = search.terms_of(table(spark, sf_dir, "benchmark"))
+    found = search.search(search.postings(table(spark, sf_dir, "documents"), wanted), wanted)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -85,6 +91,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_search": op12_search,
 }
 
 ORACLE_SQL = {
@@ -111,4 +118,5 @@ FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
 """,
     "op10_mixing": mixing.ORACLE,
     "op11_filter_audit": audit.ORACLE,
+    "op12_search": search.ORACLE,
 }
