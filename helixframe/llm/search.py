@@ -18,12 +18,19 @@ from helixframe.sources.scratch import workspace
 BUCKETS = 32
 #: Parts of a bucket by document, so that a bucket with a very frequent term is several tasks and files.
 PARTS = 16
+#: Terms of items that go to every task at once; more items are searched in groups of that many.
+TERMS = 200_000
 #: Postings that a task hands over at once.
 ROWS = 100_000
 # Fixed value: what is no separator of terms, by bytes of UTF-8.
 TERM = rb"[0-9A-Za-z\x80-\xff]+"
 
 
+def _small(terms: DataFrame, n: int) -> DataFrame:
+    """``terms`` of ``n`` rows for every task, or to be met by merging if they are more than a bound."""
+    return F.broadcast(terms) if n <= 2 * TERMS else terms.hint("merge")
+
+
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -86,7 +93,8 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, doc: str = "doc_
     x = counted(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(text).alias("text")))
     if only is not None:
         # Lines without a term stay.
-        kept = only.select("term").distinct().withColumn("_kept", F.lit(True))
+        kept = written(only.select("term").distinct().withColumn("_kept", F.lit(True)), "search-terms")
+        kept = _small(kept, kept.count())
         x = x.join(kept, "term", "left").where("term is null or _kept").select(*x.columns)
     x = x.select(F.when(F.col("term").isNull(), -1).otherwise(bucket(F.col("term"))).alias("bucket"), "term", "row", "doc", "n", "tf")
     path = workspace(docs.sparkSession, "postings")
@@ -105,8 +113,8 @@ def search(index: DataFrame, wanted: DataFrame, k: int = 50) -> DataFrame:
 
     Each document's postings are brought together, once a posting, and meet the
     items' terms there: matches are summed where they arise, and a task sends
-    its best ``k`` of each item. Spark broadcasts the items' terms if their
-    written size allows it, else both sides are dealt by term.
+    its best ``k`` of each item. The terms of :data:`TERMS` are broadcast; items
+    with more of them go in groups, each of which reads the postings again.
     """
     size = index.where("bucket = -1").agg(F.count("*").alias("docs"), F.sum("n").alias("words")).first()
     docs, words = size["docs"], size["words"] or 1
@@ -116,10 +124,17 @@ def search(index: DataFrame, wanted: DataFrame, k: int = 50) -> DataFrame:
     m = F.expr(f"50L + (50L * n * {docs}L) div {words}L")
     own = index.where("bucket >= 0").select("bucket", "term", "row", "doc", "tf", m.alias("m")).repartition("row")
     one = F.col("w") * F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)")
-    summed = own.join(weighed, ["bucket", "term"]).groupBy("item", "row", "doc").agg(F.sum(one).alias("score")).where("score > 0")
+    groups = max(1, -(-weighed.count() // TERMS))
+    part = F.pmod(F.xxhash64("item"), F.lit(groups))
+    sizes = {r["g"]: r["n"] for r in weighed.groupBy(part.alias("g")).agg(F.count("*").alias("n")).collect()} if groups > 1 else {0: 0}  # a row a group
     # The bare rank lets Spark cut a task's rows to the best before the shuffle.
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc").asc_nulls_last(), "row")
-    return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item", F.col("rank").cast("int").alias("rank"), "doc", "score")
+    found = None
+    for g, n in sorted(sizes.items()):
+        summed = own.join(_small(weighed.where(part == g), n), ["bucket", "term"]).groupBy("item", "row", "doc").agg(F.sum(one).alias("score")).where("score > 0")
+        top = summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item", F.col("rank").cast("int").alias("rank"), "doc", "score")
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 ORACLE = r"""
