@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import audit, decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, search, warc
+from helixframe.llm import audit, decontam, hosttext, itq, langid, license, lmscore, minhash, mixing, quality, search, secrets, warc
 from helixframe.llm.common import workspace
 
 
@@ -79,6 +79,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_warc": op2_warc,
@@ -92,6 +96,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_filter_audit": op11_filter_audit,
     "op12_search": op12_search,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLE_SQL = {
@@ -119,4 +124,5 @@ FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
     "op10_mixing": mixing.ORACLE,
     "op11_filter_audit": audit.ORACLE,
     "op12_search": search.ORACLE,
+    "op13_secrets": secrets.ORACLE,
 }
