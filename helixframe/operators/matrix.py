@@ -116,44 +116,6 @@ def svd(vectors: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray
     return vector, np.sqrt(value), scores / spread
 
 
-def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    """``(id, neighbour, distance, rank)``: the ``k`` nearest others of each query by squared distance of unit vectors, ties by id.
-
-    Exact: blocks of queries meet blocks of vectors, and a task sends the best
-    ``k`` of its block for each query, not its pairs. Null vectors meet nothing.
-    """
-    queries = vectors if queries is None else queries
-    q = queries.select(F.col(id_col).alias("id"), X.unit(F.col(column)).cast("array<double>").alias("x"))
-    base = vectors.select(F.col(id_col).alias("id"), X.unit(F.col(column)).cast("array<double>").alias("x"))
-    # Both sides fall in blocks of some thousands; a task holds one block of queries against one of vectors.
-    many = lambda n, size: max(1, -(-n // size))
-    qb, vb = many(q.count(), 4096), many(base.count(), 8192)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int")).withColumn("vb", every(vb)).withColumn("query", F.lit(True))
-    right = base.withColumn("vb", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(vb)).cast("int")).withColumn("qb", every(qb)).withColumn("query", F.lit(False))
-
-    def meet(t: pa.Table) -> pa.Table:
-        ids, asks = t.column("id").to_numpy(), t.column("query").to_numpy(zero_copy_only=False)
-        x = t.column("x").combine_chunks()
-        x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        who, own = ids[asks], ids[~asks]
-        p = j = np.zeros(0, np.int64)
-        d = np.zeros((0, 0))
-        if len(who) and len(own):
-            d = np.maximum(2 - 2 * (x[asks] @ x[~asks].T), 0)
-            d[who[:, None] == own[None, :]] = np.inf
-            m = min(k, d.shape[1])
-            edge = np.partition(d, m - 1, axis=1)[:, m - 1]
-            p, j = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
-        return pa.table({"id": pa.array(who[p]), "neighbour": pa.array(own[j]), "distance": pa.array(d[p, j], pa.float64())})
-
-    both = left.unionByName(right).where("x is not null")
-    out = both.groupBy("qb", "vb").applyInArrow(meet, "id long, neighbour long, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    # The bare rank lets Spark cut a task's rows to the best before the shuffle.
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
-
-
 def plane(vectors: DataFrame, id_col: str, column: str, sample: int, seed: int | str) -> DataFrame:
     """``(id, x, y)``: a plane fitted to a keyed sample (a bound), all rows placed in it. A linear stand-in where a manifold embedding is wanted."""
     from helixframe.operators.sampling import bottom_k

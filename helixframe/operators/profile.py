@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
+from helixframe.operators.quantiles import quantile
 from helixframe.sources.scratch import workspace
 
 
@@ -51,9 +52,13 @@ def top_or_other(rows: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def centroids(rows: DataFrame, group: str, x: str, y: str, *, least: int = 1, skip: list[str] | None = None) -> DataFrame:
-    """Medians of groups with ``least`` rows or more, without the labels to skip."""
-    kept = rows.where(~F.col(group).isin(skip)) if skip else rows
-    return kept.groupBy(group).agg(F.count("*").alias("n"), F.median(x).alias("x"), F.median(y).alias("y")).where(F.col("n") >= least)
+    """Exact medians of groups with ``least`` rows or more, without the labels to skip; null is a group. No task holds a group."""
+    kept = rows.where(~F.coalesce(F.col(group).isin(skip), F.lit(False))) if skip else rows
+    out = kept.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    for name, column in (("x", x), ("y", y)):
+        half = quantile(kept, group, column).select(F.col(group).alias("_of"), F.col("value").alias(f"_{name}"))
+        out = out.join(half, F.col("_group").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return out.select(F.col("_group").alias(group), "n", F.col("_x").alias("x"), F.col("_y").alias("y"))
 
 
 def histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
@@ -111,11 +116,17 @@ def usable_cells(cells: DataFrame, shard: str, order: str, label: str) -> DataFr
 
 
 def _placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The rows in order, with the file ``_file`` they are written to and their place ``_at`` in it: one shuffle by range."""
+    """The rows in order, with the task ``_file`` that wrote them and their place ``_at`` among its rows: one shuffle by range.
+
+    Both are columns of what is written, so they hold however many files a task
+    makes of its rows.
+    """
     path = workspace(rows.sparkSession, "ordered")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-    meta = F.col("_metadata")
-    return rows.sparkSession.read.schema(rows.schema).parquet(path).select("*", F.regexp_extract(meta["file_name"], r"part-(\d+)", 1).cast("int").alias("_file"), meta["row_index"].alias("_at"))
+    # The id of a sorted partition's row is the partition's number above 33 bits and the row's place below.
+    x = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    x = x.withColumn("_file", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    x.write.parquet(path)
+    return rows.sparkSession.read.schema(x.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:

@@ -22,19 +22,48 @@ def bottom_k_per(rows: DataFrame, group: str, key: str, k: int, seed: int | str)
     return x.withColumn("draw", (F.col("_k") - 1).cast("long")).drop("_u", "_k")
 
 
+#: Rounds of the bijection, and the most walks of a place beyond the range.
+ROUNDS, WALKS = 6, 16
+
+
+def permuted(i: Column, n: Column, key: Column) -> Column:
+    """Where a keyed bijection of ``[0, n)`` sends ``i``: a different order of the whole range for each key, and nothing is sorted.
+
+    Numbers are pairs (left, right) of a table of ``a`` times ``b`` places,
+    ``a`` the rounded up root of ``n``; rounds add a keyed hash of one to the
+    other by turns. A place beyond ``n`` walks on; fewer than ``a`` lie there,
+    so :data:`WALKS` are enough for all ``n`` up to 225, and for larger ones with
+    a chance of ``n ** (-WALKS / 2)`` to miss, which is an error.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n.cast("double") / a).cast("long")
+    noise = lambda k, x: F.conv(F.substring(F.md5(F.concat_ws(":", key, (k % ROUNDS).cast("string"), x.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    start = F.struct(F.floor(i / b).cast("long").alias("l"), F.pmod(i, b).cast("long").alias("r"), F.lit(False).alias("in"))
+
+    def turn(at: Column, k: Column) -> Column:
+        left = F.when(k % 2 == 0, F.pmod(at["l"] + noise(k, at["r"]), a)).otherwise(at["l"])
+        right = F.when(k % 2 == 1, F.pmod(at["r"] + noise(k, at["l"]), b)).otherwise(at["r"])
+        last = k % ROUNDS == ROUNDS - 1
+        new = F.struct(left.alias("l"), right.alias("r"), (last & (left * b + right < n)).alias("in"))
+        return F.when(at["in"], at).otherwise(new)
+
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALKS - 1)), start, turn)
+    return F.when(end["in"], end["l"] * b + end["r"]).otherwise(F.raise_error(F.lit("the bijection left its range")).cast("long"))
+
+
 def batches(rows: DataFrame, group: str, key: str, size: int, n: int, seed: int | str) -> DataFrame:
     """``n`` batches of ``size`` rows of each group, ``(batch, group, draw, key)``: without replacement if the group has that many, else with.
 
-    Rows are numbered once a group, with no window over it. A batch is a keyed
-    rotation of a keyed order for large groups, and independent draws for small
-    ones.
+    Each batch of a large group is a draw of its own: the first places of a
+    keyed bijection of the group's row numbers. A small group gives independent
+    draws. Rows are numbered once, in the order of their key; keys are unique.
     """
-    line = numbered(rows.select(group, key, X.uniform(key, F.lit(str(seed))).alias("_u")), group, ["_u", key], "_i")
+    line = numbered(rows.select(group, key), group, [key], "_i")
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     draws = sizes.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    start = F.floor(X.uniform(group, "batch", F.lit(f"{seed}:start")) * F.col("_n"))
+    place = permuted(F.col("draw").cast("long"), F.col("_n"), F.concat_ws(":", F.col(group).cast("string"), F.col("batch").cast("string"), F.lit(str(seed))))
     own = F.floor(X.uniform(group, "batch", "draw", F.lit(f"{seed}:own")) * F.col("_n"))
-    draws = draws.withColumn("_i", F.when(F.col("_n") >= size, F.pmod(start + F.col("draw"), F.col("_n"))).otherwise(own).cast("long")).drop("_n")
+    draws = draws.withColumn("_i", F.when(F.col("_n") >= size, place).otherwise(own).cast("long")).drop("_n")
     return draws.join(line.select(group, "_i", key), [group, "_i"]).select(F.col("batch").cast("long").alias("batch"), group, F.col("draw").cast("long").alias("draw"), key)
 
 

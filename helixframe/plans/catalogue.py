@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
-from helixframe.operators import evaluate, fields, intervals, matrix, profile, sampling, timeaxis, tokens, transport
+from helixframe.operators import decompose, evaluate, fields, intervals, matrix, neighbours, profile, quantiles, sampling, timeaxis, tokens, training, transport
 from helixframe.sources import readers, writers
 from helixframe.sources.scratch import workspace
 from helixframe.streaming import passes
@@ -275,11 +275,21 @@ def q_project_loadings(spark, d):
     return matrix.project(x, g).select("cell", "pc", F.round("score", 5).alias("score"))
 
 
+@query(
+    f"""WITH {COO}, s AS (SELECT cell, j, sum(value * (1 - 2 * ((('0x' || substr(md5(gene || ':4'), j // 4 + 1, 1))::INT >> (j % 4)) & 1))) AS y FROM m, range(16) t(j) GROUP BY cell, j)
+SELECT j, round(sum(y * y) / 1e6, 6) AS energy, count(*) AS n FROM s GROUP BY j"""
+)
+def q_sketch_energy(spark, d):
+    """How much of a sparse matrix each random direction of its genes sees."""
+    x = decompose.sketch(_matrix(spark, d), 16, 4)
+    return x.groupBy(long("j").alias("j")).agg(F.round(F.sum(F.col("value") * F.col("value")) / 1e6, 6).alias("energy"), F.count("*").alias("n"))
+
+
 @query(None)
 def q_svd(spark, d):
-    v, s, share = matrix.svd(table(spark, d, "embeddings"), "embedding", 8)
-    rows = [(k, float(s[k]), float(share[k]), [float(x) for x in v[:, k]]) for k in range(len(s))]
-    return spark.createDataFrame(rows, "pc long, singular double, share double, loading array<double>")
+    """The leading components of the sparse matrix of all cells and genes."""
+    loadings, table_ = decompose.svd(matrix.normalised(_matrix(spark, d)), 8, cells=_cells(spark, d))
+    return loadings.join(F.broadcast(table_), "pc")
 
 
 def _waves(rows: int, columns: int, shift: int) -> np.ndarray:
@@ -312,6 +322,76 @@ def q_ridge_field(spark, d):
     return spark.createDataFrame(rows, "gene long, weight double, bias double").withColumns({"weight": F.round("weight", 6), "bias": F.round("bias", 6)})
 
 
+def _shift_rows(spark: SparkSession, d: str) -> DataFrame:
+    """States with the velocity that turns a vector by one component."""
+    x = F.col("embedding").cast("array<double>")
+    turned = F.concat(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, 1))
+    return table(spark, d, "embeddings").select("vec_id", x.alias("state"), F.zip_with(turned, x, lambda a, b: a - b).alias("target"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v, embedding[(i + 1) % 64 + 1]::DOUBLE - embedding[i + 1]::DOUBLE AS y FROM embeddings, range(64) t(i) WHERE embedding IS NOT NULL),
+h AS (SELECT vec_id, j, sum(v * cos(1 + 3 * i + 7 * j) / 8) AS z FROM e, range(32) t(j) GROUP BY vec_id, j),
+p AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t, exp(-z * z / 2) AS x FROM h),
+g AS (SELECT *, x * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) AS tail,
+             x * (0.254829592 + t * (-0.568993472 + t * (4.264241223 + t * (-5.812608108 + t * 5.307027145)))) * t * t * 0.3275911 / sqrt(2) AS falls FROM p),
+a AS (SELECT vec_id, j, z * (1 + sign(z) * (1 - tail)) / 2 AS a, (1 + sign(z) * (1 - tail)) / 2 + z * (abs(z) * tail + falls) / 2 AS slope FROM g),
+f AS (SELECT vec_id, k, sum(a * cos(2 + 3 * j + 7 * k) / sqrt(32)) AS f FROM a, range(64) u(k) GROUP BY vec_id, k),
+o AS (SELECT f.vec_id, k, 2 * (f - y) / (SELECT count(*) FROM e) AS d FROM f JOIN e ON e.vec_id = f.vec_id AND e.i = f.k),
+b AS (SELECT o.vec_id, j, sum(d * cos(2 + 3 * j + 7 * k) / sqrt(32)) AS d FROM o, range(32) t(j) GROUP BY o.vec_id, j),
+c AS (SELECT b.vec_id, b.j, b.d * slope AS d FROM b JOIN a ON a.vec_id = b.vec_id AND a.j = b.j)
+SELECT '0' AS name, (i * 32 + j)::BIGINT AS at, round(sum(v * d), 8) AS gradient FROM e JOIN c ON c.vec_id = e.vec_id GROUP BY i, j
+UNION ALL SELECT '0.bias', j::BIGINT, round(sum(d), 8) FROM c GROUP BY j
+UNION ALL SELECT '1', (j * 64 + k)::BIGINT, round(sum(a * d), 8) FROM a JOIN o ON o.vec_id = a.vec_id GROUP BY j, k
+UNION ALL SELECT '1.bias', k::BIGINT, round(sum(d), 8) FROM o GROUP BY k"""
+)
+def q_train_gradient(spark, d):
+    """The gradient of a field with a hidden layer over all vectors; the driver makes rows of the model's weights alone."""
+    model = fields.MLP([(_waves(64, 32, 1), np.zeros(32)), (_waves(32, 64, 2), np.zeros(64))])
+    _, grads = training.loss_and_gradient(model, _shift_rows(spark, d))
+    rows = [(n, k, float(v)) for n, x in grads.items() for k, v in enumerate(x.ravel())]
+    return spark.createDataFrame(rows, "name string, at long, gradient double").withColumn("gradient", F.round("gradient", 8))
+
+
+@query(None)
+def q_train_mlp(spark, d):
+    """Eight steps over minibatches that hold all vectors twice; the losses of the run, whose checkpoints another run would go on from."""
+    model, rows = fields.MLP.seeded([64, 32, 64], 0), _shift_rows(spark, d)
+    _, losses = training.train(spark, model, lambda k: rows.where(F.pmod("vec_id", F.lit(4)) == k % 4), 8, workspace(spark, "train"), {"query": "train_mlp"}, optimiser=training.AdamW(rate=0.02))
+    return spark.createDataFrame([(k, x) for k, x in enumerate(losses)], "step long, loss double")
+
+
+PANEL_TOKENS = 4
+
+
+def _panel_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each brand as a gene, brands in order: its first parts by key, the first as the promoter, with a vector each."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").cast("array<double>").alias("vector"))
+    p = table(spark, d, "part")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p = p.select("p_brand", "p_partkey", "p_size", F.row_number().over(w).alias("k")).where(F.col("k") <= PANEL_TOKENS)
+    p = p.withColumn("vec", F.col("p_partkey") % vectors.count()).join(vectors, "vec")
+    packed = p.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("k", "vector", (F.col("p_size") * 100 * (2 * (F.col("k") % 2) - 1)).cast("double").alias("distance")))).alias("t"))
+    brands = tokens.category_codes(packed, "p_brand")
+    gone = F.lit(PANEL_TOKENS) - F.size("t")
+    filled = lambda name, zero: F.concat(F.transform("t", lambda x: x[name]), F.array_repeat(zero, gone))
+    flag = lambda f: F.concat(F.transform("t", f), F.array_repeat(F.lit(0.0), gone))
+    return packed.join(brands, "p_brand").select(
+        F.col("code").alias("gene"), filled("vector", F.array_repeat(F.lit(0.0), 64)).alias("vectors"), filled("distance", F.lit(0.0)).alias("distance"),
+        flag(lambda x: F.when(x["k"] == 1, 1.0).otherwise(0.0)).alias("promoter"), flag(lambda x: F.lit(1.0)).alias("mask"),
+    )
+
+
+@query(None)
+def q_train_conditioned(spark, d):
+    """Four steps of a field conditioned on packed tokens, by chunks of genes and blocks of cells; the losses."""
+    model, genes = fields.Conditioned(64, 64, width=8, heads=2, layers=2, kind="cross_attention", seed=1), _panel_tokens(spark, d)
+    n = genes.count()
+    rows = _shift_rows(spark, d).withColumn("target", F.slice("target", 1, n))
+    _, losses = training.train(spark, model, lambda k: rows.where(F.pmod("vec_id", F.lit(4)) == k), 4, workspace(spark, "train"), {"query": "train_conditioned"}, tokens=genes, optimiser=training.AdamW(rate=0.01), chunk=8, blocks=4)
+    return spark.createDataFrame([(k, x) for k, x in enumerate(losses)], "step long, loss double")
+
+
 # --- time --------------------------------------------------------------------------------------
 
 LABELS = """l AS (SELECT DISTINCT regexp_replace(x, '^([0-9]+)[.]0$', '\\1') AS label FROM (
@@ -569,11 +649,18 @@ def q_sample_bottomk(spark, d):
     return sampling.bottom_k(table(spark, d, "events").select("event_id"), "event_id", 100, 7)
 
 
+BIJECTION = """('0x' || substr(md5(key || ':' || k % 6 || ':' || {x}), 1, 13))::BIGINT"""
+
+
 @query(
-    f"""WITH n AS (SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY {u("vec_id || ':5'")}, vec_id) - 1 AS i FROM embeddings),
-s AS (SELECT label, n FROM n WHERE i = 0), b AS (SELECT unnest(range(4)) AS batch), w AS (SELECT unnest(range(48)) AS draw),
-x AS (SELECT label, batch, draw, CASE WHEN n >= 48 THEN CAST(floor({u("label || ':' || batch || ':5:start'")} * n) + draw AS BIGINT) % n
-      ELSE CAST(floor({u("label || ':' || batch || ':' || draw || ':5:own'")} * n) AS BIGINT) END AS i FROM s, b, w)
+    f"""WITH RECURSIVE n AS (SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings),
+s AS (SELECT label, n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM n WHERE i = 0), t AS (SELECT unnest(range(4)) AS batch), w AS (SELECT unnest(range(48)) AS draw),
+f AS (SELECT label, n, a, b, batch, draw, label || ':' || batch || ':5' AS key, 0 AS k, draw // b AS l, draw % b AS r, false AS done FROM s, t, w WHERE n >= 48
+      UNION ALL
+      SELECT label, n, a, b, batch, draw, key, k + 1, l, r, k % 6 = 5 AND l * b + r < n FROM (
+        SELECT label, n, a, b, batch, draw, key, k, CASE WHEN k % 2 = 0 THEN (l + {BIJECTION.format(x="r")}) % a ELSE l END AS l, CASE WHEN k % 2 = 1 THEN (r + {BIJECTION.format(x="l")}) % b ELSE r END AS r FROM f WHERE NOT done)),
+x AS (SELECT label, batch, draw, l * b + r AS i FROM f WHERE done
+      UNION ALL SELECT label, batch, draw, CAST(floor({u("label || ':' || batch || ':' || draw || ':5:own'")} * n) AS BIGINT) FROM s, t, w WHERE n < 48)
 SELECT batch, label::BIGINT AS label, draw, vec_id FROM x JOIN n USING (label, i)"""
 )
 def q_sample_batches(spark, d):
@@ -634,7 +721,16 @@ def q_sinkhorn(spark, d):
     return transport.couple(transport.costs(_side(spark, d, 0, "i"), _side(spark, d, 1, "j"))).withColumn("p", F.round("p", 6))
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {SINKHORN}, p AS (SELECT batch, i, j, exp(k + u + v) AS p FROM r WHERE it = 80), h AS (SELECT batch, i, j, p, sum(p) OVER (PARTITION BY batch ORDER BY i, j) AS hi FROM p),
+t AS (SELECT batch, sum(p) AS t FROM p GROUP BY 1), q AS (SELECT batch, draw, {u("batch || ':' || draw || ':21'")} * t AS q FROM t, (SELECT unnest(range(32)) AS draw)),
+y AS (SELECT q.batch, draw, i, j, {u("q.batch || ':' || draw || ':21:tau'")} AS tau FROM q JOIN h ON q.batch = h.batch AND q >= hi - p AND q < hi)
+SELECT y.batch, draw, round(tau, 9) AS tau, round(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (1 - tau) * t[1]::DOUBLE + tau * t[2]::DOUBLE)), 5) AS xt_sum,
+       round(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[2]::DOUBLE - t[1]::DOUBLE) / 0.5)), 4) AS target_sum,
+       round(list_sum(list_transform(list_zip(c.x, e.x), lambda t: (1 - tau) * t[1]::DOUBLE + tau * t[2]::DOUBLE)), 5) AS state_sum
+FROM y JOIN s a ON a.label = 0 AND a.batch = y.batch AND a.i = y.i JOIN s b ON b.label = 1 AND b.batch = y.batch AND b.i = y.j
+       JOIN s c ON c.label = 2 AND c.batch = y.batch AND c.i = y.i JOIN s e ON e.label = 3 AND e.batch = y.batch AND e.i = y.j"""
+)
 def q_cfm_coupled(spark, d):
     """Pairs drawn by the coupling, then the points between them."""
     a, b = _side(spark, d, 0, "i"), _side(spark, d, 1, "j")
@@ -712,7 +808,7 @@ k AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, greatest(2 - 2 * list_dot_pr
 
 @query(f"WITH {KNN} SELECT id, neighbour, round(distance, 5) AS distance, (row_number() OVER (PARTITION BY id ORDER BY distance, neighbour))::BIGINT AS rank FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) <= 5")
 def q_knn(spark, d):
-    return matrix.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", "neighbour", F.round("distance", 5).alias("distance"), "rank")
+    return neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).select("id", "neighbour", F.round("distance", 5).alias("distance"), "rank")
 
 
 PROJECT = f"""{KNN}, w AS (SELECT id, neighbour FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) <= 10),
@@ -723,15 +819,21 @@ c AS (SELECT id, ox, oy, exp(list_dot_product(dx, v) / (greatest(sqrt(list_dot_p
 f AS (SELECT id, sum(wt * ox) / sum(wt) - avg(ox) AS vx, sum(wt * oy) / sum(wt) - avg(oy) AS vy FROM c GROUP BY id)"""
 
 
-def _velocities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ten neighbours of each vector, and the vectors with a velocity and a place on a map."""
     e = table(spark, d, "embeddings")
-    near = matrix.nearest(e, "vec_id", "embedding", 10).select("id", "neighbour")
+    near = neighbours.nearest(e, "vec_id", "embedding", 10).select("id", "neighbour")
     x = F.col("embedding").cast("array<double>")
     rows = e.select(F.col("vec_id").alias("id"), x.alias("x"))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a)
     n, half = F.size("x"), F.floor(F.size("x") / 2).cast("int")
     turned = F.concat(F.slice("x", 2, n - 1), F.slice("x", 1, 1))
     rows = rows.select("id", "x", F.zip_with(turned, "x", lambda a, b: a - b).alias("v"), total(F.slice("x", F.lit(1), half)).alias("px"), total(F.slice("x", half + 1, n)).alias("py"))
+    return near, rows
+
+
+def _velocities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    near, rows = _graph(spark, d)
     return evaluate.project_velocity(near, rows), rows
 
 
@@ -746,6 +848,18 @@ def q_velocity_grid(spark, d):
     return evaluate.velocity_grid(moved.join(rows.select("id", "px", "py"), "id"), 0.5, 2).withColumns({"vx": F.round("vx", 5), "vy": F.round("vy", 5)})
 
 
+@query(
+    f"""WITH {PROJECT}, o AS (SELECT w.id, w.neighbour, list_transform(list_zip(a.x, b.x), lambda t: t[2] - t[1]) AS dx, a.v FROM w JOIN g a ON w.id = a.vec_id JOIN g b ON w.neighbour = b.vec_id),
+m AS (SELECT id, neighbour, list_dot_product(dx, v) / (greatest(sqrt(list_dot_product(dx, dx)), 1e-12) * greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS c FROM o),
+b AS (SELECT id, max(c) AS best FROM m GROUP BY id), q AS (SELECT quantile_cont(best, 0.98) AS mark FROM b),
+a AS (SELECT id, neighbour, c FROM m UNION ALL SELECT vec_id, vec_id, coalesce(least(greatest(mark - best, 0), 1), 1) FROM e LEFT JOIN b ON id = vec_id, q)
+SELECT id, neighbour, round(exp(10 * c) / sum(exp(10 * c)) OVER (PARTITION BY id), 6) AS p FROM a"""
+)
+def q_transitions(spark, d):
+    near, rows = _graph(spark, d)
+    return neighbours.transitions(near, rows).withColumn("p", F.round("p", 6))
+
+
 @query(None)
 def q_plane(spark, d):
     return matrix.plane(table(spark, d, "embeddings"), "vec_id", "embedding", 512, 3)

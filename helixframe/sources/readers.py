@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +56,59 @@ def merged_intervals(tables: list[DataFrame]) -> DataFrame:
     return out.dropna(subset=["chrom", "start", "end"]).where("end > start").groupBy("chrom", "start", "end").agg(F.min("ccre_id").alias("ccre_id"), F.min("state").alias("state"))
 
 
+def _fasta_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines ``(f, b, value)`` in file order: the record of the split ``b`` that each belongs to, 0 before its first header, and the bases before it there."""
+    key, seg, name, off = None, 0, None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        f, b = batch.column(0), batch.column(1)
+        at = pc.binary_join_element_wise(f, pc.cast(b, pa.string()), " ").to_pylist()
+        edges = [0, *(k for k in range(1, len(at)) if at[k] != at[k - 1]), len(at)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if at[lo] != key:
+                key, seg, name, off = at[lo], 0, None, 0
+            value = batch.column(2).slice(lo, hi - lo)
+            head = pc.starts_with(value, ">").to_numpy(zero_copy_only=False)
+            seq = pc.utf8_upper(pc.replace_substring_regex(pc.if_else(pa.array(head), "", value), r"\s+", ""))
+            size = pc.utf8_length(seq).to_numpy().astype(np.int64)
+            before = np.cumsum(size) - size
+            place = np.maximum.accumulate(np.where(head, np.arange(hi - lo), -1))
+            start = before - np.where(place >= 0, before[place], -off)
+            names = [name, *pc.list_element(pc.split_pattern_regex(pc.utf8_slice_codeunits(value.filter(pa.array(head)), 1), r"\s+"), 0).to_pylist()]
+            nth = np.cumsum(head)
+            yield pa.RecordBatch.from_arrays([f.slice(lo, hi - lo), b.slice(lo, hi - lo), pa.array(seg + nth, pa.int32()), pa.array(names, pa.string()).take(pa.array(nth)), pa.array(start), seq], names=["f", "b", "seg", "name", "at", "seq"])
+            off = int(start[-1] + size[-1])
+            seg, name = seg + int(nth[-1]), names[-1]
+
+
 def fasta(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFrame:
     """``(chrom, start, seq)`` pieces of up to ``width`` bases, ready for range access.
 
-    Records are split at ``>``, so Spark cuts the file between sequences.
+    Spark splits the files between lines. A line's record and place are those in
+    its split, and what the splits before leave open, of which there is one row
+    each; pieces are put together from lines, so no task holds a record. Names
+    end at white space and are unique in a file. Lines before the first header
+    are left out, records without a base too.
     """
-    x = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    name = F.split(F.substring_index("value", "\n", 1), r"\s+")[0]
-    seq = F.upper(F.regexp_replace(F.substr("value", F.instr("value", "\n") + 1), r"\s+", ""))
-    x = x.select(name.alias("chrom"), seq.alias("_s"))
-    k = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.char_length("_s") - 1) / width), F.lit(0))))
-    return x.select("chrom", "_s", k.alias("_k")).select("chrom", (F.col("_k") * width).cast("long").alias("start"), F.substr("_s", F.col("_k").cast("int") * width + 1, F.lit(width)).alias("seq"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), "value")
+    x = lines.mapInArrow(_fasta_lines, "f string, b long, seg int, name string, at long, seq string")
+    size = F.char_length("seq")
+    parts = x.groupBy("f", "b", "seg").agg(F.max("name").alias("name"), F.sum(size).alias("n"))
+    ends = parts.groupBy("f", "b").agg(F.max_by("name", "seg").alias("last"), F.max_by("n", "seg").alias("open"), (F.max("seg") > 0).alias("heads"))
+    by = Window.partitionBy("f").orderBy("b")
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_sum", F.coalesce(F.sum("open").over(earlier), F.lit(0)))
+    # Since the last split that has a header: its open end and all of those after it.
+    ends = ends.select("f", "b", F.last("last", ignorenulls=True).over(earlier).alias("_name"), (F.col("_sum") - F.coalesce(F.last(F.when(F.col("heads"), F.col("_sum")), ignorenulls=True).over(earlier), F.lit(0))).alias("_off"))
+    x = x.where(size > 0).join(ends, ["f", "b"])
+    x = x.select("f", F.coalesce("name", "_name").alias("chrom"), F.when(F.col("seg") == 0, F.col("at") + F.col("_off")).otherwise(F.col("at")).alias("at"), "seq").where("chrom is not null")
+    k = F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + size - 1) / width)))
+    x = x.select("f", "chrom", "at", "seq", k.alias("_k"))
+    a = F.greatest(F.col("at"), F.col("_k") * width)
+    part = F.substr("seq", (a - F.col("at") + 1).cast("int"), (F.least(F.col("at") + size, (F.col("_k") + 1) * width) - a).cast("int"))
+    x = x.select("f", "chrom", "_k", F.struct(a.alias("a"), part.alias("s")).alias("p")).groupBy("f", "chrom", "_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "").alias("seq"))
+    return x.select("chrom", (F.col("_k") * width).cast("long").alias("start"), "seq")
 
 
 def fetch(sequences: DataFrame, regions: DataFrame, length: int, width: int = 1 << 16) -> DataFrame:
