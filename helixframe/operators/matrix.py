@@ -114,12 +114,3 @@ def svd(vectors: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray
     spread = np.trace(g) / n - (mean / n) @ (mean / n)
     scores = value / n - ((mean / n) @ vector) ** 2
     return vector, np.sqrt(value), scores / spread
-
-
-def plane(vectors: DataFrame, id_col: str, column: str, sample: int, seed: int | str) -> DataFrame:
-    """``(id, x, y)``: a plane fitted to a keyed sample (a bound), all rows placed in it. A linear stand-in where a manifold embedding is wanted."""
-    from helixframe.operators.sampling import bottom_k
-
-    v, _, _ = svd(bottom_k(vectors, id_col, sample, seed), column, 2)
-    axis = lambda k: X.dot(F.col(column), F.array(*[F.lit(float(a)) for a in v[:, min(k, v.shape[1] - 1)]]))
-    return vectors.select(F.col(id_col).alias("id"), axis(0).alias("x"), axis(1).alias("y"))

@@ -310,6 +310,23 @@ def predict(model: fields.Conditioned, rows: DataFrame, tokens: DataFrame, key:
     return dealt(x, tokens, chunk, blocks).applyInArrow(part, f"key {kind.simpleString()}, gene long, velocity double").withColumnRenamed("key", key)
 
 
+def variants(models: dict[str, fields.Conditioned], rows: DataFrame, tokens: DataFrame, key: str, path: str, signature: object, **more) -> DataFrame:
+    """``(variant, key, gene, velocity)`` of several models over the same rows; each is kept under ``path`` and read where it is there.
+
+    What is kept goes by the variant's name, its weights and ``signature``,
+    which names the rows and tokens: another of these is predicted anew.
+    """
+    out = None
+    for name, model in sorted(models.items()):
+        digest = hashlib.sha256(b"".join(k.encode() + np.ascontiguousarray(v).tobytes() for k, v in sorted(model.weights.items()))).hexdigest()
+        made = writers.materialise(predict(model, rows, tokens, key, **more), path, [name, digest, model.kind, model.position, model.heads, signature])
+        one = made.select(F.lit(name).alias("variant"), *made.columns)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("there is no variant to predict")
+    return out
+
+
 @dataclass(frozen=True)
 class AdamW:
     """Moments of the gradient with a bias correction; decay acts on the weights themselves."""

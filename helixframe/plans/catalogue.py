@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
-from helixframe.operators import decompose, evaluate, fields, intervals, matrix, neighbours, profile, quantiles, sampling, timeaxis, tokens, training, transport
-from helixframe.sources import readers, writers
+from helixframe.operators import decompose, evaluate, fields, intervals, manifold, matrix, neighbours, profile, quantiles, sampling, timeaxis, tokens, training, transport
+from helixframe.sources import arrays, readers, writers
 from helixframe.sources.scratch import workspace
 from helixframe.streaming import passes
 
@@ -382,6 +382,54 @@ def _panel_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _small_field() -> fields.Conditioned:
+    """One layer, one head, two columns: weights are waves, biases nothing."""
+    m = fields.Conditioned(64, 64, width=2, heads=1, layers=1, kind="film")
+    plain = {n: _waves(*v.shape, k) if v.ndim == 2 else v for k, (n, v) in enumerate(sorted(m.weights.items()))}
+    return fields.Conditioned(64, 64, width=2, heads=1, layers=1, kind="film", weights=plain)
+
+
+def _field_sql(m: fields.Conditioned) -> str:
+    """The small field in SQL: tokens of brands, one attention to the promoter, its state scaled and shifted by the vector's."""
+    w = m.weights
+    num = lambda v: f"({float(v)!r})"
+    dot = lambda xs, column: "(" + " + ".join(f"{x} * {num(v)}" for x, v in zip(xs, column, strict=True)) + ")"
+    listed = lambda x, column: f"list_dot_product({x}, [{', '.join(num(v) for v in column)}]::DOUBLE[])"
+    tail = "exp(-{z} * {z} / 2) * (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (1.421413741 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * 1.061405429))))"
+    gelu = lambda z: f"({z} * (1 + sign({z}) * (1 - {tail.format(z=z)})) / 2)"
+    norm = lambda a, b: [f"(({x} - ({a} + {b}) / 2) / sqrt(({a} - {b}) * ({a} - {b}) / 4 + 1e-5))" for x in (a, b)]
+    far = [f"tanh(dist / 100000.0 * {num(w['distance'][0, h])})" for h in (0, 1)]
+    start = [f"{listed('v', w['token'][:, c])} + {dot(far, w['far'][:, c])} + CASE WHEN k = 1 THEN {num(w['promoter'][1, c])} ELSE {num(w['promoter'][0, c])} END" for c in (0, 1)]
+    cols = lambda n, xs: ", ".join(f"{dot(xs, w[f'0.{n}'][:, c])} AS {n}{c}" for c in (0, 1))
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part QUALIFY k <= {PANEL_TOKENS}),
+t AS (SELECT p_brand, k, (p_size * 100 * (2 * (k % 2) - 1))::DOUBLE AS dist, x AS v FROM p JOIN e ON vec_id = p_partkey % (SELECT count(*) FROM embeddings)),
+a AS (SELECT p_brand, k, dist, {start[0]} AS a0, {start[1]} AS a1 FROM t),
+r AS (SELECT p_brand, k, a0 * cos(dist / 1000) - a1 * sin(dist / 1000) AS x0, a0 * sin(dist / 1000) + a1 * cos(dist / 1000) AS x1 FROM a),
+z AS (SELECT *, {norm('x0', 'x1')[0]} AS z0, {norm('x0', 'x1')[1]} AS z1 FROM r),
+h AS (SELECT *, {cols('q', ['z0', 'z1'])}, {cols('k', ['z0', 'z1'])}, {cols('v', ['z0', 'z1'])} FROM z),
+s AS (SELECT h.p_brand, exp((f.q0 * h.k0 + f.q1 * h.k1) / sqrt(2)) AS s, h.v0, h.v1, f.x0, f.x1 FROM h JOIN h f ON f.p_brand = h.p_brand AND f.k = 1),
+o AS (SELECT p_brand, any_value(x0) AS x0, any_value(x1) AS x1, sum(s * v0) / sum(s) AS b0, sum(s * v1) / sum(s) AS b1 FROM s GROUP BY p_brand),
+y AS (SELECT p_brand, x0 + {dot(['b0', 'b1'], w['0.o'][:, 0])} AS y0, x1 + {dot(['b0', 'b1'], w['0.o'][:, 1])} AS y1 FROM o),
+n AS (SELECT *, {norm('y0', 'y1')[0]} AS n0, {norm('y0', 'y1')[1]} AS n1 FROM y),
+u AS (SELECT p_brand, y0, y1, {', '.join(f"{dot(['n0', 'n1'], w['0.up'][:, c])} AS u{c}" for c in range(8))} FROM n),
+g AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS gene, {', '.join(f"y{c} + {dot([gelu(f'u{j}') for j in range(8)], w['0.down'][:, c])} AS g{c}" for c in (0, 1))} FROM u),
+i AS (SELECT vec_id, {', '.join(f"{listed('x', w['0.state'][:, c])} AS i{c}" for c in (0, 1))} FROM e WHERE x IS NOT NULL),
+j AS (SELECT vec_id, {gelu('i0')} AS j0, {gelu('i1')} AS j1 FROM i),
+c AS (SELECT vec_id, {', '.join(f"{dot(['j0', 'j1'], w['0.context'][:, k])} AS c{k}" for k in range(4))} FROM j),
+f AS (SELECT vec_id, gene, g0 * (1 + c0) + c2 AS f0, g1 * (1 + c1) + c3 AS f1 FROM g, c)
+SELECT vec_id, gene::BIGINT AS gene, round({dot(norm('f0', 'f1'), w['head'][:, 0])}, 6) AS velocity FROM f"""
+
+
+@query(_field_sql(_small_field()))
+def q_conditioned_field(spark, d):
+    """Velocities of genes with packed tokens for each vector's state, in chunks of genes; the second call reads what the first kept."""
+    path, rows, genes = workspace(spark, "velocities"), _shift_rows(spark, d), _panel_tokens(spark, d)
+    for _ in range(2):
+        found = training.variants({"film": _small_field()}, rows, genes, "vec_id", path, {"tables": d}, chunk=8, blocks=4)
+    return found.select("vec_id", "gene", F.round("velocity", 6).alias("velocity"))
+
+
 @query(None)
 def q_train_conditioned(spark, d):
     """Four steps of a field conditioned on packed tokens, by chunks of genes and blocks of cells; the losses."""
@@ -861,8 +909,13 @@ def q_transitions(spark, d):
 
 
 @query(None)
-def q_plane(spark, d):
-    return matrix.plane(table(spark, d, "embeddings"), "vec_id", "embedding", 512, 3)
+def q_manifold(spark, d):
+    """A map fitted to three quarters of the vectors; the others are placed in it."""
+    e = table(spark, d, "embeddings")
+    known = e.where("vec_id % 4 <> 0")
+    at = manifold.fit(known, "vec_id", "embedding", k=10, epochs=10, seed=3)
+    new = manifold.place(e.where("vec_id % 4 = 0"), known, at, "vec_id", "embedding", k=10)
+    return at.withColumn("fitted", F.lit(True)).unionByName(new.withColumn("fitted", F.lit(False)))
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -1087,6 +1140,15 @@ def q_row_chunks(spark, d):
     return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.sum(F.get("values", 0)), 4).alias("a"), F.round(F.sum(F.get("values", 1)), 4).alias("b"))
 
 
+@query("SELECT (vec_id // 100)::BIGINT AS block, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS a, round(sum(embedding[64]::DOUBLE), 4) AS b FROM embeddings GROUP BY 1")
+def q_array_ranges(spark, d):
+    """All vectors written as array files by ranges of rows, and read again a range a task."""
+    path = workspace(spark, "arrays")
+    arrays.write(table(spark, d, "embeddings"), path, "vec_id", "embedding", parts=4)
+    x = arrays.ranges(spark, path)
+    return x.groupBy(F.floor(F.col("row") / 100).alias("block")).agg(F.count("*").alias("n"), F.round(F.sum(F.get("values", 0)), 4).alias("a"), F.round(F.sum(F.get("values", 63)), 4).alias("b"))
+
+
 @query("SELECT p_name AS key, max(p_partkey) AS value FROM part GROUP BY 1")
 def q_dictionary_file(spark, d):
     path = workspace(spark, "dictionary")

@@ -294,24 +294,114 @@ def arrays(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(read, "source_file string, name string, row long, values array<double>")
 
 
+# The name spaces of the format.
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _column(ref: str) -> int:
+    """The column of a cell's name, from 0: letters are digits of base 26."""
+    n = 0
+    for c in ref:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n - 1
+
+
+def _strings(x) -> str:
+    """The text of an element without what is said how to read it."""
+    return "".join(t.text or "" for r in x if not r.tag.endswith("rPh") for t in r.iter(f"{SHEET}t"))
+
+
+def _sheets(content: bytes) -> Iterator[tuple[str, int, list]]:
+    """``(sheet, row, cells)`` of the stored rows of a zipped workbook, read as a stream of elements."""
+    import io
+    import posixpath
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        links = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        names = [(e.get("name"), links[e.get(LINK)]) for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet")]
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, e in ElementTree.iterparse(f):
+                    if e.tag == f"{SHEET}si":
+                        shared.append(_strings(e))
+                        e.clear()
+        for name, target in names:
+            path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+            with z.open(path) as f:
+                n = -1
+                for _, e in ElementTree.iterparse(f):
+                    if e.tag != f"{SHEET}row":
+                        continue
+                    n = int(e.get("r", n + 2)) - 1
+                    cells: list = []
+                    for c in e.iter(f"{SHEET}c"):
+                        at = _column(c.get("r")) if c.get("r") else len(cells)
+                        cells += [None] * (at + 1 - len(cells))
+                        kind, v = c.get("t", "n"), c.find(f"{SHEET}v")
+                        text = _strings(c) if kind == "inlineStr" else v.text if v is not None else None
+                        if text is not None and kind == "s":
+                            text = shared[int(text)]
+                        elif text is not None and kind == "b":
+                            text = "TRUE" if text == "1" else "FALSE"
+                        cells[at] = text
+                    yield name, n, cells
+                    e.clear()
+
+
 def workbook(spark: SparkSession, pattern: str) -> DataFrame:
-    """``(source_file, sheet, row, cells)`` of all sheets of Excel files; unreadable files give no rows. Needs openpyxl on the executors."""
+    """``(source_file, sheet, row, cells)`` of all sheets of ``.xlsx`` files, rows from 0; a file that is no such workbook gives no rows.
 
-    def read(batches):
-        import io
+    Cells are texts as they are stored: numbers (dates too) as their digits,
+    formulas as their last value; an empty cell is null, cells after a row's
+    last are not there. The format holds a million rows a sheet at most; a file
+    is one task, its sheets are read as streams.
+    """
 
-        import pyarrow as pa
-        from openpyxl import load_workbook
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zipfile
+        from xml.etree import ElementTree
 
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                # Whole or not at all: what is unreadable in its middle gives no rows.
                 try:
-                    book = load_workbook(io.BytesIO(content.as_py()), read_only=True, data_only=True)
-                except (OSError, ValueError, KeyError):
+                    for _ in _sheets(content.as_py()):
+                        pass
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError):
                     continue
-                for sheet in book.worksheets:
-                    rows = [[None if v is None else str(v) for v in r] for r in sheet.iter_rows(values_only=True)]
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([sheet.title] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["source_file", "sheet", "row", "cells"])
+                rows: list = []
+                for row in _sheets(content.as_py()):
+                    rows.append(row)
+                    if len(rows) == 4096:
+                        yield made(path, rows)
+                        rows = []
+                if rows:
+                    yield made(path, rows)
+
+    def made(path: str, rows: list) -> pa.RecordBatch:
+        sheet, row, cells = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(sheet, pa.string()), pa.array(row, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["source_file", "sheet", "row", "cells"])
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(read, "source_file string, sheet string, row long, cells array<string>")
+
+
+def interval_sheets(spark: SparkSession, pattern: str, wanted: dict[str, list[str]]) -> DataFrame:
+    """Columns of all sheets of workbooks by the names in their first row, under their wanted names: ``(source_file, sheet, row, ...)``.
+
+    ``wanted`` gives for each name its aliases, as in :func:`aliased`. A sheet
+    without one of them is left out; blank cells are null.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[_ ]", "")
+    x = workbook(spark, pattern)
+    first = x.groupBy("source_file", "sheet").agg(F.min("row").alias("_top"), F.min_by("cells", "row").alias("_head"))
+    names = F.transform("_head", lambda c: plain(F.coalesce(c, F.lit(""))))
+    place = {n: F.coalesce(*[F.nullif(F.array_position(names, a.lower().replace("_", "").replace(" ", "")), F.lit(0).cast("long")) for a in [n, *aliases]]) for n, aliases in wanted.items()}
+    first = first.select("source_file", "sheet", "_top", *[p.cast("int").alias(f"_{n}") for n, p in place.items()]).dropna(subset=[f"_{n}" for n in wanted])
+    x = x.join(first, ["source_file", "sheet"]).where(F.col("row") > F.col("_top"))
+    return x.select("source_file", "sheet", "row", *[F.nullif(F.trim(F.get("cells", F.col(f"_{n}") - 1)), F.lit("")).alias(n) for n in wanted])

@@ -2,12 +2,13 @@
 
 import gzip
 import json
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import decompose, fields, neighbours, profile, quantiles, sampling, training
+from helixframe.operators import decompose, fields, manifold, neighbours, profile, quantiles, sampling, training
 from helixframe.sources import arrays, readers
 
 # --- training ----------------------------------------------------------------------------------
@@ -236,6 +237,34 @@ def test_transitions_sum_to_one_and_stay_where_nothing_fits(spark):
     assert {(r["id"], r["neighbour"]): pytest.approx(r["p"]) for r in got} == {k: w / total[k[0]] for k, w in weight.items()}
 
 
+def test_a_map_keeps_planted_clusters_and_places_new_rows(spark):
+    r = np.random.default_rng(4)
+    centres = np.linalg.qr(r.standard_normal((8, 8)))[0][:3]
+    x = np.concatenate([centres[k % 3] + r.standard_normal((1, 8)) * 0.1 for k in range(96)])
+    known, new = vectors(spark, range(90), x[:90]), vectors(spark, range(90, 96), x[90:])
+    at = manifold.fit(known, "id", "x", k=8, epochs=8)
+    got = {r_["id"]: (r_["x"], r_["y"]) for r_ in at.collect()}
+    assert len(got) == 90 and np.isfinite(list(got.values())).all()
+    p = np.array([got[k] for k in range(90)])
+    d = ((p[:, None] - p[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    near = d.argsort(1)[:, :5]
+    assert (near % 3 == np.arange(90)[:, None] % 3).mean() > 0.95
+    again = {r_["id"]: (r_["x"], r_["y"]) for r_ in manifold.fit(known.repartition(5), "id", "x", k=8, epochs=8).collect()}
+    assert all(np.allclose(got[k], again[k], atol=1e-4) for k in got)
+    for r_ in manifold.place(new, known, at, "id", "x", k=8).collect():
+        assert ((p - [r_["x"], r_["y"]]) ** 2).sum(1).argmin() % 3 == r_["id"] % 3
+
+
+def test_fuzzy_weights_of_a_row_add_up(spark):
+    rows = [(0, k + 1, float((k + 1) ** 2), k + 1) for k in range(8)] + [(1, k + 20, 0.0, k + 1) for k in range(8)]
+    got = manifold.fuzzy(spark.createDataFrame(rows, "id long, neighbour long, distance double, rank long"), 8).collect()
+    w = [r["w"] for r in got if r["id"] == 0]
+    assert w[0] == 1 and np.isclose(sum(w), 3, atol=1e-6) and w == sorted(w, reverse=True) and {r["w"] for r in got if r["id"] == 1} == {1.0}
+    both = {(r["id"], r["neighbour"]): r["w"] for r in manifold.union(spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (2, 3, 0.2)], "id long, neighbour long, w double")).collect()}
+    assert both == {(1, 2): 0.75, (2, 1): 0.75, (2, 3): pytest.approx(0.2), (3, 2): pytest.approx(0.2)}
+
+
 # --- decomposition -----------------------------------------------------------------------------
 
 
@@ -387,3 +416,39 @@ def test_arrays_are_written_in_row_ranges(spark, tmp_path):
     assert back == {k: [float(k), 2.0 * k] for k in range(500)}
     with pytest.raises(Exception, match="missing|gaps"):
         arrays.write(rows.where("k <> 250"), str(tmp_path / "gap"), "k", "v", parts=4)
+
+
+BOOK = {
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" sheetId="1" r:id="rId1"/><sheet name="Two" sheetId="2" r:id="rId2"/><sheet name="Other" sheetId="3" r:id="rId3"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/a.xml"/><Relationship Id="rId2" Target="/xl/worksheets/b.xml"/><Relationship Id="rId3" Target="worksheets/c.xml"/></Relationships>',
+    "xl/sharedStrings.xml": '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Chrom</t></si><si><r><t>chr</t></r><r><t>1</t></r><rPh sb="0" eb="1"><t>said</t></rPh></si></sst>',
+    "xl/worksheets/a.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>START</t></is></c><c r="D1" t="str"><v>Region_End</v></c></row>'
+    '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3"><v>10</v></c><c r="C3" t="b"><v>1</v></c><c r="D3"><f>B3*2</f><v>20</v></c></row><row r="4"><c r="AA4"><v>7</v></c></row></sheetData></worksheet>',
+    "xl/worksheets/b.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="inlineStr"><is><t>end</t></is></c><c t="inlineStr"><is><t>start</t></is></c><c t="inlineStr"><is><t>chromosome</t></is></c></row><row><c><v>5</v></c><c><v>1</v></c><c t="inlineStr"><is><t> chr2 </t></is></c></row></sheetData></worksheet>',
+    "xl/worksheets/c.xml": '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>',
+}
+
+
+def test_workbooks_are_read_without_a_package(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        for name, text in BOOK.items():
+            z.writestr(name, text)
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    with zipfile.ZipFile(tmp_path / "broken.xlsx", "w") as z:
+        for name, text in BOOK.items():
+            z.writestr(name, text[:-20] if name.endswith("b.xml") else text)
+    got = {(r["sheet"], r["row"]): r["cells"] for r in readers.workbook(spark, str(tmp_path)).collect()}
+    assert got == {("One", 0): ["Chrom", "START", None, "Region_End"], ("One", 2): ["chr1", "10", "TRUE", "20"], ("One", 3): [None] * 26 + ["7"], ("Two", 0): ["end", "start", "chromosome"], ("Two", 1): ["5", "1", " chr2 "], ("Other", 0): ["1"]}
+    x = readers.interval_sheets(spark, str(tmp_path), {"chrom": ["chromosome"], "start": [], "end": ["region end"]}).orderBy("sheet", "row").collect()
+    assert [(r["sheet"], r["chrom"], r["start"], r["end"]) for r in x] == [("One", "chr1", "10", "20"), ("One", None, None, None), ("Two", "chr2", "1", "5")]
+
+
+def test_variants_are_predicted_once_for_a_signature(spark, tmp_path, monkeypatch):
+    own = panel()
+    _, _, rows = pairs(spark, 4, 5, 7)
+    models, genes = {"film": field(), "cross": field("cross_attention")}, token_rows(spark, own)
+    first = training.variants(models, rows, genes, "k", f"file://{tmp_path}/kept", 1, chunk=3)
+    assert {r["variant"]: r["n"] for r in first.groupBy("variant").agg(F.count("*").alias("n")).collect()} == {"film": 28, "cross": 28}
+    again = training.variants(models, rows.where("k < 2"), genes, "k", f"file://{tmp_path}/kept", 1, chunk=3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    assert training.variants(models, rows.where("k < 2"), genes, "k", f"file://{tmp_path}/kept", 2, chunk=3).count() == 28
