@@ -16,8 +16,6 @@ from helixframe.sources.scratch import workspace
 
 #: Buckets that terms fall in, each a folder of the postings.
 BUCKETS = 32
-#: Parts of a bucket by document, so that a bucket with a very frequent term is several tasks and files.
-PARTS = 16
 #: Terms of items that go to every task at once; more items are searched in groups of that many.
 TERMS = 200_000
 #: Postings that a task hands over at once.
@@ -87,8 +85,8 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, doc: str = "doc_
 
     Each row of ``docs`` is a document with its own ``row``, also where ids
     repeat. ``only(term)`` keeps the postings of those terms, by a semi join
-    before the shuffle. A bucket is dealt by row too, so a term that all
-    documents hold is :data:`PARTS` tasks.
+    before the shuffle. Adaptive execution cuts a bucket by its size, so one with
+    a term that all documents hold is many tasks and files.
     """
     x = counted(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(text).alias("text")))
     if only is not None:
@@ -98,7 +96,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None, *, doc: str = "doc_
         x = x.join(kept, "term", "left").where("term is null or _kept").select(*x.columns)
     x = x.select(F.when(F.col("term").isNull(), -1).otherwise(bucket(F.col("term"))).alias("bucket"), "term", "row", "doc", "n", "tf")
     path = workspace(docs.sparkSession, "postings")
-    x.repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(PARTS))).write.partitionBy("bucket").parquet(path)
+    x.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
     return docs.sparkSession.read.schema(x.select("term", "row", "doc", "n", "tf", "bucket").schema).parquet(path)
 
 
