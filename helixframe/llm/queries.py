@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(mod: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+    """The remainder that deals documents to folds; -1, which is none, for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod, F.lit(-1))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

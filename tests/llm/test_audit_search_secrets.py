@@ -6,10 +6,11 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
-from helixframe.llm import audit, search, secrets
+from helixframe.llm import audit, hosttext, queries, search, secrets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, part string, row long, term string, state int, n long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -226,3 +227,30 @@ def test_ownership_counts_owners_and_repositories(spark):
     rows = [("d", "o1", "r1"), ("d", "o1", "r1"), ("d", "o1", "r2"), ("d", "o2", "r1"), ("d", None, "r1"), ("e", "o1", None)]
     got = secrets.ownership(spark.createDataFrame(rows, "digest string, owner string, repo string")).collect()
     assert sorted((r["digest"], r["owners"], r["repos"]) for r in got) == [("d", 3, 4), ("e", 1, 1)]
+
+
+# --- pages and folds ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</a ", "<![CDATA[", "<![CDATA[>", '<a "x>"', "<!", "<a '", "<", '<p class="', "<!-- ", "<script>"])
+def test_markup_that_never_ends_costs_no_square(piece):
+    began = time.process_time()
+    assert hosttext.blocks("<p>ok</p>" + piece * (600_000 // len(piece)))[0][0] == "ok"
+    assert time.process_time() - began < 5
+
+
+def test_names_inside_an_article_must_say_nothing_else():
+    page = """<article><p>A</p><div class="social-history"><p>Cities grew.</p></div><section class="replies-to-critics"><p>No.</p></section>
+    <span class="ad-hoc">ad hoc rule</span><h2 id="comments">Comments</h2><div class="comment-list">gone</div><div class="ad-slot-2">gone</div><div id="comments">gone</div><p class="notice">gone</p></article>
+    <div class="social-history">gone</div>"""
+    assert hosttext.blocks(page) == (["A", "Cities grew.", "No.", "ad hoc rule", "Comments"], True)
+
+
+def test_markup_is_read_as_tags_and_text():
+    page = """<!DOCTYPE html><p title="a > b">1 < 2 <b>x</B></p><!-- <p>no</p> --!><p>y<?php > ?></p><![CDATA[<p>no</p>]]><p data-x='"'>z</p><script>"</p><p>no"</script ><p>w"""
+    assert hosttext.blocks(page) == (["1 < 2 x", "y ?>", "z", "w"], False)
+
+
+def test_a_null_id_is_held_out_nowhere(spark):
+    got = spark.createDataFrame([(None,), (3,)], "doc_id long").select("doc_id", *[(queries.fold(m) == k).alias(f"f{m}") for m, k in ((3, 1), (5, 0), (7, 2))]).collect()
+    assert all(r[f"f{m}"] is not None for r in got for m in (3, 5, 7)) and not any(r[f"f{m}"] for r in got if r["doc_id"] is None for m in (3, 5, 7))
