@@ -1104,12 +1104,7 @@ def q_matrix_market_file(spark, d):
     path = workspace(spark, "matrix")
     top.coalesce(1).write.text(path)
     m.select(F.concat_ws(" ", (F.col("cell") + 1).cast("string"), (F.col("gene") + 1).cast("string"), F.col("value").cast("string")).alias("value")).write.mode("append").text(path)
-    head = spark.read.text(path).where("startswith(value, '%') or value rlike '^[0-9]+ [0-9]+ [0-9]+$'")
-    first = head.where("not startswith(value, '%')").first()["value"]
-    whole = workspace(spark, "matrix")
-    body = spark.read.text(path).where((F.col("value") != first) & ~F.col("value").startswith("%"))
-    spark.createDataFrame([(f"%%MatrixMarket matrix coordinate real general\n{first}",)], "value string").union(body).coalesce(1).write.text(whole)
-    return readers.matrix_market(spark, whole, int(first.split()[0]))
+    return readers.matrix_market(spark, path, size.first()["c"] + 1)
 
 
 @query("SELECT c_custkey::VARCHAR AS gene_id, c_name AS gene_short_name, 'protein_coding' AS gene_type, c_mktsegment AS chr FROM customer")

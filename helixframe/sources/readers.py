@@ -127,19 +127,32 @@ def fetch(sequences: DataFrame, regions: DataFrame, length: int, width: int = 1
 def matrix_market(spark: SparkSession, path: str, cells: int | None = None) -> DataFrame:
     """``(cell, gene, value)`` from 0, of 1-based triplets; if the first dimension is not ``cells`` the matrix is turned.
 
-    The size line is the first that is no comment. Triplets may read like it:
-    of lines equal to it, one is left out, whichever it is.
+    ``path`` is a file, or a folder of parts of one in which one part holds the
+    header. The size line is the first that is no comment in the file of the
+    header. Triplets may read like it: of lines equal to it, one is left out,
+    whichever it is. What the header says is heeded: ``pattern`` entries are 1,
+    ``symmetric`` and ``skew-symmetric`` ones stand for their mirror image too;
+    dense and complex matrices are errors.
     """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    kind = text.where("startswith(value, '%%MatrixMarket')").select("value", "f").first()
     plain = F.regexp_replace(F.trim("value"), r"\s+", " ")
-    lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''").select(plain.alias("line"))
-    head = lines.first()["line"]
+    lines = text.where("not startswith(value, '%') and trim(value) <> ''").select(plain.alias("line"), "f", "at")
+    words = kind["value"].lower().split() if kind else ["", "matrix", "coordinate", "real", "general"]
+    if words[2] != "coordinate" or words[3] == "complex" or words[4] == "hermitian":
+        raise ValueError(f"a matrix of {' '.join(words[2:])} is not read")
+    head = (lines.where(F.col("f") == kind["f"]).agg(F.min_by("line", "at").alias("line")) if kind else lines).first()["line"]
     size = [int(v) for v in head.split()]
     if cells is not None and size[0] != cells and size[1] != cells:
         raise ValueError(f"neither dimension of {size[:2]} is {cells}")
     again = lines.where(F.col("line") == head).groupBy("line").agg((F.count("*") - 1).alias("n")).where("n > 0")
     again = again.select("line", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("line")
     p = F.split("line", " ")
-    x = lines.where(F.col("line") != head).union(again).select((p[0].cast("long") - 1).alias("a"), (p[1].cast("long") - 1).alias("b"), p[2].cast("double").alias("value"))
+    value = F.lit(1.0) if words[3] == "pattern" else F.get(p, 2).cast("double")
+    x = lines.where(F.col("line") != head).select("line").union(again).select((p[0].cast("long") - 1).alias("a"), (p[1].cast("long") - 1).alias("b"), value.alias("value"))
+    if words[4] != "general":
+        sign = -1 if words[4] == "skew-symmetric" else 1
+        x = x.union(x.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), (sign * F.col("value")).alias("value")))
     turned = cells is not None and size[0] != cells
     return x.select(F.col("b" if turned else "a").alias("cell"), F.col("a" if turned else "b").alias("gene"), "value")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import decompose, fields, manifold, neighbours, profile, quantiles, sampling, training
+from helixframe.operators import decompose, fields, manifold, neighbours, profile, quantiles, sampling, training, transport
 from helixframe.sources import arrays, readers
 
 # --- training ----------------------------------------------------------------------------------
@@ -452,3 +452,34 @@ def test_variants_are_predicted_once_for_a_signature(spark, tmp_path, monkeypatc
     again = training.variants(models, rows.where("k < 2"), genes, "k", f"file://{tmp_path}/kept", 1, chunk=3)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
     assert training.variants(models, rows.where("k < 2"), genes, "k", f"file://{tmp_path}/kept", 2, chunk=3).count() == 28
+
+
+def test_matrix_headers_are_heeded(spark, tmp_path):
+    def read(head, lines, **more):
+        (tmp_path / "m.mtx").write_text(f"%%MatrixMarket matrix coordinate {head}\n% about\n3 3 {len(lines)}\n" + "\n".join(lines))
+        return sorted(map(tuple, readers.matrix_market(spark, str(tmp_path / "m.mtx"), **more).collect()))
+
+    assert read("pattern general", ["1 2", "3 3"]) == [(0, 1, 1.0), (2, 2, 1.0)]
+    assert read("real symmetric", ["2 1 5", "3 3 1"]) == [(0, 1, 5.0), (1, 0, 5.0), (2, 2, 1.0)]
+    assert read("integer skew-symmetric", ["2 1 5"]) == [(0, 1, -5.0), (1, 0, 5.0)]
+    assert read("real general", ["3 3 1", "3 3 2"]) == [(2, 2, 1.0), (2, 2, 2.0)]
+    with pytest.raises(ValueError, match="complex"):
+        read("complex general", ["1 1 2 3"])
+
+
+def test_minibatches_of_all_sizes_are_coupled_together(spark, monkeypatch):
+    monkeypatch.setattr(transport, "TOGETHER", 40)
+    r = np.random.default_rng(0)
+    costs = {b: r.random((n, m)) for b, (n, m) in enumerate([(3, 3), (1, 4), (5, 2), (1, 1), (4, 4)])}
+    rows = [(b, 10 * i, 7 * j, float(c[i, j])) for b, c in costs.items() for i in range(c.shape[0]) for j in range(c.shape[1])]
+    got = transport.couple(spark.createDataFrame(rows, "batch long, i long, j long, cost double"), epsilon=0.1, iterations=500).collect()
+    assert len(got) == len(rows)
+    for b, c in costs.items():
+        p = np.zeros(c.shape)
+        for x in got:
+            if x["batch"] == b:
+                p[x["i"] // 10, x["j"] // 7] = x["p"]
+        assert np.allclose(p.sum(0), 1 / c.shape[1], atol=1e-9) and np.allclose(p.sum(1), 1 / c.shape[0], atol=1e-6)
+        one, f, g = transport.sinkhorn(c[None], 0.1, 500)
+        assert np.allclose(p, one[0]) and np.allclose(np.exp(f[0][:, None] + g[0][None] - c / 0.1), p)
+    assert transport.sinkhorn(np.zeros((0, 2, 2)))[0].shape == (0, 2, 2) and not transport.sinkhorn(np.full((1, 2, 2), np.inf))[0].any()

@@ -74,7 +74,7 @@ def test_coupling_keeps_marginals():
     r = np.random.default_rng(0)
     a, b = r.standard_normal((5, 3)), r.standard_normal((7, 3))
     a, b = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
-    p = transport.sinkhorn(((a[:, None] - b[None]) ** 2).sum(-1), 0.2, 200)
+    p = transport.sinkhorn(((a[:, None] - b[None]) ** 2).sum(-1)[None], 0.2, 200)[0][0]
     assert p.sum(1) == pytest.approx(np.full(5, 1 / 5), abs=2e-3) and p.sum(0) == pytest.approx(np.full(7, 1 / 7), abs=1e-9)
 
 
