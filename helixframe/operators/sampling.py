@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import exprs as X
-from helixframe.operators.profile import numbered
+from helixframe.operators.profile import numbered, ordinals
+from helixframe.sources.writers import materialise
 
 
 def bottom_k(rows: DataFrame, key: str, k: int, seed: int | str) -> DataFrame:
@@ -67,6 +68,20 @@ def batches(rows: DataFrame, group: str, key: str, size: int, n: int, seed: int
     return draws.join(line.select(group, "_i", key), [group, "_i"]).select(F.col("batch").cast("long").alias("batch"), group, F.col("draw").cast("long").alias("draw"), key)
 
 
+def plot_sample(cells: DataFrame, matrix: DataFrame, places: DataFrame, order: str, n: int, seed: int | str, path: str, signature: object) -> tuple[DataFrame, DataFrame]:
+    """``n`` cells of ``cells(cell, ...)`` drawn by key, and the entries of ``matrix(cell, gene, value)`` of these: both kept under ``path``.
+
+    The cells get a place on a map from ``places``, whose rows stand in the
+    order of ``order`` as the cells do in theirs: the k-th row is the k-th
+    cell's. A cell beyond the last place has none. A later call with the same
+    signature, number and seed reads what the first one wrote.
+    """
+    number = lambda x, by: ordinals(x.withColumn("_s", F.lit(0)), "_s", by).drop("_s")
+    rows = bottom_k(number(cells, "cell"), "cell", n, seed).join(number(places, order).drop(order), "ordinal", "left")
+    drawn = materialise(rows.orderBy("ordinal"), path, ["cells", n, str(seed), signature])
+    return drawn, materialise(matrix.join(drawn.select("cell"), "cell", "left_semi"), path, ["entries", n, str(seed), signature])
+
+
 def choose(n_batches: int, options: DataFrame, order: list[str | Column], seed: int | str) -> DataFrame:
     """For each batch one of the options (a small table), uniformly."""
     listed = options.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))

@@ -86,7 +86,7 @@ def length_buckets(rows: DataFrame, column: str = "sentence", batch: int = 100)
     return x.withColumn("bucket", F.floor(F.col("_nth") / batch).cast("long")).drop("_nth")
 
 
-def embed_regions(regions: DataFrame, sequences: DataFrame, length: int, encoder: Callable[[list[str]], np.ndarray], dim: int, path: str, *, signature: object, parts: int = 16, pool: int = 1) -> DataFrame:
+def embed_regions(regions: DataFrame, sequences: DataFrame, length: int, encoder: Callable[[list[str]], np.ndarray], dim: int, path: str, *, signature: object, parts: int = 16, pool: int = 1, width: int = 1 << 16) -> DataFrame:
     """``(region_id, vector)`` of the sequence around each distinct ``region_id`` of ``regions(region_id, chrom, midpoint)``.
 
     Of rows with one id the one with the smallest place counts. ``encoder``
@@ -94,7 +94,7 @@ def embed_regions(regions: DataFrame, sequences: DataFrame, length: int, encoder
     whose mean is the vector. The ids are dealt to ``parts`` tables under
     ``path`` that are written whole, one after another: a run that was cut off
     goes on with the first one missing. Another ``signature`` begins anew.
-    Regions of unknown chromosomes have no row.
+    Regions of unknown chromosomes have no row. ``width`` is that of the sequences' pieces.
     """
     one = regions.where("region_id is not null").groupBy("region_id").agg(F.min(F.struct("chrom", "midpoint")).alias("p")).select("region_id", "p.*")
     kind = regions.schema["region_id"].dataType.simpleString()
@@ -108,6 +108,6 @@ def embed_regions(regions: DataFrame, sequences: DataFrame, length: int, encoder
     done = []
     for k in range(parts):
         mine = one.where(F.pmod(F.xxhash64("region_id"), F.lit(parts)) == k)
-        made = fetch(sequences, mine, length).mapInArrow(run, f"region_id {kind}, vector array<double>")
+        made = fetch(sequences, mine, length, width).mapInArrow(run, f"region_id {kind}, vector array<double>")
         done.append(materialise(made, path, [signature, length, dim, pool, parts, k]))
     return reduce(DataFrame.unionByName, done)

@@ -513,12 +513,14 @@ def _column_sql(t: str, c: str, kind: str) -> str:
 (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY v LIMIT 5)) AS examples FROM {t}"""
 
 
-PROFILE = " UNION ALL ".join([_column_sql("customer", "c_custkey", "bigint"), _column_sql("customer", "c_nationkey", "int"), _column_sql("customer", "c_mktsegment", "string"), _column_sql("supplier", "s_suppkey", "bigint"), _column_sql("supplier", "s_nationkey", "int")])
+#: Columns whose values both engines write alike.
+PROFILED = {"customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"}, "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int"}}
+PROFILE = " UNION ALL ".join(_column_sql(t, c, kind) for t, columns in PROFILED.items() for c, kind in columns.items())
 
 
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    a = profile.profile(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "customer")
-    return a.unionByName(profile.profile(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "supplier"), allowMissingColumns=True)
+    a, b = (profile.profile(table(spark, d, t).select(*columns), t) for t, columns in PROFILED.items())
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 @query(PROFILE)
@@ -716,6 +718,37 @@ def q_sample_batches(spark, d):
     return x.select("batch", long("label").alias("label"), "draw", "vec_id")
 
 
+@query(
+    f"""WITH {LABELS}, o AS (SELECT day0, day1, row_number() OVER (ORDER BY t0, day0) - 1 AS i, count(*) OVER () AS n FROM p WHERE day1 IS NOT NULL AND day0 NOT IN ('E3.5', '15') AND day1 NOT IN ('E3.5', '15')),
+b AS (SELECT o_orderkey AS batch FROM orders)
+SELECT batch, day0, day1 FROM b JOIN o ON i = CAST(floor({u("batch || ':11'")} * n) AS BIGINT)"""
+)
+def q_interval_choice(spark, d):
+    """Each order draws one of the training intervals."""
+    options = _adjacent(spark, d).where("not touches_heldout").select("day0", "day1", "t0")
+    n = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    picks = sampling.choose(n, options, ["t0", "day0"], 11)
+    return picks.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("batch")), "batch").select("batch", "day0", "day1")
+
+
+@query(
+    f"""WITH {COO}, c AS (SELECT o_orderkey AS cell, o_orderpriority AS stage, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders),
+e AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings),
+s AS (SELECT * FROM c ORDER BY {u("cell || ':17'")}, cell LIMIT 300)
+SELECT s.cell, stage, s.k::BIGINT AS ordinal, round(x, 5) AS x, round(y, 5) AS y, count(gene) AS n_genes, round(coalesce(sum(value), 0), 4) AS total
+FROM s LEFT JOIN e ON e.k = s.k LEFT JOIN m ON m.cell = s.cell GROUP BY ALL"""
+)
+def q_plot_sample(spark, d):
+    """A drawn sample of cells with their entries and places; a second call reads what the first kept."""
+    cells = table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), F.col("o_orderpriority").alias("stage"))
+    places = table(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
+    path = workspace(spark, "plot")
+    for _ in range(2):
+        drawn, entries = sampling.plot_sample(cells, _matrix(spark, d), places, "vec_id", 300, 17, path, {"tables": d})
+    x = drawn.join(entries.groupBy("cell").agg(F.count("*").alias("n_genes"), F.sum("value").alias("total")), "cell", "left")
+    return x.select("cell", "stage", "ordinal", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.coalesce("n_genes", F.lit(0)).alias("n_genes"), F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
+
+
 PAIRS = "p AS (SELECT label AS batch, i, j, 1 + (i * 3 + j * 5) % 7 AS w FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j))"
 
 
@@ -1079,13 +1112,14 @@ def q_bed_file(spark, d):
     return readers.bed(spark, path).select("chrom", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "ccre_id", "element_id", "state", "midpoint")
 
 
-@query(
-    """WITH s AS (SELECT p_partkey, upper(translate(repeat(md5(CAST(p_partkey AS VARCHAR)), 3), '0123456789abcdef', 'acgtacgtacgtacgt')) AS seq FROM part),
+WINDOWS = """WITH s AS (SELECT p_partkey, upper(translate(repeat(md5(CAST(p_partkey AS VARCHAR)), 3), '0123456789abcdef', 'acgtacgtacgtacgt')) AS seq FROM part),
 w AS (SELECT p_partkey, seq, p_size::BIGINT * 2 AS mid FROM s JOIN part USING (p_partkey)),
-c AS (SELECT p_partkey, substr(seq, greatest(mid - 16, 0) + 1, mid + 16 - greatest(mid - 16, 0)) AS x FROM w)
-SELECT p_partkey AS region_id, rpad(repeat('N', (32 - length(x)) // 2) || x, 32, 'N') AS seq FROM c"""
-)
-def q_fasta_windows(spark, d):
+c AS (SELECT p_partkey, substr(seq, greatest(mid - 16, 0) + 1, mid + 16 - greatest(mid - 16, 0)) AS x FROM w),
+f AS (SELECT p_partkey AS region_id, rpad(repeat('N', (32 - length(x)) // 2) || x, 32, 'N') AS seq FROM c)"""
+
+
+def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A sequence a part, written as a file and read in pieces, and a region in each."""
     p = table(spark, d, "part")
     name = F.concat(F.lit("s"), F.col("p_partkey").cast("string"))
     seq = F.translate(F.repeat(F.md5(F.col("p_partkey").cast("string").cast("binary")), 3), "0123456789abcdef", "acgtacgtacgtacgt")
@@ -1093,7 +1127,30 @@ def q_fasta_windows(spark, d):
     path = workspace(spark, "fasta")
     p.select(F.concat(F.lit(">"), name, F.lit(" part\n"), lines).alias("value")).write.text(path)
     regions = p.select(F.col("p_partkey").alias("region_id"), name.alias("chrom"), (long("p_size") * 2).alias("midpoint"))
-    return readers.fetch(readers.fasta(spark, path, 16), regions, 32, 16)
+    return readers.fasta(spark, path, 16), regions
+
+
+@query(f"{WINDOWS} SELECT region_id, seq FROM f")
+def q_fasta_windows(spark, d):
+    sequences, regions = _sequences(spark, d)
+    return readers.fetch(sequences, regions, 32, 16)
+
+
+@query(
+    f"""{WINDOWS}, h AS (SELECT region_id, unnest([substr(seq, 1, 16), substr(seq, 17, 16)]) AS s FROM f), b AS (SELECT region_id, s, unnest(['A', 'C', 'G', 'T']) AS base FROM h)
+SELECT region_id, base, round(avg(16 - length(replace(s, base, ''))), 4) AS mean FROM b GROUP BY region_id, base"""
+)
+def q_region_embedding(spark, d):
+    """Counts of bases as an encoder of two halves, pooled; parts that are written are not encoded again."""
+    sequences, regions = _sequences(spark, d)
+
+    def encoder(seqs: list[str]) -> np.ndarray:
+        return np.array([[[s[a : a + 16].count(c) for c in "ACGT"] for a in (0, 16)] for s in seqs], float)
+
+    path = workspace(spark, "regions")
+    for _ in range(2):
+        x = tokens.embed_regions(regions, sequences, 32, encoder, 4, path, signature={"tables": d}, parts=4, pool=2, width=16)
+    return x.select("region_id", F.posexplode("vector").alias("k", "mean")).select("region_id", F.element_at(F.array(*map(F.lit, "ACGT")), F.col("k") + 1).alias("base"), F.round("mean", 4).alias("mean"))
 
 
 @query(f"WITH {COO} SELECT cell - 1 AS cell, gene - 1 AS gene, value FROM (SELECT cell + 1 AS cell, gene + 1 AS gene, value FROM m)")
