@@ -79,6 +79,7 @@ class LicenseModel:
     weights: np.ndarray  # slots x families, float32; the last row is the constant
     scale: float  # of the logits: how sure the held-out paragraphs say they may be
     least: float  # confidence below which a family is unknown
+    doubt: float = 0.95  # confidence from which a paragraph is no ordinary text
 
 
 def _grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +122,11 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, np.searchsorted(offsets, at[:-1], "right") - 1
 
 
+#: The family of notices that no known family's templates confirm, and what they say.
+UNKNOWN = "unknown"
+_NAMED = re.compile(r"(?i)\b(?:un|sub)?licen[sc](?:e|es|ed|ing)\b")
+
+
 def _unit_words(units: list[str]) -> Words:
     data, offsets = flat(pa.array(units, pa.string()))
     return Words(data, offsets, PLAIN)
@@ -192,10 +198,12 @@ def train(ordinary: list[str], *, seed: int = 5, copies: int = 16, rounds: int =
     scale = min(np.linspace(0.3, 4, 38), key=lambda s: -np.mean(np.log(np.maximum(_softmax(s * z)[np.arange(len(true)), true], 1e-12))))
     other = _softmax(scale * z)[true == 0, 1:].max(1)
     least = float(np.clip(np.quantile(other, 0.999) if len(other) else 0.5, 0.5, 0.9))
+    plainly = 1 - _softmax(scale * z)[true == 0, 0]
+    doubt = float(np.clip(np.quantile(plainly, 0.999) if len(plainly) else 0.5, 0.5, 0.95))
     x = grams.descend(y, len(families), np.ones(len(y), bool), rounds)
     full = np.zeros((SLOTS + 1, len(families)), np.float32)
     full[grams.seen], full[-1] = x[:-1], x[-1]
-    return LicenseModel(families, full, float(scale), least)
+    return LicenseModel(families, full, float(scale), least, doubt)
 
 
 def fit(texts: DataFrame, *, text_col: str = "text", sample: int = 48) -> LicenseModel:
@@ -233,8 +241,10 @@ def scan(text: Column, model: LicenseModel, *, confirm: float = 0.6) -> Column:
 
     A paragraph is a sentence of a line. One of a family with calibrated
     confidence of ``model.least`` or more is compared with the family's
-    templates; under ``confirm`` it is left out. Licences beyond the listed
-    families are ``Other``. Null and empty texts have none.
+    templates. What no family's templates confirm is ``unknown`` if it names a
+    licence and is no ordinary text with a calibrated confidence of
+    ``model.doubt``, which stands for it then; else it is left out. ``Other``
+    is a wording for licences in general. Null and empty texts have none.
     """
 
     @F.arrow_udf(FOUND)
@@ -253,13 +263,18 @@ def scan(text: Column, model: LicenseModel, *, confirm: float = 0.6) -> Column:
                     p = np.exp(z[k] - z[k].max())
                     p /= p.sum()
                     f = int(p[1:].argmax()) + 1
-                    if p[f] < model.least:
+                    if p[f] < model.least and 1 - p[0] < model.doubt:
                         continue
                     line = own[at[k] : at[k + 1]].tobytes().decode(errors="replace").strip()
                     close = similarity(line, templates[f])
-                    if close >= confirm:
-                        doc = int(text_of[k])
-                        out[a + doc].append({"paragraph": int(k - np.searchsorted(text_of, doc)), "family": model.families[f], "confidence": float(p[f]), "similarity": close, "line": line})
+                    if p[f] >= model.least and close >= confirm:
+                        family, sure = model.families[f], float(p[f])
+                    elif 1 - p[0] >= model.doubt and _NAMED.search(line):
+                        family, sure = UNKNOWN, float(1 - p[0])
+                    else:
+                        continue
+                    doc = int(text_of[k])
+                    out[a + doc].append({"paragraph": int(k - np.searchsorted(text_of, doc)), "family": family, "confidence": sure, "similarity": close, "line": line})
             yield pa.array(out, _FOUND)
 
     return run(text)

@@ -10,7 +10,7 @@ import time
 
 import pytest
 
-from helixframe.llm import audit, hosttext, queries, search, secrets
+from helixframe.llm import audit, hosttext, license, queries, search, secrets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, part string, row long, term string, state int, n long"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -254,3 +254,13 @@ def test_markup_is_read_as_tags_and_text():
 def test_a_null_id_is_held_out_nowhere(spark):
     got = spark.createDataFrame([(None,), (3,)], "doc_id long").select("doc_id", *[(queries.fold(m) == k).alias(f"f{m}") for m, k in ((3, 1), (5, 0), (7, 2))]).collect()
     assert all(r[f"f{m}"] is not None for r in got for m in (3, 5, 7)) and not any(r[f"f{m}"] for r in got if r["doc_id"] is None for m in (3, 5, 7))
+
+
+def test_licences_of_no_family_are_unknown(spark):
+    plain = [f"{prose(k, 12, 400)}. {prose(k + 1, 9, 400)}." for k in range(60)]
+    frame = docs(spark, [(k, t, "s") for k, t in enumerate(plain)])
+    model = license.fit(frame)
+    rows = [(100, "the Frobnicate Open License 3.1", "s"), (101, "Licensed under the Apache License, Version 2.0", "s"), (102, "w1 w2 w3", "s"), (103, None, "s"), (104, f"{prose(9, 20, 400)}\nthe Frobnicate Open License 3.1\n{prose(8, 20, 400)}", "s")]
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in license.notices(docs(spark, rows), model).collect()}
+    assert got == {(100, 0): "unknown", (101, 0): "Apache", (104, 1): "unknown"}
+    assert license.notices(frame, model).count() == 0
