@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
     n = distinct.count()
     pivots = _pivots(distinct, n, seed)
     base, b_path = _kept(_dealt(distinct, pivots), "near-base")
-    sizes, _ = _kept(base.groupBy("ball").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")), "near-sizes")  # a row a pivot, or a length
+    sizes = base.groupBy("ball").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))  # a row a pivot, or a length
     cut = lambda x, by: x.join(F.broadcast(sizes), "ball", "left").withColumn("block", F.pmod(by, F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     base = cut(base, "h")
     stats = {(r["ball"], r["block"]): r for r in base.groupBy("ball", "block").agg(F.count("*").alias("n"), F.min("r").alias("near"), F.max("r").alias("far")).collect()}  # a row a block
@@ -141,7 +141,6 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
     def meet(visits: DataFrame, home: DataFrame) -> DataFrame:
         """Queries and blocks by ``(ball, block)``; a block that many queries visit is met in parts of them."""
         counts = visits.groupBy("ball", "block").agg(F.ceil(F.count("*") / F.lit(ASKS)).cast("int").alias("parts"))
-        counts, _ = _kept(counts, "near-parts")
         q = visits.join(counts, ["ball", "block"]).select("ball", "block", F.pmod("l", F.col("parts")).cast("int").alias("part"), "h", "l", "x", F.array().cast("array<long>").alias("ids"), F.lit(True).alias("asks"))
         v = home.join(counts, ["ball", "block"]).select("ball", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h", "l", "x", "ids", F.lit(False).alias("asks"))
         return q.unionByName(v).groupBy("ball", "block", "part").applyInArrow(lambda t: _best(t, k), BEST)
