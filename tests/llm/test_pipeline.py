@@ -55,3 +55,18 @@ def test_decisions_take_effect(spark, stages):
 
 def test_run_gives_the_last_stage(spark):
     assert set(corpus_pipeline.run(spark, DATA).columns) >= {"doc_id", "text", "taken"}
+
+
+CLASHING = ["id", "class_id", "part", "score", "margin", "h", "a", "b", "n", "row", "t", "i", "rows", "least"]
+
+
+@pytest.mark.parametrize("some", [False, True])
+def test_stages_stand_empty_tables_and_clashing_names(spark, some):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60" if some else "false")
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, DATA)
+        assert got.columns[: len(docs.columns)] == docs.columns, name
+        kept = got.select(*docs.columns)
+        assert kept.count() > 0 if some else kept.count() == 0, name
+        assert kept.exceptAll(docs).count() == 0, name
