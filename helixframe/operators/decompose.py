@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.sources.scratch import superseded, workspace
+from helixframe.sources.scratch import kept, superseded
 
 #: Entries of a block of cells, and genes of a block of genes, on average.
 ENTRIES, GENES = 1_000_000, 65_536
@@ -21,12 +21,6 @@ WAYS = 64
 MOST = 128
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def signs(gene: Column, seed: int | str, columns: int) -> Column:
     """An array of ``columns`` signs of a gene: bit by bit from the digits of the MD5 of ``gene:seed``."""
     digest = F.md5(F.concat_ws(":", gene.cast("string"), F.lit(str(seed))).cast("binary"))
@@ -84,7 +78,7 @@ class _Blocks:
 
     def __init__(self, entries: DataFrame):
         x = entries.select(F.col("cell").cast("long").alias("cell"), F.col("gene").cast("long").alias("gene"), F.col("value").cast("double").alias("value")).where("value <> 0")
-        x, self.path = _kept(x, "decompose")
+        x, self.path = kept(x, "decompose")
         n = x.count()
         self.genes = max(1, -(-x.agg(F.approx_count_distinct("gene")).first()[0] // GENES))
         self.cells = max(1, -(-n // ENTRIES))
@@ -155,16 +149,16 @@ def svd(entries: DataFrame, k: int, *, cells: int, oversample: int = 10, power:
     spark, columns = entries.sparkSession, min(k + oversample, MOST)
     blocks = _Blocks(entries)
     used = [blocks.path]
-    y, path = _kept(blocks.sketched(columns, seed), "decompose-cells")
+    y, path = kept(blocks.sketched(columns, seed), "decompose-cells")
     used.append(path)
     b, r = None, None
     for _ in range(power + 1):
         m = whitening(triangle(y, "row")) if not y.isEmpty() else np.zeros((columns, columns))
-        b, path = _kept(blocks.by_gene(y, m), "decompose-genes")
+        b, path = kept(blocks.by_gene(y, m), "decompose-genes")
         used.append(path)
         r = triangle(b, "row") if not b.isEmpty() else np.zeros((0, columns))
         if _ < power and len(r):
-            y, path = _kept(blocks.by_cell(b, whitening(r)), "decompose-cells")
+            y, path = kept(blocks.by_cell(b, whitening(r)), "decompose-cells")
             used.append(path)
     if not len(r):
         none = spark.createDataFrame([], "gene long, pc long, weight double")
@@ -174,7 +168,7 @@ def svd(entries: DataFrame, k: int, *, cells: int, oversample: int = 10, power:
     k = min(k, int((s > s.max() * 1e-11).sum()))
     v = vt.T[:, :k] / s[:k]
     score = lambda c: F.aggregate(F.zip_with("row", F.array(*[F.lit(float(a)) for a in v[:, c]]), lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
-    weights, path = _kept(b.select("gene", F.array(*[score(c) for c in range(k)]).alias("w")), "decompose-weights")
+    weights, path = kept(b.select("gene", F.array(*[score(c) for c in range(k)]).alias("w")), "decompose-weights")
     w = [F.get("w", c) for c in range(k)]
     top = weights.agg(*[F.max_by(x, F.struct(F.abs(x), -F.col("gene"))).alias(f"_{c}") for c, x in enumerate(w)]).first()
     turn = [1.0 if (top[c] or 0) >= 0 else -1.0 for c in range(k)]

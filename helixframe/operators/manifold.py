@@ -13,7 +13,7 @@ from helixframe.functions import exprs as X
 from helixframe.operators import decompose
 from helixframe.operators.neighbours import nearest
 from helixframe.operators.profile import ordinals
-from helixframe.sources.scratch import superseded, workspace
+from helixframe.sources.scratch import kept, superseded
 
 #: Side of the square that the spectral start fills.
 SIDE = 20.0
@@ -21,12 +21,6 @@ SIDE = 20.0
 CURVE_A, CURVE_B = 1.577, 0.895
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def fuzzy(neighbours: DataFrame, k: int) -> DataFrame:
     """``(id, neighbour, w)`` of ``(id, neighbour, distance, rank)``: how far a neighbour belongs to a row, 1 for its nearest.
 
@@ -72,7 +66,7 @@ def spectral(edges: DataFrame, seed: int | str) -> DataFrame:
     loadings, _ = decompose.svd(m, 3, cells=degree.count(), power=4, seed=seed)
     axis = lambda c: F.coalesce(F.max(F.when(F.col("pc") == c, F.col("weight"))), F.lit(0.0))
     at = loadings.groupBy(F.col("gene").alias("id")).agg(axis(1).alias("x"), axis(2).alias("y")).join(degree, "id")
-    at, path = _kept(at.select("id", (F.col("x") / F.sqrt("d")).alias("x"), (F.col("y") / F.sqrt("d")).alias("y")), "spectral")
+    at, path = kept(at.select("id", (F.col("x") / F.sqrt("d")).alias("x"), (F.col("y") / F.sqrt("d")).alias("y")), "spectral")
     ends = at.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y")]).first()
 
     def span(c: str) -> Column:
@@ -93,13 +87,13 @@ def layout(edges: DataFrame, start: DataFrame, *, epochs: int = 20, negatives: i
     same map.
     """
     spark = edges.sparkSession
-    ids, _ = _kept(ordinals(start.select("id", F.lit(0).alias("_s")), "_s", "id").select("id", "ordinal"), "layout-ids")
+    ids, _ = kept(ordinals(start.select("id", F.lit(0).alias("_s")), "_s", "id").select("id", "ordinal"), "layout-ids")
     n = ids.count()
     if not n:
         return start
-    e, _ = _kept(edges.select("id", "neighbour", "w"), "layout-edges")
+    e, _ = kept(edges.select("id", "neighbour", "w"), "layout-edges")
     top = e.agg(F.max("w")).first()[0] or 1.0
-    at, path = _kept(start, "layout")
+    at, path = kept(start, "layout")
     used = [path]
     for k in range(epochs):
         step = rate * (1 - k / epochs)
@@ -121,7 +115,7 @@ def layout(edges: DataFrame, start: DataFrame, *, epochs: int = 20, negatives: i
         part = lambda v, near: F.coalesce(F.avg(F.when(F.col("near") == near, cut(v))), F.lit(0.0))
         moved = x.groupBy("id").agg((part(dx, True) + part(dx, False)).alias("fx"), (part(dy, True) + part(dy, False)).alias("fy"))
         new = at.join(moved, "id", "left").select("id", (F.col("x") + step * F.coalesce("fx", F.lit(0.0))).alias("x"), (F.col("y") + step * F.coalesce("fy", F.lit(0.0))).alias("y"))
-        at, path = _kept(new, "layout")
+        at, path = kept(new, "layout")
         used.append(path)
         if len(used) > 2:
             superseded(spark, used.pop(0))
@@ -130,8 +124,8 @@ def layout(edges: DataFrame, start: DataFrame, *, epochs: int = 20, negatives: i
 
 def fit(vectors: DataFrame, id_col: str, column: str, *, k: int = 15, epochs: int = 20, seed: int | str = 0) -> DataFrame:
     """``(id, x, y)``: a map of all vectors that have neighbours; others have no place."""
-    near, _ = _kept(nearest(vectors, id_col, column, k), "map-neighbours")
-    edges, _ = _kept(union(fuzzy(near, k)), "map-edges")
+    near, _ = kept(nearest(vectors, id_col, column, k), "map-neighbours")
+    edges, _ = kept(union(fuzzy(near, k)), "map-edges")
     return layout(edges, spectral(edges, seed), epochs=epochs, seed=seed)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import exprs as X
 from helixframe.operators.quantiles import quantile
 from helixframe.operators.sampling import bottom_k
-from helixframe.sources.scratch import superseded, workspace
+from helixframe.sources.scratch import kept, superseded
 
 #: Vectors of a block, the unit that queries visit; queries that meet a block in one task.
 BLOCK, ASKS = 8192, 8192
@@ -23,12 +23,6 @@ PIVOTS = 2048
 SLACK = 1e-6
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def _rows(c: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
     return c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
@@ -125,18 +119,18 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
     ones have no neighbours and are none; equal ids count once a row.
     """
     spark = vectors.sparkSession
-    own, used = _kept(_units(vectors, id_col, column), "near-units")
-    asked, used_q = (own, None) if queries is None else _kept(_units(queries, id_col, column), "near-asks")
-    distinct, d_path = _kept(_distinct(own, k), "near-distinct")
+    own, used = kept(_units(vectors, id_col, column), "near-units")
+    asked, used_q = (own, None) if queries is None else kept(_units(queries, id_col, column), "near-asks")
+    distinct, d_path = kept(_distinct(own, k), "near-distinct")
     n = distinct.count()
     pivots = _pivots(distinct, n, seed)
-    base, b_path = _kept(_dealt(distinct, pivots), "near-base")
+    base, b_path = kept(_dealt(distinct, pivots), "near-base")
     sizes = base.groupBy("ball").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))  # a row a pivot, or a length
     cut = lambda x, by: x.join(F.broadcast(sizes), "ball", "left").withColumn("block", F.pmod(by, F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
     base = cut(base, "h")
     stats = {(r["ball"], r["block"]): r for r in base.groupBy("ball", "block").agg(F.count("*").alias("n"), F.min("r").alias("near"), F.max("r").alias("far")).collect()}  # a row a block
     seen = asked.groupBy("h", "l").agg(F.first("x").alias("x")).withColumn("ids", F.array(F.lit(0).cast("long")))
-    seen, s_path = _kept(cut(_dealt(seen, pivots), "l"), "near-seen")
+    seen, s_path = kept(cut(_dealt(seen, pivots), "l"), "near-seen")
 
     def meet(visits: DataFrame, home: DataFrame) -> DataFrame:
         """Queries and blocks by ``(ball, block)``; a block that many queries visit is met in parts of them."""
@@ -145,7 +139,7 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
         v = home.join(counts, ["ball", "block"]).select("ball", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "h", "l", "x", "ids", F.lit(False).alias("asks"))
         return q.unionByName(v).groupBy("ball", "block", "part").applyInArrow(lambda t: _best(t, k), BEST)
 
-    first, f_path = _kept(meet(seen, base), "near-first")
+    first, f_path = kept(meet(seen, base), "near-first")
     w = Window.partitionBy("h", "l").orderBy("distance", F.get("ids", 0))
     bound = first.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k + 1).groupBy("h", "l").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
     bound = bound.select("h", "l", F.when(F.col("n") > k, F.sqrt("d")).alias("tau"))
@@ -179,8 +173,8 @@ def nearest(vectors: DataFrame, id_col: str, column: str, k: int, queries: DataF
                 yield pa.RecordBatch.from_arrays([b.column("h").take(take), b.column("l").take(take), b.column("x").take(take), to.field("ball"), to.field("block")], names=["h", "l", "x", "ball", "block"])
 
     visits = seen.join(bound, ["h", "l"], "left").select("h", "l", "x", "ball", "block", "tau").mapInArrow(visit, "h long, l long, x array<double>, ball int, block int")
-    visits, v_path = _kept(visits, "near-visits")
-    found, _ = _kept(first.unionByName(meet(visits, base)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k + 1).select("h", "l", F.explode("ids").alias("neighbour"), "distance"), "near-found")
+    visits, v_path = kept(visits, "near-visits")
+    found, _ = kept(first.unionByName(meet(visits, base)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k + 1).select("h", "l", F.explode("ids").alias("neighbour"), "distance"), "near-found")
     superseded(spark, d_path, f_path, b_path, s_path, v_path)
     # Merged, so that adaptive execution can split a vector that many rows hold.
     out = asked.select("id", "h", "l").join(found.hint("merge"), ["h", "l"]).where("id <> neighbour")
@@ -200,7 +194,7 @@ def transitions(neighbours: DataFrame, states: DataFrame, *, scale: float = 10.0
     a = states.select("id", F.col("x").alias("_x"), F.col("v").alias("_v"))
     b = states.select(F.col("id").alias("neighbour"), F.col("x").alias("_y"))
     moved = neighbours.select("id", "neighbour").join(a, "id").join(b, "neighbour").select("id", "neighbour", X.dot(X.unit(F.zip_with("_x", "_y", lambda p, q: q.cast("double") - p.cast("double"))), X.unit(F.col("_v"))).alias("cos"))
-    moved, _ = _kept(moved, "transitions")
+    moved, _ = kept(moved, "transitions")
     best = moved.groupBy("id").agg(F.max("cos").alias("best"))
     mark = quantile(best, None, "best", top).first()
     stay = states.select("id").join(best, "id", "left").select("id", F.col("id").alias("neighbour"), F.coalesce(F.least(F.greatest(F.lit(mark["value"] if mark else 0.0) - F.col("best"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0)).alias("cos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.sources.scratch import superseded, workspace
+from helixframe.sources.scratch import kept, superseded
 
 #: Values of a group that a window sorts at the end.
 FEW = 4096
@@ -13,12 +13,6 @@ FEW = 4096
 ACCURACY = 1000
 
 
-def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def quantile(rows: DataFrame, group: str | None, column: str, share: float = 0.5) -> DataFrame:
     """``(group, n, value)``: the value at ``share`` of the way from a group's least to its largest, between two values by their distance.
 
@@ -32,12 +26,12 @@ def quantile(rows: DataFrame, group: str | None, column: str, share: float = 0.5
     key = F.lit(0) if group is None else F.col(group)
     x = rows.select(key.alias("g"), F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     spark = rows.sparkSession
-    x, used = _kept(x, "quantile")
+    x, used = kept(x, "quantile")
     spot = F.lit(share) * (F.col("n") - 1)
     # at: the lower rank, counted from the values in the bracket; up: how far to the next one.
     state = x.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     state = state.select("g", "n", F.floor(spot).alias("at"), (spot - F.floor(spot)).alias("up"), F.col("n").alias("inside"), "lo", "hi")
-    state, path = _kept(state, "quantile-state")
+    state, path = kept(state, "quantile-state")
     while True:
         wide = state.where((F.col("inside") > FEW) & (F.col("lo") < F.col("hi")))
         if wide.isEmpty():
@@ -46,13 +40,13 @@ def quantile(rows: DataFrame, group: str | None, column: str, share: float = 0.5
         near = both.groupBy("g").agg(F.expr(f"approx_percentile(v, array({', '.join(str(k / ACCURACY) for k in range(ACCURACY + 1))}), {20 * ACCURACY})").alias("cuts"), F.max("at").alias("at"), F.max("inside").alias("inside"))
         place = F.floor(F.col("at") * ACCURACY / (F.col("inside") - 1)).cast("int")
         near = near.select("g", F.element_at("cuts", F.greatest(place - 1, F.lit(0)) + 1).alias("a"), F.element_at("cuts", F.least(place + 3, F.lit(ACCURACY)) + 1).alias("b"))
-        near, at = _kept(near, "quantile-near")
+        near, at = kept(near, "quantile-near")
         held = both.join(near.withColumnRenamed("g", "_n"), F.col("g").eqNullSafe(F.col("_n"))).groupBy("g").agg(F.count_if(F.col("v") < F.col("a")).alias("under"), F.count_if((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).alias("kept"), F.max("a").alias("a"), F.max("b").alias("b"))
         # A sketch may be off; then the bracket stays as it was.
         fits = (F.col("under") <= F.col("at")) & (F.least(F.col("at") + 1, F.col("inside") - 1) < F.col("under") + F.col("kept"))
         new = state.join(held.withColumnRenamed("g", "_h"), F.col("g").eqNullSafe(F.col("_h")), "left")
         ok = F.coalesce(fits, F.lit(False))
-        state_, after = _kept(
+        state_, after = kept(
             new.select("g", "n", F.when(ok, F.col("at") - F.col("under")).otherwise(F.col("at")).alias("at"), "up", F.when(ok, F.col("kept")).otherwise(F.col("inside")).alias("inside"), F.when(ok, F.col("a")).otherwise(F.col("lo")).alias("lo"), F.when(ok, F.col("b")).otherwise(F.col("hi")).alias("hi")), "quantile-state"
         )
         settled = state.agg(F.sum("inside")).first()[0] == state_.agg(F.sum("inside")).first()[0]

@@ -553,6 +553,12 @@ def q_group_centroid(spark, d):
     return c.select("l_returnflag", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query("SELECT l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice, 0.9), 4) AS value FROM lineitem GROUP BY 1")
+def q_group_quantiles(spark, d):
+    """The upper tenth of prices by a label that half of all rows have."""
+    return quantiles.quantile(table(spark, d, "lineitem"), "l_linestatus", "l_extendedprice", 0.9).withColumn("value", F.round("value", 4))
+
+
 @query(
     """WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
 SELECT least(greatest(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 50)) AS BIGINT), 0), 49) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1"""

@@ -196,7 +196,7 @@ def test_few_rows_move_where_vectors_lie_in_clusters(spark, monkeypatch):
     n = 1600
     x = np.concatenate([centres[k % 16] + r.standard_normal((1, 16)) * 0.01 for k in range(n)])
     moved = []
-    kept = neighbours._kept
+    kept = neighbours.kept
 
     def watched(df, name):
         out = kept(df, name)
@@ -204,7 +204,7 @@ def test_few_rows_move_where_vectors_lie_in_clusters(spark, monkeypatch):
             moved.append(out[0].count())
         return out
 
-    monkeypatch.setattr(neighbours, "_kept", watched)
+    monkeypatch.setattr(neighbours, "kept", watched)
     frame = vectors(spark, range(n), x)
     got = near(frame, 5)
     want = plain_neighbours(list(range(n)), x, 5)
