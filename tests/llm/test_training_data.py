@@ -507,7 +507,7 @@ def test_mix(spark):
 def test_same_rows_as_sql(spark, name):
     data = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, data), c.sql(queries.ORACLE_SQL[name])
     pick = lambda cols, rows: sorted(repr([r[cols.index(k)] for k in sorted(cols)]) for r in rows)
