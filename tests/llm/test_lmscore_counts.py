@@ -80,3 +80,78 @@ def test_refinement_does_not_visit_a_long_text_once_a_segment(monkeypatch):
     seen.clear()
     lmscore._refined(np.ones(n, np.float32), b, types.SimpleNamespace(text=np.zeros(n, np.int32)), 1)
     assert sum(seen) < 1.5 * n
+
+
+def _spelled(seed=4):
+    """Codes over bytes, and distinct words with many common beginnings, one of them empty of letters, some longer than what is shared."""
+    rng = np.random.default_rng(seed)
+    texts = {"".join(rng.choice(list("ab\0é"), rng.integers(1, 14))) for _ in range(400)} | {"a", "aaaaaaaa", "aaaaaaaaa", "aaaaaaaab", "aaaaaaa"}
+    data = [x.encode() for x in sorted(texts, key=hash)]
+    size = np.array([len(x) for x in data])
+    end = np.cumsum(size)
+    codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2, 1]), lmscore.huffman(list(range(1, 257))))
+    return codes, np.frombuffer(b"".join(data), np.uint8), end - size, end
+
+
+def test_four_levels_of_a_path_meet_one_block():
+    codes = lmscore.Codes(np.zeros(0, np.uint64), np.zeros(2, np.int64), 0, lmscore.huffman([2**k for k in range(12)]), lmscore.huffman([1] * 256))
+    symbols = np.tile(np.arange(12), 50)
+    one = np.repeat(np.arange(50, dtype=np.uint64), 12)
+    b = lmscore.word_bits(codes, symbols, one, one, one)
+    for slots in b.slots[1:]:
+        assert slots.min() >= 0 and slots.max() < 1 << lmscore.WORD_SLOTS
+        at = 0
+        for n in b.n:
+            block = slots[at : at + n] >> 4
+            assert all(len(set(block[k : k + 4])) == 1 for k in range(0, n, 4))
+            at += n
+    # A context's nodes have a slot each within a block, and each the same for all symbols below.
+    node = codes.word[2][b.slots[0]]
+    for x in range(50):
+        here = np.repeat(one, b.n) == x
+        met = dict(zip(node[here].tolist(), b.slots[1][here].tolist(), strict=True))
+        assert all(met[k] == s for k, s in zip(node[here].tolist(), b.slots[1][here].tolist(), strict=True))
+        for top in range(0, 12, 4):
+            path = [met[k] for k in codes.word[2][codes.word[0][0] :][top : top + 4].tolist() if k in met]
+            assert len(set(path)) == len(path)
+
+
+def test_common_beginnings_are_looked_at_once_and_cost_the_same():
+    codes, data, start, end = _spelled()
+    rng = np.random.default_rng(5)
+    tables = [rng.integers(-600, 600, 1 << lmscore.BYTE_SLOTS).astype(np.int16) for _ in range(6)]
+    mixer = lmscore.Mixer(tables, lmscore._new_weights(6), (4, 5))
+    b = lmscore.byte_bits(codes, data, start, end)
+    plain = np.bincount(np.repeat(b.word, b.n), lmscore._cost(lmscore._toward(mixer.odds(b), b.bit)), len(start))
+    assert np.allclose(lmscore._prices(codes, mixer, data, start, end), plain, rtol=1e-6)
+    assert len(lmscore._prices(codes, mixer, data[:0], start[:0], end[:0])) == 0
+    order, common = lmscore._beginnings(data, start, end)
+    assert len(lmscore.byte_bits(codes, data, start[order], end[order], common).bit) < 0.7 * len(b.bit)
+
+
+def test_common_beginnings_teach_as_often_as_they_occur():
+    codes, data, start, end = _spelled(6)
+    order, common = lmscore._beginnings(data, start, end)
+    few = lmscore.byte_bits(codes, data, start[order], end[order], common)
+    few.times = np.repeat(lmscore._sharing(common)[np.minimum(few.place, lmscore.SHARED), few.word], few.n)
+    tallies = []
+    for b in (lmscore.byte_bits(codes, data, start, end), few):
+        tally = lmscore._Tally([1 << lmscore.BYTE_SLOTS] * 6, (4, 5))
+        for k, slot in enumerate(b.slots):
+            tally.count(k, slot, b.bit, b.times)
+        tally.refresh()
+        tally.seen += tally.mixer.learn(b)
+        tallies.append(tally)
+    a, b = tallies
+    assert all((x == y).all() for x, y in zip(a.n, b.n, strict=True)) and (a.seen == b.seen).all()
+    assert np.allclose(a.mixer.weights, b.mixer.weights, atol=1e-6)
+
+
+def test_counts_travel_in_the_fewest_bytes_that_hold_them():
+    for most in (0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62):
+        n = np.array([[0, most, 1], [2, 0, most]], np.int64)
+        assert (lmscore._received(lmscore._sent(n)).reshape(2, -1) == n).all()
+    bodies = [lmscore._sent(np.full((2, 3), x).T.copy().T) for x in (200, 100, 70_000)]
+    t = pa.table({"part": pa.array([1] * 3, pa.int32()), "at": pa.array([0] * 3, pa.int32()), "way": pa.array([0] * 3, pa.int32()), "body": pa.array(bodies, pa.binary())})
+    got = lmscore._add(t)
+    assert len(got) == 1 and (lmscore._received(got.column("body")[0].as_py()) == 70_300).all()
