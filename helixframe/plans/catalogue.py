@@ -1192,8 +1192,9 @@ SELECT k // 16 AS chunk, count(*) AS n, round(sum(embedding[3]::DOUBLE), 4) AS a
 def q_row_chunks(spark, d):
     path = workspace(spark, "rows")
     x = table(spark, d, "embeddings")
-    values = F.array_join(F.transform("embedding", lambda v: v.cast("string")), ",")
-    x.select("label", "vec_id", values.alias("value")).repartition("label").sortWithinPartitions("vec_id").select("label", "value").write.partitionBy("label").text(path)
+    # As doubles, whose digits give the very number back. A writer by label sorts by label unless rows are sorted so, and then no other order holds.
+    values = F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ",")
+    x.select("label", "vec_id", values.alias("value")).repartition("label").sortWithinPartitions("label", "vec_id").select("label", "value").write.partitionBy("label").text(path)
     rows = readers.row_chunks(spark, f"{path}/*", 16, [2, 0])
     return rows.groupBy("chunk").agg(F.count("*").alias("n"), F.round(F.sum(F.get("values", 0)), 4).alias("a"), F.round(F.sum(F.get("values", 1)), 4).alias("b"))
 
