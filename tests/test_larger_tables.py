@@ -2,8 +2,12 @@
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from helixframe.operators import decompose
 from helixframe.plans.catalogue import ORACLE_SQL, QUERIES
+from helixframe.sources import scratch
 
 
 def test_rows_of_a_file_are_in_the_order_of_their_ids(spark, tmp_path):
@@ -13,3 +17,37 @@ def test_rows_of_a_file_are_in_the_order_of_their_ids(spark, tmp_path):
     got = QUERIES["q_row_chunks"](spark, str(tmp_path)).select("chunk", "n", "a", "b").collect()
     want = duckdb.sql(ORACLE_SQL["q_row_chunks"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def shuffled(spark):
+    """Shuffle files on disk now."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_what_is_kept_leaves_no_shuffle_files(spark):
+    before = shuffled(spark)
+    x, _ = scratch.kept(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "swept")
+    assert x.count() == 10 and spark.conf.get(scratch.SWEEP, None) in (None, "false")
+    left = {n for n in shuffled(spark) - before if n.endswith(".data")}
+    assert len(left) <= 1  # the count's
+
+
+@pytest.mark.parametrize("least", [1 << 28, 0])
+def test_vectors_of_cells_are_not_written(spark, monkeypatch, least):
+    """A pass writes matrices of genes and factors, in slices or at once with the same values."""
+    monkeypatch.setattr(decompose, "ENTRIES", 150)
+    monkeypatch.setattr(decompose, "LEAST", least, raising=False)
+    draw, written, keep = np.random.default_rng(2), [], scratch.kept
+
+    def noted(df, name):
+        out = keep(df, name)
+        written.append((name, out[0].columns, out[0].count()))
+        return out
+
+    monkeypatch.setattr(decompose, "kept", noted)
+    a = draw.random((200, 12)) * (draw.random((200, 12)) < 0.4)
+    m = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "cell long, gene long, value double")
+    _, table = decompose.svd(m, 3, cells=200, power=1)
+    assert np.allclose([r["singular"] for r in table.orderBy("pc").collect()], np.linalg.svd(a, compute_uv=False)[:3], rtol=1e-9)
+    assert all(n < 200 for name, columns, n in written if name != "decompose" and "value" not in columns)
