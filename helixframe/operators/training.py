@@ -22,6 +22,8 @@ from helixframe.sources import scratch, writers
 
 #: Groups that the first step of sums makes of all tasks.
 WAYS = 32
+#: Bytes of a block's rows at most, on average, and numbers in the widest array of a forward pass at once.
+BLOCK_BYTES, ACTIVE = 1 << 25, 1 << 18
 Arrays = dict[str, np.ndarray]
 
 
@@ -279,16 +281,26 @@ def chunked_loss_and_gradient(model: fields.Conditioned, rows: DataFrame, tokens
     """As :func:`loss_and_gradient`, of a field conditioned on tokens: chunks of genes and blocks of rows are separate tasks.
 
     Sums of squares add up over chunks and blocks, so any ``chunk`` and
-    ``blocks`` give the gradient of one pass. A target needs an element a gene.
+    ``blocks`` give the gradient of one pass. Blocks become more where a block's
+    rows would be over :data:`BLOCK_BYTES`; a task goes through its rows in
+    slices, so what it holds beside them follows the model and the chunk. A
+    target needs an element a gene.
     """
-    x = _usable(rows, state, target).withColumn("_block", F.pmod(F.xxhash64("state", "target"), F.lit(blocks)).cast("int"))
+    x = _usable(rows, state, target)
+    size = x.agg(F.count("*").alias("n"), F.max(F.size("state")).alias("wide")).first()
+    blocks = max(blocks, -(-size["n"] * 8 * ((size["wide"] or 0) + chunk) // BLOCK_BYTES))
+    x = x.withColumn("_block", F.pmod(F.xxhash64("state", "target"), F.lit(blocks)).cast("int"))
 
     def part(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _sent(0.0, 0, {}, 0).slice(0, 0)
         _, *own = packed(right)
-        y = _matrix(left.column("target"), len(left))
-        loss, sums = conditioned_gradient(model, _matrix(left.column("state"), len(left)), y, *own)
+        y, states = _matrix(left.column("target"), len(left)), _matrix(left.column("state"), len(left))
+        step = max(1, ACTIVE // (own[-1].size * 4 * model.width))
+        loss, sums = 0.0, {}
+        for a in range(0, len(y), step):
+            one, got = conditioned_gradient(model, states[a : a + step], y[a : a + step], *own)
+            loss, sums = loss + one, {k: sums[k] + v for k, v in got.items()} if sums else got
         return _sent(loss, y.size, sums, key[0].as_py() * 31 + key[1].as_py())
 
     return _met(dealt(x, tokens, chunk, blocks).applyInArrow(part, SENT), model.weights)

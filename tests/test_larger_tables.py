@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import decompose
+from helixframe.operators import decompose, fields, training
 from helixframe.plans.catalogue import ORACLE_SQL, QUERIES
 from helixframe.sources import scratch
 
@@ -51,3 +51,25 @@ def test_vectors_of_cells_are_not_written(spark, monkeypatch, least):
     _, table = decompose.svd(m, 3, cells=200, power=1)
     assert np.allclose([r["singular"] for r in table.orderBy("pc").collect()], np.linalg.svd(a, compute_uv=False)[:3], rtol=1e-9)
     assert all(n < 200 for name, columns, n in written if name != "decompose" and "value" not in columns)
+
+
+def test_a_task_of_training_goes_through_its_rows_in_slices(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    model, (n, genes, slots) = fields.Conditioned(6, 5, width=4, heads=2, layers=1, kind="cross_attention", seed=1), (300, 3, 2)
+    state, target = draw.normal(size=(n, 6)), draw.normal(size=(n, genes))
+    vectors, distance = draw.normal(size=(genes, slots, 5)), draw.normal(size=(genes, slots)) * 1000
+    promoter, mask = np.array([[1.0, 0.0]] * genes), np.ones((genes, slots))
+    loss, grads = training.conditioned_gradient(model, state, target, vectors, distance, promoter, mask)
+    monkeypatch.setattr(training, "ACTIVE", 20 * genes * slots * 4 * 4, raising=False)
+    monkeypatch.setattr(training, "BLOCK_BYTES", 100 * 8 * (6 + genes), raising=False)
+    whole = training.conditioned_gradient
+
+    def few(m, x, *more):
+        assert len(x) <= 20
+        return whole(m, x, *more)
+
+    monkeypatch.setattr(training, "conditioned_gradient", few)
+    rows = spark.createDataFrame([(s.tolist(), t.tolist()) for s, t in zip(state, target, strict=True)], "state array<double>, target array<double>")
+    tokens = spark.createDataFrame([(g, vectors[g].tolist(), distance[g].tolist(), promoter[g].tolist(), mask[g].tolist()) for g in range(genes)], "gene long, vectors array<array<double>>, distance array<double>, promoter array<double>, mask array<double>")
+    found, sums = training.chunked_loss_and_gradient(model, rows, tokens, chunk=genes, blocks=1)
+    assert np.isclose(found, loss / (n * genes), rtol=1e-12) and all(np.allclose(sums[k], v / (n * genes), rtol=1e-9, atol=1e-12) for k, v in grads.items())
