@@ -113,6 +113,12 @@ def unit(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double") / norm)
 
 
+def cosine(x: Column, y: Column) -> Column:
+    """The cosine of two arrays; a length of zero counts as 1e-12."""
+    size = lambda v: F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+    return dot(x, y) / (size(x) * size(y))
+
+
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 

@@ -72,8 +72,9 @@ def project_velocity(neighbours: DataFrame, states: DataFrame) -> DataFrame:
 
     a = states.select("id", F.col("x").alias("_x"), F.col("v").alias("_v"), F.col("px").alias("_px"), F.col("py").alias("_py"))
     b = states.select(F.col("id").alias("neighbour"), F.col("x").alias("_y"), F.col("px").alias("_qx"), F.col("py").alias("_qy"))
-    rows = neighbours.join(a, "id").join(b, "neighbour").withColumn("_d", F.zip_with("_x", "_y", lambda p, q: q.cast("double") - p.cast("double")))
-    cos = X.dot(X.unit(F.col("_d")), X.unit(F.col("_v")))
+    # The far end's state is all that moves once an edge; the row's own comes once a row, where its edges are summed.
+    rows = neighbours.select("id", "neighbour").join(b, "neighbour").drop("neighbour").join(a, "id").withColumn("_d", F.zip_with("_x", "_y", lambda p, q: q.cast("double") - p.cast("double")))
+    cos = X.cosine(F.col("_d"), F.col("_v"))
     rows = rows.withColumn("_w", F.exp(cos)).withColumn("_dx", F.col("_qx") - F.col("_px")).withColumn("_dy", F.col("_qy") - F.col("_py"))
     w = F.col("_w")
     return rows.groupBy("id").agg((F.sum(w * F.col("_dx")) / F.sum(w) - F.avg("_dx")).alias("vx"), (F.sum(w * F.col("_dy")) / F.sum(w) - F.avg("_dy")).alias("vy"))

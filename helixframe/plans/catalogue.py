@@ -911,11 +911,12 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     near = neighbours.nearest(e, "vec_id", "embedding", 10).select("id", "neighbour")
     x = F.col("embedding").cast("array<double>")
-    rows = e.select(F.col("vec_id").alias("id"), x.alias("x"))
+    # The state stays as it is stored: it moves once an edge.
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("_e"), x.alias("x"))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, a: s + a)
     n, half = F.size("x"), F.floor(F.size("x") / 2).cast("int")
     turned = F.concat(F.slice("x", 2, n - 1), F.slice("x", 1, 1))
-    rows = rows.select("id", "x", F.zip_with(turned, "x", lambda a, b: a - b).alias("v"), total(F.slice("x", F.lit(1), half)).alias("px"), total(F.slice("x", half + 1, n)).alias("py"))
+    rows = rows.select("id", F.col("_e").alias("x"), F.zip_with(turned, "x", lambda a, b: a - b).alias("v"), total(F.slice("x", F.lit(1), half)).alias("px"), total(F.slice("x", half + 1, n)).alias("py"))
     return near, rows
 
 
