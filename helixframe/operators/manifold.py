@@ -124,8 +124,9 @@ def layout(edges: DataFrame, start: DataFrame, *, epochs: int = 20, negatives: i
 
 def fit(vectors: DataFrame, id_col: str, column: str, *, k: int = 15, epochs: int = 20, seed: int | str = 0) -> DataFrame:
     """``(id, x, y)``: a map of all vectors that have neighbours; others have no place."""
-    near, _ = kept(nearest(vectors, id_col, column, k), "map-neighbours")
+    near, path = kept(nearest(vectors, id_col, column, k), "map-neighbours")
     edges, _ = kept(union(fuzzy(near, k)), "map-edges")
+    superseded(vectors.sparkSession, path)
     return layout(edges, spectral(edges, seed), epochs=epochs, seed=seed)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import decompose, evaluate, fields, neighbours, training
+from helixframe.operators import decompose, evaluate, fields, manifold, neighbours, training
 from helixframe.plans.catalogue import ORACLE_SQL, QUERIES
 from helixframe.sources import scratch
 
@@ -108,3 +108,10 @@ def test_only_the_far_ends_state_moves_once_an_edge(spark, monkeypatch):
     for x in (evaluate.project_velocity(edges, states), plans[0]):
         joins = [line for line in x._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
         assert len(joins) == 2 and "(neighbour" in joins[1] and "(id" in joins[0]
+
+
+def test_a_map_keeps_no_table_of_neighbours(spark):
+    frame = spark.createDataFrame([(k, [float(k + 1), float(k % 3), 1.0]) for k in range(12)], "id long, x array<double>")
+    before = len(scratch._made)
+    assert manifold.fit(frame, "id", "x", k=2, epochs=1).count() == 12
+    assert not [path for _, path in scratch._made[before:] if "map-neighbours" in path]
